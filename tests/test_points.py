@@ -1,0 +1,135 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from fairlead.functions import geo
+from fairlead.functions.zones import OTHER_REGION, any_conflict, class_index, region, zone_cost
+from fairlead.operators import cleaning, knn, stats, tracks
+from fairlead.sources import points
+
+
+def one(spark, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def test_distances_and_bearings(spark):
+    assert value(spark, geo.haversine_km(0.0, 0.0, 0.0, 1.0)) == pytest.approx(111.195, abs=0.01)
+    assert value(spark, geo.haversine_km(10.0, 179.5, 10.0, -179.5)) == pytest.approx(value(spark, geo.haversine_km(10.0, 0.0, 10.0, 1.0)))
+    assert value(spark, geo.haversine_km(F.lit(None).cast("double"), 0.0, 0.0, 1.0)) is None
+    for lat, lon, want in ((1.0, 0.0, 0), (0.0, 1.0, 90), (-1.0, 0.0, 180), (0.0, -1.0, 270)):
+        assert value(spark, geo.initial_bearing_deg(0.0, 0.0, lat, lon)) == pytest.approx(want, abs=1e-9)
+
+
+def test_great_circle_and_densify(spark):
+    p = value(spark, geo.great_circle_points(50.0, 5.0, 60.0, 25.0, 9))
+    assert len(p) == 9 and (p[0].lat, p[0].lon) == pytest.approx((50, 5)) and (p[-1].lat, p[-1].lon) == pytest.approx((60, 25))
+    assert len(value(spark, geo.great_circle_points(50.0, 5.0, 50.0, 5.0, 9))) == 2
+    assert len(value(spark, geo.densified(0.0, 0.0, 0.0, 0.89, 50.0))) == 2, "99 km with a step of 50 is one segment"
+    assert len(value(spark, geo.densified(0.0, 0.0, 0.0, 9.0, 50.0))) == 21
+
+
+def test_scalars(spark):
+    assert value(spark, geo.signed_log(F.lit(-2.0))) == pytest.approx(-1.0986122886681098)
+    assert value(spark, geo.detour_ratio(F.lit(5.0), F.lit(0.0))) == 1.0
+    assert value(spark, geo.eta_hours(F.lit(185.2), F.lit(0.0))) == pytest.approx(1000.0)
+    assert value(spark, geo.finite(F.lit(float("inf")))) is None and value(spark, geo.finite(F.lit(float("nan")))) is None
+
+
+def test_conflicts_and_regions(spark):
+    rows = [("OPEN_SEA", 6.0, None), ("OPEN_SEA", 5.0, None), ("COASTLINE", -5.1, 3.0), ("NEAR_COAST", None, -6.0), ("NEAR_COAST", None, None), ("LAKE", 50.0, -50.0)]
+    df = spark.createDataFrame(rows, "class_code string, noaa_depth double, elevation double").withColumn("latitude", F.lit(38.0)).withColumn("longitude", F.lit(25.0))
+    assert [r.c for r in df.select(any_conflict("class_code").alias("c")).collect()] == [True, False, True, True, False, False]
+    assert cleaning.without_conflicts(df).count() == 3
+    assert cleaning.without_conflicts(df.drop("elevation")).count() == 4, "a missing column is no conflict"
+    assert df.select(region("latitude", "longitude").alias("r")).first().r == "Aegean Sea", "the first match wins"
+    assert value(spark, region(F.lit(68.0), F.lit(0.0))) == OTHER_REGION, "upper bounds are exclusive"
+    got = {r.tolerance_m: r.n_removed for r in cleaning.conflict_sensitivity(df).collect()}
+    assert got == {0.0: 4, 2.0: 4, 5.0: 3, 10.0: 0, 20.0: 0}
+
+
+def test_class_codes(spark):
+    assert value(spark, class_index(F.lit("NEAR_COAST"))) == 2 and value(spark, class_index(F.lit("x"))) is None
+    assert [value(spark, zone_cost(F.lit(i))) for i in range(4)] == [1.0, 1.8, 1e6, 1e6]
+
+
+def test_csv_aliases(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("lat,LNG,elevation,class_code\n1,2,n/a,OPEN_SEA\n999,0,1,x\n,0,1,LAKE\n-90,180,7.5,LAKE\nnan,1,1,LAKE\n")
+    df = points.read_any(spark, str(tmp_path / "a.csv"))
+    got = {(r.latitude, r.longitude, r.elevation, r.osm_piers, r.noaa_type) for r in points.validate(df).collect()}
+    assert got == {(1.0, 2.0, None, 0.0, None), (-90.0, 180.0, 7.5, 0.0, None)}
+    r = points.report(df).first()
+    assert (r.n_rows, r.n_valid, r.n_null, r.n_out_of_range, r.n_unknown_class) == (5, 2, 2, 1, 1)
+    (tmp_path / "b.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(points.DataLoadError):
+        points.read_any(spark, str(tmp_path / "b.csv"))
+    with pytest.raises(points.DataLoadError):
+        points.read_any(spark, str(tmp_path / "b.shp"))
+
+
+def test_geojson_geometry_wins(spark, tmp_path):
+    features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [10.0, 50.0]}, "properties": {"latitude": 1, "longitude": 2, "class_code": "OPEN_SEA"}}, {"type": "Feature", "geometry": None, "properties": {"lat": 3, "lon": 4}}, {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, "properties": {"latitude": 5, "longitude": 6}}]
+    for name in ("a.geojson", "a.json"):
+        (tmp_path / name).write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+        got = {(r.latitude, r.longitude) for r in points.read_any(spark, str(tmp_path / name)).collect()}
+        assert got == {(50.0, 10.0), (3.0, 4.0), (5.0, 6.0)}
+    (tmp_path / "r.json").write_text(json.dumps([{"y": 1.5, "x": "2"}, {"y": None, "x": 3}]))
+    assert {(r.latitude, r.longitude) for r in points.read_any(spark, str(tmp_path / "r.json")).collect()} == {(1.5, 2.0), (None, 3.0)}
+    with pytest.raises(points.DataLoadError):
+        points.validate(points.read_any(spark, str(tmp_path / "r.json")).where("latitude is null"), must_have=True)
+
+
+def test_split_is_stratified_and_stable(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("class_code"))
+    got = stats.stratified_split(df, "id")
+    n = {(r.class_code, r.split): r["count"] for r in got.groupBy("class_code", "split").count().collect()}
+    assert n == {("a", "test"): 15, ("a", "validation"): 15, ("a", "train"): 70, ("b", "test"): 135, ("b", "validation"): 135, ("b", "train"): 630}
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in stats.stratified_split(df.repartition(7), "id").collect()}
+
+
+def brute_neighbours(rows, k):
+    import math
+
+    def km(a, b):
+        y1, x1, y2, x2 = map(math.radians, (a[1], a[2], b[1], b[2]))
+        h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+        return round(2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h))), 6)
+
+    return {a[0]: [d for d, _ in sorted((km(a, b), b[0]) for b in rows)[:k]] for a in rows}
+
+
+def test_neighbours_at_poles_and_date_line(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(150)] + [(200 + i, 89.9, 36.0 * i - 180) for i in range(10)] + [(300 + i, r.uniform(-1, 1), (179.9 + r.random() / 5 + 180) % 360 - 180) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    want = brute_neighbours(rows, 5)
+    for cell in (100.0, 3000.0):
+        got = {}
+        for x in knn.neighbours(df, df, 5, cell).orderBy("rank").collect():
+            got.setdefault(x.q_id, []).append(round(x.km, 6))
+        assert got.keys() == want.keys() and all(a == pytest.approx(b, abs=2e-6) for a, b in ((got[i], want[i]) for i in want))
+
+
+def test_features_are_finite_and_leave_the_point_out(spark, sf):
+    from fairlead.sources import fixtures
+
+    p = fixtures.points(spark, sf).limit(60)
+    idx = knn.reference_index(p)
+    rows = knn.features(p, idx).collect()
+    assert len(rows) == 60 and all(x == x and abs(x) < 1e9 for r in rows for x in r[1:]) and len(rows[0]) == 29
+    assert knn.context(p, idx).where("q_id = r_id").isEmpty()
+    few = knn.features(p, idx.limit(3))
+    assert few.count() == 60
+
+
+def test_waypoint_table(spark):
+    t = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 0.0, 1.0), (1, 2, 1.0, 1.0), (2, 0, 5.0, 5.0)], "route_id long, seq int, lat double, lon double")
+    rows = {(r.route_id, r.seq): r for r in tracks.waypoint_table(t).collect()}
+    assert rows[1, 0].bearing == pytest.approx(90) and rows[1, 1].bearing == pytest.approx(0) and rows[1, 2].bearing == rows[1, 1].bearing and rows[2, 0].bearing == 0
+    assert rows[1, 2].total_km == pytest.approx(222.39, abs=0.01) and rows[1, 0].total_km == 0
