@@ -15,19 +15,20 @@ from fairlead.functions.geo import great_circle_points, haversine_km, initial_be
 STEP_KM, PORT_KM, CROSSING_KM, APPROACH_KM = 1.0, 5.0, 3.0, 65.0
 REPORTED_POINTS, TABLE_ROWS = 60, 120
 
-_BY = Window.partitionBy("route_id").orderBy("seq")
-_SO_FAR = _BY.rowsBetween(Window.unboundedPreceding, 0)
+
+def _by():
+    return Window.partitionBy("route_id").orderBy("seq")
 
 
 def _lag_km() -> Column:
-    return F.coalesce(haversine_km(F.lag("lat").over(_BY), F.lag("lon").over(_BY), "lat", "lon"), F.lit(0.0))
+    return F.coalesce(haversine_km(F.lag("lat").over(_by()), F.lag("lon").over(_by()), "lat", "lon"), F.lit(0.0))
 
 
 def waypoint_table(track: DataFrame) -> DataFrame:
     """Adds ``leg_km, total_km`` and ``bearing`` to the next point; the last repeats the one before (0 if alone)."""
-    bearing = initial_bearing_deg("lat", "lon", F.lead("lat").over(_BY), F.lead("lon").over(_BY))
+    bearing = initial_bearing_deg("lat", "lon", F.lead("lat").over(_by()), F.lead("lon").over(_by()))
     legs = track.withColumn("leg_km", _lag_km()).withColumn("course", bearing)
-    return legs.withColumn("total_km", F.sum("leg_km").over(_SO_FAR)).withColumn("bearing", F.coalesce("course", F.lag("course").over(_BY), F.lit(0.0))).drop("course")
+    return legs.withColumn("total_km", F.sum("leg_km").over(_by().rowsBetween(Window.unboundedPreceding, 0))).withColumn("bearing", F.coalesce("course", F.lag("course").over(_by()), F.lit(0.0))).drop("course")
 
 
 def path_length(track: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def bounding_box(track: DataFrame, margin: float = 0.0) -> DataFrame:
 def sample_route(track: DataFrame, step_km: float = STEP_KM) -> DataFrame:
     """``route_id, leg, k, lat, lon, dist``: each leg in ``ceil(length / step)`` equal parts (at least one), and the last
     point; ``dist`` is along the samples."""
-    ahead = track.withColumn("lat2", F.lead("lat").over(_BY)).withColumn("lon2", F.lead("lon").over(_BY)).withColumn("leg", F.row_number().over(_BY) - 1)
+    ahead = track.withColumn("lat2", F.lead("lat").over(_by())).withColumn("lon2", F.lead("lon").over(_by())).withColumn("leg", F.row_number().over(_by()) - 1)
     parts = F.greatest(F.lit(1), F.ceil(haversine_km("lat", "lon", "lat2", "lon2") / step_km).cast("int"))
     end = F.array(F.struct(F.lit(0).alias("k"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
     points = F.when(F.col("lat2").isNull(), end).otherwise(lerp_points("lat", "lon", "lat2", "lon2", parts))
@@ -103,7 +104,7 @@ def audit_summary(judged: DataFrame, by: str) -> DataFrame:
 
 def thinned(rows: DataFrame, most: int = TABLE_ROWS, keep_last: bool = True) -> DataFrame:
     """Every ``max(1, n // most)``-th row of a route, and its last."""
-    n, i = F.count(F.lit(1)).over(Window.partitionBy("route_id")), F.row_number().over(_BY) - 1
+    n, i = F.count(F.lit(1)).over(Window.partitionBy("route_id")), F.row_number().over(_by()) - 1
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / most))
     return rows.withColumn("__n", n).withColumn("__i", i).where((F.col("__i") % step == 0) | (F.lit(keep_last) & (F.col("__i") == F.col("__n") - 1))).drop("__n", "__i")
 
