@@ -24,8 +24,9 @@ STRICT = {"symbols": 10, "dup_lines": 30}
 LENIENT = {"symbols": 100, "dup_lines": 50}
 #: A host is condemned if the shrunk rate of any rule's failures is above this.
 HOST_LIMIT = 0.5
-#: Bounds of the prior's strength, in documents.
-PRIOR_MIN, PRIOR_MAX = 1.0, 1000.0
+#: Bounds of the prior's strength, in documents. The lower one keeps a host of a few documents from being condemned by
+#: them where hosts differ so much that the fitted prior has next to no strength.
+PRIOR_MIN, PRIOR_MAX = 10.0, 1000.0
 RULES = ("base", "symbols", "dup_lines")
 
 

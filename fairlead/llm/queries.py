@@ -84,7 +84,7 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base, 100
 hosts AS (SELECT source, count(*) AS n, unnest([sum(base::INT), sum(symbols::INT), sum(dup::INT)]) AS k, unnest(['base', 'symbols', 'dup']) AS rule FROM f GROUP BY source),
 mean AS (SELECT rule, sum(k) / sum(n) AS m FROM hosts GROUP BY rule),
 prior AS (SELECT h.rule, any_value(m) AS m, avg((k / n - m) ** 2) AS v FROM hosts h JOIN mean USING (rule) GROUP BY h.rule),
-strength AS (SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM prior),
+strength AS (SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 10.0), 1000.0) ELSE 1000.0 END AS s FROM prior),
 verdict AS (SELECT source, max((k + m * s) / (n + s)) > 0.5 AS condemned FROM hosts JOIN strength USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
        NOT base AND NOT lenient AND NOT (condemned AND (symbols OR dup)) AS kept, condemned AS host_condemned

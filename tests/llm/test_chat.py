@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from fairlead.llm import chat
 
-text = st.text(alphabet=st.sampled_from(list("\\<>|/s[]INST\nendim_start ok") + list(chat.CONTROL)), max_size=12)
+text = st.lists(st.sampled_from(list("\\<>|/s[]INST\nendim_start ok") + list(chat.CONTROL)), max_size=12).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
