@@ -20,7 +20,7 @@ def fixture(spark, tmp_path):
     texts = [t.replace(" ", "\n", 2) + ("\n" + shared if i % 3 == 0 else "") for i, t in enumerate(base)]
     texts += [base[4].replace(base[4].split()[7], "other", 1), base[5], base[5] + " end"]
     items = prose(22, 3, words=30)
-    texts += [f"{base[8]} {' '.join(items[0].split()[:14])}", "too short", None, "", "spam spam spam spam spam spam " * 10, " ".join(f"#{i} $$" for i in range(30)), "tail"]
+    texts += [f"{prose(23, 1)[0]} {' '.join(items[0].split()[:14])}", "too short", None, "", "spam spam spam spam spam spam " * 10, " ".join(f"#{i} $$" for i in range(30)), "tail"]
     rows = [(i, t, "en", f"src{r.randint(0, 3)}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
