@@ -183,7 +183,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).alias("place"))
     dealt = materialize(dealt, "pairs")
     stars = dealt.select("a", "place", F.col("b").alias("member"), F.lit(1).alias("kind")).unionByName(dealt.select("a", "place", F.col("a").alias("member"), F.lit(0).alias("kind")).distinct())
-    with_text = stars.join(docs, stars.member == docs.doc).select("a", "place", "kind", "member", "text")
+    # texts are shuffled by document whatever their size, so the plan is the same at every scale
+    with_text = stars.join(docs.hint("merge"), stars.member == docs.doc).select("a", "place", "kind", "member", "text")
 
     def run(frames):
         import numpy as np
