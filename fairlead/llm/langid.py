@@ -116,11 +116,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Filters from up to ``train_docs`` documents of each language that aren't held out."""
     small_batches(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = labelled.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= train_docs).select("id", "lang").distinct()
+    all_ = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(all_) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # of each language a share by hash that leaves enough and not much more, so the window sorts a bounded number
+    buckets = 1 << 30
+    limit = {k: min(buckets, int((1.5 * train_docs + 50) / n * buckets)) for k, n in all_.items()} or {"": 0}
+    spread = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(buckets))
+    enough = labelled.withColumn("h", spread).where(F.col("h") <= F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])[F.col("lang")])
+    by_hash = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = enough.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= train_docs).select("id", "lang").distinct()
     sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; there is room for {MAX_LANGUAGES}")
 
     def count(frames: Iterator):
         import numpy as np
@@ -137,9 +143,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     keyed = docs.select(F.col(id_col).alias("d_id"), F.col(lang_col).alias("d_lang"), F.col(text_col).alias("d_text"))
     texts = keyed.join(F.broadcast(chosen), (F.col("d_id") == F.col("id")) & (F.col("d_lang") == F.col("lang")), "left_semi")  # at most 64 x train_docs rows
-    counts = texts.select("d_lang", "d_text").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    grams_of = texts.select("d_lang", "d_text").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     size_of = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map(F.lit(""), F.lit(1))
-    shares = counts.withColumn("share", F.col("n") / size_of[F.col("lang")]).where((F.col("share") >= MIN_SHARE) & (F.col("n") > 1))
+    shares = grams_of.withColumn("share", F.col("n") / size_of[F.col("lang")]).where((F.col("share") >= MIN_SHARE) & (F.col("n") > 1))
     top = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("all"))
     # each n-gram kept is in a hundredth of a bounded number of documents, so this is bounded too
     rows = top.select("gram", F.transform(F.filter("all", lambda x: x.share * DOMINANCE >= F.col("top")), lambda x: x["lang"]).alias("langs")).toArrow()

@@ -10,9 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fairlead.plans import registry
 
 ROOT = Path(__file__).resolve().parent.parent
-SQL = entry.oracle_sql()
+SQL = registry.oracle_sql()
 
 
 def plain(v):
@@ -40,7 +41,7 @@ def test_equals_duckdb(spark, sf, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(entry.queries()) - set(SQL) if not n.startswith(("op", "pipeline"))))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
