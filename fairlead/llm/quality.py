@@ -86,16 +86,15 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     follows from the spread of the hosts' rates (method of moments).
     """
     fails = _failures(measured, STRICT)
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(fails[r].cast("long")).alias(f"f_{r}") for r in RULES])
-    totals = hosts.agg(F.sum("n_docs").alias("n_all"), *[F.sum(f"f_{r}").alias(f"a_{r}") for r in RULES])
-    spread = hosts.crossJoin(F.broadcast(totals)).agg(  # one row
-        *[F.max(F.col(f"a_{r}") / F.col("n_all")).alias(f"m_{r}") for r in RULES],
-        *[F.avg(F.pow(F.col(f"f_{r}") / F.col("n_docs") - F.col(f"a_{r}") / F.col("n_all"), F.lit(2.0))).alias(f"v_{r}") for r in RULES],
-    )
-    strength = {r: F.when(F.col(f"v_{r}") > 0, F.least(F.greatest(F.col(f"m_{r}") * (1 - F.col(f"m_{r}")) / F.col(f"v_{r}") - 1, F.lit(PRIOR_MIN)), F.lit(PRIOR_MAX))).otherwise(F.lit(PRIOR_MAX)) for r in RULES}
-    shrunk = [(F.col(f"f_{r}") + F.col(f"m_{r}") * strength[r]) / (F.col("n_docs") + strength[r]) for r in RULES]
-    rate = F.greatest(*shrunk)
-    return hosts.crossJoin(F.broadcast(spread)).select("host", "n_docs", rate.alias("host_rate"), (rate > HOST_LIMIT).alias("host_condemned"))
+    hosts = materialize(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(fails[r].cast("long")).alias(f"f_{r}") for r in RULES]), "hosts")
+    total = hosts.agg(F.sum("n_docs").alias("n"), *[F.sum(f"f_{r}").alias(r) for r in RULES]).first()  # three counts
+    if not total.n:
+        return hosts.select("host", "n_docs", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_condemned"))
+    mean = {r: total[r] / total.n for r in RULES}
+    spread = hosts.agg(*[F.avg(F.pow(F.col(f"f_{r}") / F.col("n_docs") - F.lit(mean[r]), F.lit(2.0))).alias(r) for r in RULES]).first()  # three numbers
+    strength = {r: min(max(mean[r] * (1 - mean[r]) / spread[r] - 1, PRIOR_MIN), PRIOR_MAX) if spread[r] > 0 else PRIOR_MAX for r in RULES}
+    rate = F.greatest(*[(F.col(f"f_{r}") + F.lit(mean[r] * strength[r])) / (F.col("n_docs") + F.lit(strength[r])) for r in RULES])
+    return hosts.select("host", "n_docs", rate.alias("host_rate"), (rate > HOST_LIMIT).alias("host_condemned"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
