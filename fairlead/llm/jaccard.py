@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import batches, materialize, small_batches
@@ -224,11 +224,10 @@ def components(edges: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, counts) -> DataFrame:
     """Verified pairs ``a, b`` of ``reps`` that connect all that is similar."""
     ordered = materialize(_prefixes(docs, n, pct, counts).join(reps, "doc", "left_semi"), "prefixes")
-    met = ordered.select("doc", "size", F.posexplode("prefix").alias("at", "gram"))
-    by_gram = Window.partitionBy("gram")
-    pivot = F.min(F.struct("doc", "size", "at")).over(by_gram)
-    met = met.withColumn("n", F.count(F.lit(1)).over(by_gram)).withColumn("pivot", pivot).where("n > 1").select("gram", "doc", "size", "at", "pivot")
-    met = materialize(met, "met")
+    placed = ordered.select("doc", "size", F.posexplode("prefix").alias("at", "gram"))
+    # counted before they are shuffled, and joined back: a frequent n-gram's rows never have to meet in one task
+    shared = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "size", "at")).alias("pivot")).where("n > 1").drop("n")
+    met = materialize(placed.join(shared, "gram"), "met")
     sizes = ordered.select("doc", "size", "bins")
 
     may = _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
@@ -237,11 +236,9 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, counts) -> DataFr
     links = materialize(_verified(first, docs, n, pct), "links")
 
     labels = components(links).withColumnRenamed("label", "known")
-    labelled = met.drop("pivot").join(labels, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known")
-    mixed = materialize(
-        labelled.withColumn("low", F.min("label").over(by_gram)).withColumn("high", F.max("label").over(by_gram)).where("low < high").drop("low", "high"),
-        "mixed",
-    )
+    labelled = materialize(met.drop("pivot").join(labels, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known"), "labelled")
+    open_ = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+    mixed = materialize(labelled.join(open_, "gram"), "mixed")
     x, y = (mixed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "label")]) for s in "ab")
     may = _may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), pct)
     rest = x.join(y, "gram").where((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & may).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
