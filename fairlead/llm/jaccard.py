@@ -5,8 +5,9 @@
 2. A set's n-grams are ordered rare first (by that table, then by hash: any fixed order is right, a rare-first one is
    fast). Two sets that are similar enough share one of their first ``size - ceil(t * size) + 1`` n-grams.
 3. Sets meet on these prefix n-grams. A pair must pass the length, positional and suffix filters, and is verified once.
-4. Links only matter for the component they join. So each n-gram first links its sets to one of them; pairs that are in
-   one component by then need no check, and the pairs of sets that are still in different components all get theirs.
+4. Links only matter for the component they join. So each n-gram first links its sets to one of them, then, where they
+   are in different components, to a few others; pairs that are in one component by then need no check, and the pairs of
+   sets that are still in different components all get theirs, if their parity signatures don't rule it out.
    A group of thousands of near copies costs one check a member, and no link between components is lost.
 """
 
@@ -22,8 +23,8 @@ from fairlead.llm.common import batches, materialize, small_batches
 
 #: Slots of the table of counts, in slices of SLICE.
 SLOTS, SLICE = 1 << 22, 1 << 16
-#: Bins of the suffix filter.
-BINS = 16
+#: Bins of the suffix filter; 64-bit words of a set's parity signature; pivots of an n-gram in the second round.
+BINS, WORDS, PIVOTS = 16, 4, 4
 #: Members verified beside one copy of their pivot.
 STAR = 400
 NEAR_WORDS, NEAR_PCT = 5, 80
@@ -127,7 +128,8 @@ def _counts(sets: DataFrame):
 
 
 def _prefixes(docs: DataFrame, n: int, pct: int, counts) -> DataFrame:
-    """``doc, size, prefix`` (n-grams, rare first), ``bins`` (how many of the set's n-grams fall in each of BINS)."""
+    """``doc, size, prefix`` (n-grams, rare first), ``bins`` (how many of the set's n-grams fall in each of BINS) and
+    ``sig`` (whether an odd number falls in each of 64 * WORDS)."""
     small = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(frames):
@@ -136,12 +138,14 @@ def _prefixes(docs: DataFrame, n: int, pct: int, counts) -> DataFrame:
 
         for batch in batches(frames):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            prefix, bins = [], []
+            prefix, bins, sig = [], [], []
             for s in sets:
                 keep = len(s) + (-pct * len(s) // 100) + 1 if len(s) else 0
                 often = small.value[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                 prefix.append(s[np.lexsort((s, often))[:keep]].view(np.int64))
                 bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32))
+                odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+                sig.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
             lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -149,11 +153,12 @@ def _prefixes(docs: DataFrame, n: int, pct: int, counts) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefix))),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, BINS * len(sets) + 1, BINS, dtype=np.int32)), pa.array(np.concatenate(bins))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, WORDS * len(sets) + 1, WORDS, dtype=np.int32)), pa.array(np.concatenate(sig))),
                 ],
-                names=["doc", "size", "prefix", "bins"],
+                names=["doc", "size", "prefix", "bins", "sig"],
             )
 
-    return docs.mapInArrow(run, "doc long, size int, prefix array<long>, bins array<int>")
+    return docs.mapInArrow(run, "doc long, size int, prefix array<long>, bins array<int>, sig array<long>")
 
 
 def _need(a, b, pct: int):
@@ -167,13 +172,32 @@ def _may_link(size_a, at_a, size_b, at_b, pct: int):
     return long_enough & (1 + F.least(size_a - at_a - 1, size_b - at_b - 1) >= _need(size_a, size_b, pct))
 
 
+def _near_signatures(sig_a, sig_b, size_a, size_b, pct: int):
+    """Where signatures differ, so do sets: each differing bit is an n-gram at least that only one of them has."""
+    apart = sum(F.bit_count(F.get(sig_a, F.lit(i)).bitwiseXOR(F.get(sig_b, F.lit(i)))) for i in range(WORDS))
+    return size_a + size_b - apart >= 2 * _need(size_a, size_b, pct)
+
+
 def _suffix_filter(pairs: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
-    """Drops pairs whose overlap can't be enough, bin by bin. ``pairs``: ``a, b``; ``sizes``: ``doc, size, bins``."""
-    a = sizes.select(F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("bins").alias("bins_a"))
-    b = sizes.select(F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("bins").alias("bins_b"))
+    """Drops pairs whose overlap can't be enough, by signature and bin by bin. ``pairs``: ``a, b``; ``sizes``: ``doc,
+    size, bins, sig``."""
+    a, b = (sizes.select(F.col("doc").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bins", "sig")]) for s in "ab")
     both = pairs.join(a, "a").join(b, "b")
     most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.where(most >= _need(F.col("size_a"), F.col("size_b"), pct)).select("a", "b")
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    return both.where((most >= _need(size_a, size_b, pct)) & _near_signatures(F.col("sig_a"), F.col("sig_b"), size_a, size_b, pct)).select("a", "b")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose n-gram stands in sets of different components (``label``)."""
+    open_ = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+    return materialize(rows.join(open_, "gram"), "mixed")
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of each set's component under ``links``."""
+    labels = components(links).withColumnRenamed("label", "known")
+    return materialize(rows.drop("label").join(labels, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known"), "labelled")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
@@ -228,21 +252,28 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, counts) -> DataFr
     # counted before they are shuffled, and joined back: a frequent n-gram's rows never have to meet in one task
     shared = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "size", "at")).alias("pivot")).where("n > 1").drop("n")
     met = materialize(placed.join(shared, "gram"), "met")
-    sizes = ordered.select("doc", "size", "bins")
+    sizes = ordered.select("doc", "size", "bins", "sig")
 
     may = _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
     first = met.where((F.col("doc") != F.col("pivot.doc")) & may).select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b")).distinct()
     first = materialize(_suffix_filter(first, sizes, pct), "first")
     links = materialize(_verified(first, docs, n, pct), "links")
 
-    labels = components(links).withColumnRenamed("label", "known")
-    labelled = materialize(met.drop("pivot").join(labels, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known"), "labelled")
-    open_ = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    mixed = materialize(labelled.join(open_, "gram"), "mixed")
-    x, y = (mixed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "label")]) for s in "ab")
-    may = _may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), pct)
+    # more pivots for n-grams of many components, so that large groups of near copies are one by the third round
+    mixed = _mixed(_labelled(met.drop("pivot"), links))
+    pivots = mixed.groupBy("gram").agg(F.array(*[F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("h"), "doc", "size", "at", "label")) for i in range(PIVOTS)]).alias("pivots"))
+    beside = mixed.join(pivots, "gram").select("doc", "size", "at", "label", F.explode(F.array_distinct("pivots")).alias("pivot"))
+    may = (F.col("label") != F.col("pivot.label")) & _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
+    second = beside.where(may).select(F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
+    second = materialize(_suffix_filter(second.join(first, ["a", "b"], "left_anti"), sizes, pct), "second")
+    links = links.unionByName(materialize(_verified(second, docs, n, pct), "links"))
+
+    mixed = _mixed(_labelled(mixed, links).join(sizes.select("doc", "sig"), "doc"))
+    x, y = (mixed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "label", "sig")]) for s in "ab")
+    may = _may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), pct) & _near_signatures(F.col("sig_a"), F.col("sig_b"), F.col("size_a"), F.col("size_b"), pct)
     rest = x.join(y, "gram").where((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & may).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
-    rest = _suffix_filter(rest.join(first, ["a", "b"], "left_anti"), sizes, pct)
+    tried = first.unionByName(second)
+    rest = _suffix_filter(rest.join(tried, ["a", "b"], "left_anti"), sizes, pct)
     return links.unionByName(materialize(_verified(rest, docs, n, pct), "links"))
 
 

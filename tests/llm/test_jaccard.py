@@ -79,6 +79,18 @@ def test_components(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3, 9: 3, 7: 7, 8: 7}
 
 
+def test_signatures_never_rule_out_a_link(spark):
+    """At a threshold around which the sets of near copies lie, without the bins' help and with few bits."""
+    texts = near_copies(7) + near_copies(8)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (ascii_lower(t).split() for t in texts)]
+    docs = documents(spark, texts).selectExpr("doc_id as doc", "text")
+    p = {r.doc: r for r in jaccard._prefixes(docs, 4, 85, np.zeros(jaccard.SLOTS, np.uint32)).collect()}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p[i].sig, p[j].sig, strict=True))
+            assert apart <= len(a ^ sets[j])
+
+
 def test_need_is_the_least_overlap():
     for a in range(1, 40):
         for b in range(1, 40):
