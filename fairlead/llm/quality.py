@@ -5,6 +5,9 @@ symbols or many repeated lines. Failures are counted by host, each host's rate i
 to all hosts, and a host whose shrunk rate is high for any rule is condemned. The host's verdict goes back to its
 documents as the limit that the soft rules use: strict in a condemned host, lenient elsewhere. A document that
 breaks no rule is kept whatever its host.
+
+The table of :func:`quality_rules` has those limits, as its SQL fixes them. :func:`kept_documents` is stricter: a host
+that isn't condemned has the ordinary limits, less as far as its shrunk rate is above that of all documents.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
 #: Percentages for the soft rules: symbols of words, repeated lines of lines with a word.
 STRICT = {"symbols": 10, "dup_lines": 30}
 LENIENT = {"symbols": 100, "dup_lines": 50}
+#: For filtering: limits of a host that fails no more often than all documents do.
+ORDINARY = {"symbols": 30, "dup_lines": 50}
 #: A host is condemned if the shrunk rate of any rule's failures is above this.
 HOST_LIMIT = 0.5
 #: Bounds of the prior's strength, in documents. The lower one keeps a host of a few documents from being condemned by
@@ -71,30 +76,46 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     ).select("doc", "host", "w.*", "n_symbols", "l.*")
 
 
-def _failures(m: DataFrame, limits: dict[str, int]) -> dict[str, Column]:
+def _failures(limits: dict[str, int | Column]) -> dict[str, Column]:
     return {
         "base": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")),
-        "symbols": 100 * F.col("n_symbols") > limits["symbols"] * F.col("n_words"),
-        "dup_lines": 100 * F.col("n_dup_lines") > limits["dup_lines"] * F.col("n_lines"),
+        "symbols": 100 * F.col("n_symbols") > F.col("n_words") * limits["symbols"],
+        "dup_lines": 100 * F.col("n_dup_lines") > F.col("n_lines") * limits["dup_lines"],
     }
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """``host, n_docs, host_rate, host_condemned``: one row a host; the rate is the largest of the rules'.
+    """``host, n_docs, host_rate, host_condemned, limit_symbols, limit_dup_lines``: one row a host; the rate is the
+    largest of the rules'. A limit is the ordinary one times the rule's rate over all documents by the host's shrunk
+    rate, in whole percent, from the strict one to the ordinary one; the strict one in a condemned host.
 
     The prior of each rule is a beta distribution whose mean is the rate over all documents and whose strength
     follows from the spread of the hosts' rates (method of moments).
     """
-    fails = _failures(measured, STRICT)
+    fails = _failures(STRICT)
     hosts = materialize(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(fails[r].cast("long")).alias(f"f_{r}") for r in RULES]), "hosts")
     total = hosts.agg(F.sum("n_docs").alias("n"), *[F.sum(f"f_{r}").alias(r) for r in RULES]).first()  # three counts
     if not total.n:
-        return hosts.select("host", "n_docs", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_condemned"))
+        return hosts.select("host", "n_docs", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_condemned"), *[F.lit(ORDINARY[r]).alias(f"limit_{r}") for r in STRICT])
     mean = {r: total[r] / total.n for r in RULES}
     spread = hosts.agg(*[F.avg(F.pow(F.col(f"f_{r}") / F.col("n_docs") - F.lit(mean[r]), F.lit(2.0))).alias(r) for r in RULES]).first()  # three numbers
     strength = {r: min(max(mean[r] * (1 - mean[r]) / spread[r] - 1, PRIOR_MIN), PRIOR_MAX) if spread[r] > 0 else PRIOR_MAX for r in RULES}
-    rate = F.greatest(*[(F.col(f"f_{r}") + F.lit(mean[r] * strength[r])) / (F.col("n_docs") + F.lit(strength[r])) for r in RULES])
-    return hosts.select("host", "n_docs", rate.alias("host_rate"), (rate > HOST_LIMIT).alias("host_condemned"))
+    shrunk = {r: (F.col(f"f_{r}") + F.lit(mean[r] * strength[r])) / (F.col("n_docs") + F.lit(strength[r])) for r in RULES}
+    rate = F.greatest(*shrunk.values())
+    # a rule that no document breaks has no rate to compare with
+    moved = {r: F.round(F.lit(ORDINARY[r] * mean[r]) / shrunk[r]).cast("int") if mean[r] else F.lit(ORDINARY[r]) for r in STRICT}
+    limits = [F.when(rate > HOST_LIMIT, STRICT[r]).otherwise(F.least(F.greatest(moved[r], F.lit(STRICT[r])), F.lit(ORDINARY[r]))).alias(f"limit_{r}") for r in STRICT]
+    return hosts.select("host", "n_docs", rate.alias("host_rate"), (rate > HOST_LIMIT).alias("host_condemned"), *limits)
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """The measures of each row, with ``base_failed, kept`` and its host's verdict."""
+    m = materialize(measures(docs, id_col, text_col, host_col), "quality")
+    v = host_verdicts(m).withColumnRenamed("host", "v_host")
+    strict, lenient = _failures(STRICT), _failures(LENIENT)
+    soft = lambda f: f["symbols"] | f["dup_lines"]
+    judged = m.join(v.drop("n_docs"), m.host.eqNullSafe(v.v_host), "left").withColumn("base_failed", strict["base"])
+    return judged.withColumn("kept", ~F.col("base_failed") & ~soft(lenient) & ~(F.col("host_condemned") & soft(strict)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -105,16 +126,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several equal rows gets its own row. An empty table gives an empty result. The texts are read once: their
     counts, a few numbers a document, are written to the shared folder for the two passes that follow.
     """
-    m = materialize(measures(docs, id_col, text_col, host_col), "quality")
-    v = host_verdicts(m).select(F.col("host").alias("v_host"), "host_condemned")
-    strict, lenient = _failures(m, STRICT), _failures(m, LENIENT)
-    soft = lambda f: f["symbols"] | f["dup_lines"]
-    judged = m.join(v, m.host.eqNullSafe(v.v_host), "left").withColumn("base_failed", strict["base"])
-    kept = ~F.col("base_failed") & ~soft(lenient) & ~(F.col("host_condemned") & soft(strict))
-    return judged.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_condemned")
+    judged = _judged(docs, id_col, text_col, host_col)
+    return judged.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_condemned")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns; a row goes if any row with its id fails."""
-    failed = quality_rules(docs, id_col, text_col, host_col).where(~F.col("kept")).select(F.col(id_col).alias("__failed")).distinct()
+    """The documents that pass, with all their columns; a row goes if any row with its id fails.
+
+    What :func:`quality_rules` doesn't keep goes, and what breaks its host's limits (see :func:`host_verdicts`).
+    """
+    moved = _failures({r: F.col(f"limit_{r}") for r in STRICT})
+    passed = F.col("kept") & ~moved["symbols"] & ~moved["dup_lines"]
+    failed = _judged(docs, id_col, text_col, host_col).where(~passed).select(F.col("doc").alias("__failed")).distinct()
     return docs.join(failed, docs[id_col].eqNullSafe(failed["__failed"]), "left_anti")

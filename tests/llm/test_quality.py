@@ -53,6 +53,18 @@ def test_empty_repeated_rows_and_filter(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, r in collect(quality.quality_rules(docs)).items() if r["kept"]}
 
 
+def test_filter_judges_hosts_by_all_documents(spark):
+    clean, table = "one two three four five six seven eight nine ten eleven", " | ".join(["word one", "two", "three", "four", "five", "six", "seven", "eight", "nine"])
+    soft = "#one #two three four five six seven eight nine ten"  # 20 symbols for 100 words
+    rows = [(i, f"{clean} {i}", f"h{i % 10}") for i in range(1000)] + [(2000, table, "h1"), (2001, soft, "h1")]
+    rows += [(3000 + i, f"{soft} {i}" if i % 5 == 0 else f"{clean} {i}", "worse") for i in range(200)]  # a fifth fails: never condemned
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = collect(quality.quality_rules(docs))
+    assert all(r["kept"] and not r["host_condemned"] for r in judged.values())
+    gone = set(judged) - {r.doc_id for r in quality.kept_documents(docs).collect()}
+    assert gone == {2000} | {3000 + i for i in range(0, 200, 5)}, "pipe tables anywhere, what has many symbols where that is usual"
+
+
 def test_native(spark):
     plan = quality.measures(documents(spark, ["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
