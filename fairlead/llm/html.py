@@ -6,9 +6,9 @@
    their suffixes sorted by their first tokens (a suffix array by prefix doubling); neighbours that share them are
    repeats. Chunks of a host are merged by those shared beginnings, so a repeat across chunks is found as well and a
    host of any size is spread over many tasks.
-3. On a page without an article, open blocks that lie wholly in runs repeated on other pages of the host are dropped
-   as boilerplate; blocks with a unique run stay whole. If that left nothing, the page is a copy of another, and its
-   open blocks stay.
+3. On a page without an article, open blocks that lie wholly in boilerplate are dropped: runs on a share of the host's
+   pages, near copies counted once, so that versions of one text don't erase what they share. If that leaves nothing,
+   only runs on half of the pages count.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.llm import jaccard
 from fairlead.llm.common import batches, materialize, small_batches
 
 #: Tokens of a repeated run at least; must be a power of two. Tokens of a chunk at most, about.
 RUN, CHUNK_TOKENS = 8, 200_000
+#: A run is boilerplate from so many pages of the host and so large a share of them; the second share is for pages that
+#: would be left with nothing. Pages are near copies from this percentage of shared runs.
+MIN_PAGES, SHARE, SURE_SHARE, COPY_PCT = 3, 0.2, 0.5, 40
 
 # Elements and words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -147,7 +151,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def _repeats(key, chunk):
-    """For one chunk of a host's pages: each run of ``RUN`` tokens, with the least and greatest page it is on.
+    """For one chunk of a host's pages: each run of ``RUN`` tokens, with the number of pages it is on.
 
     The pages' streams are concatenated, with a different token after each, and the suffixes sorted by their first
     ``RUN`` tokens by prefix doubling; suffixes of equal rank share them.
@@ -180,11 +184,11 @@ def _repeats(key, chunk):
     order = np.lexsort((page[starts], ranks))  # the suffix array, as far as it is needed
     ranks, starts = ranks[order], starts[order]
     first = np.flatnonzero(np.concatenate([[True], np.diff(ranks) != 0])) if len(ranks) else np.zeros(0, np.int64)
-    uid = chunk["uid"].to_numpy()[page[starts]]
     flat = [t for s in streams for t in s]
     runs = [_run_hash(flat[i : i + RUN]) for i in starts[first].tolist()]
-    low, high = (np.minimum.reduceat(uid, first), np.maximum.reduceat(uid, first)) if len(first) else (uid, uid)
-    return pa.table({"host": pa.array([key[0].as_py()] * len(runs), pa.string()), "run": pa.array(runs, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+    another = np.concatenate([[1], (np.diff(ranks) != 0) | (np.diff(page[starts]) != 0)]).astype(np.int64)
+    pages = np.add.reduceat(another, first) if len(first) else np.zeros(0, np.int64)
+    return pa.table({"host": pa.array([key[0].as_py()] * len(runs), pa.string()), "run": pa.array(runs, pa.int64()), "pages": pa.array(pages, pa.int64())})
 
 
 def _run_hash(tokens: list[str]) -> int:
@@ -227,12 +231,33 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def repeated_runs(streams: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """``host, run``: hashes of the runs of ``RUN`` tokens on at least two pages of a host; from ``uid, host, stream``."""
+    """``host, run, pages``: hashes of the runs of ``RUN`` tokens on at least two pages of a host, and on how many; from
+    ``uid, host, stream``."""
     sized = streams.where(F.col("stream") != "").withColumn("n", F.size(F.split("stream", " ")))
     chunks = sized.groupBy("host").agg(F.ceil(F.sum("n") / chunk_tokens).alias("chunks"))
     dealt = sized.join(chunks, "host").select("uid", "host", "stream", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk"))
-    found = dealt.groupBy("host", "chunk").applyInArrow(_repeats, "host string, run long, low long, high long")
-    return found.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run")
+    found = dealt.groupBy("host", "chunk").applyInArrow(_repeats, "host string, run long, pages long")  # a page is in one chunk
+    return found.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where("pages > 1")
+
+
+def _once(parsed: DataFrame) -> DataFrame:
+    """``uid, host, stream`` of the pages, but of near copies on a host that have no article only one."""
+    pages = parsed.where(F.col("open").isNotNull())
+    every = parsed.select("uid", "host", "stream")
+    if pages.isEmpty():
+        return every
+    salt = F.hex(F.xxhash64("host"))  # copies on other hosts share nothing
+    words = F.concat(salt, F.regexp_replace(F.array_join("open", " "), F.lit(" "), F.concat(F.lit(" "), salt)))
+    copies = jaccard.near_duplicates(pages.select("uid", words.alias("text")), RUN, COPY_PCT, "uid", "text").where("component_id <> uid").select("uid")
+    small_batches(parsed.sparkSession, 200)
+    return every.join(copies, "uid", "left_anti")
+
+
+def _boilerplate(once: DataFrame) -> DataFrame:
+    """``host, run, sure``; ``sure`` for runs on the larger share."""
+    total = once.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    found = repeated_runs(once).where(F.col("pages") >= MIN_PAGES).join(total, "host").where(F.col("pages") >= F.col("total") * SHARE)
+    return found.select("host", "run", (F.col("pages") >= F.col("total") * SURE_SHARE).alias("sure"))
 
 
 def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -247,7 +272,7 @@ def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
 
     pages = parsed.where(F.col("open").isNotNull())
     own = pages.select("uid", "host", "stream").mapInArrow(runs, "uid long, host string, run long").distinct()
-    found = own.join(repeated, ["host", "run"]).groupBy("uid").agg(F.collect_list("run").alias("runs"))
+    found = own.join(repeated, ["host", "run"]).groupBy("uid").agg(F.collect_list("run").alias("runs"), F.collect_list(F.when(F.col("sure"), F.col("run"))).alias("sure"))
 
     def keep(frames):
         import numpy as np
@@ -255,19 +280,23 @@ def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
 
         for batch in batches(frames):
             kept = []
-            for _, open_, stream, at, runs_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens, runs_ = stream.split(" "), set(runs_ or ())
-                covered = np.zeros(len(tokens) + 1, np.int64)
-                for i in range(len(tokens) - RUN + 1):
-                    if runs_ and _run_hash(tokens[i : i + RUN]) in runs_:
-                        covered[i] += 1
-                        covered[i + RUN] -= 1
-                covered = np.cumsum(covered) > 0
-                unique = [t for t, a in zip(open_, at, strict=True) if not covered[a : a + t.count(" ") + 1].all()]
-                kept.append("\n".join(unique or open_))
+            for _, open_, stream, at, runs_, sure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = stream.split(" ")
+                hashes = [_run_hash(tokens[i : i + RUN]) for i in range(len(tokens) - RUN + 1)] if runs_ else []
+
+                def stay(some, n=len(tokens), hashes=hashes, open_=open_, at=at):
+                    some, covered = set(some or ()), np.zeros(n + 1, np.int64)
+                    for i, h in enumerate(hashes):
+                        if h in some:
+                            covered[i] += 1
+                            covered[i + RUN] -= 1
+                    covered = np.cumsum(covered) > 0
+                    return [t for t, a in zip(open_, at, strict=True) if not covered[a : a + t.count(" ") + 1].all()]
+
+                kept.append("\n".join(stay(runs_) or stay(sure)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["uid", "kept"])
 
-    return pages.join(found, "uid", "left").select("uid", "open", "stream", "at", "runs").mapInArrow(keep, "uid long, kept string")
+    return pages.join(found, "uid", "left").select("uid", "open", "stream", "at", "runs", "sure").mapInArrow(keep, "uid long, kept string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -279,8 +308,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     small_batches(pages.sparkSession, 200)
     parsed = materialize(_parsed(pages, id_col, url_col, html_col), "pages")
-    repeated = repeated_runs(parsed.select("uid", "host", "stream"))
-    unique = _unique_blocks(parsed, repeated).withColumnRenamed("uid", "u")
+    unique = _unique_blocks(parsed, _boilerplate(_once(parsed))).withColumnRenamed("uid", "u")
     settled = parsed.where(F.col("open").isNull()).select("page", "url", F.col("main").alias("text"))
     decided = parsed.where(F.col("open").isNotNull()).select("uid", "page", "url").join(unique, F.col("uid") == F.col("u")).select("page", "url", F.col("kept").alias("text"))
     return settled.unionByName(decided).select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

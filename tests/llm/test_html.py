@@ -62,6 +62,23 @@ def test_host_boilerplate_without_articles(spark):
     assert got[20] == notice and got[21] == body[0], "another host has no repeats"
 
 
+def test_versions_of_a_text_keep_what_they_share(spark):
+    p = prose(31, 30, words=60, vocabulary=4000)
+    menu = "harbour news tides charts weather crew notices about this site and contact"
+    page = lambda *paragraphs: f"<div>{menu}</div>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+    rows = [(i, "http://a/", page(p[i], p[i + 8])) for i in range(6)]
+    rows += [(10 + i, "http://a/", page(p[20], p[21], p[22 + i])) for i in range(4)] + [(20, "http://a/", page(p[0], p[29])), (30, "http://a/", page())]
+    rows += [(40, "http://b/", page(p[20], p[21], p[22])), (41, "http://b/", page(p[20], p[21], p[23]))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"{p[i]}\n{p[i + 8]}"
+    for i in range(4):
+        assert got[10 + i] == f"{p[20]}\n{p[21]}\n{p[22 + i]}", "copies neither lose what they share nor keep the menu"
+    assert got[20] == f"{p[0]}\n{p[29]}", "a quotation stays"
+    assert got[30] == "", "a menu and nothing else"
+    assert got[40].endswith(f"{p[20]}\n{p[21]}\n{p[22]}") and got[41].endswith(f"{p[20]}\n{p[21]}\n{p[23]}")
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "http://a/", PAGE), (4, "http://a/", PAGE), (4, "http://a/", PAGE), (5, "http://a/", "<article>" + "<p>word</p>" * 20_000), (6, "", "<nav>only</nav>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
