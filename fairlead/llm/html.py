@@ -1,14 +1,18 @@
 """Main text of web pages: what markup says, and for the rest a host's suffix array.
 
 1. Each page is parsed to blocks of text. Markup settles most: blocks inside an article are *main*, menus, headers,
-   footers, sidebars, notices, adverts, forms and comments are *chrome*; other blocks are *open*.
+   footers, sidebars, notices, adverts, forms and comments are *chrome*; other blocks are *open*. What is chrome only
+   by a word of its class or id, or as a form, is less sure: an article in it that is larger than all other main text
+   is main (and if the page has nothing else, what stands right in it is open), and inside an article a block that is
+   chrome by a word only is *unclear*.
 2. All that isn't main is a page's token stream. A host's streams, a chunk of pages at a time, are concatenated and
    their suffixes sorted by their first tokens (a suffix array by prefix doubling); neighbours that share them are
    repeats. Chunks of a host are merged by those shared beginnings, so a repeat across chunks is found as well and a
    host of any size is spread over many tasks.
 3. On a page without an article, open blocks that lie wholly in boilerplate are dropped: runs on a share of the host's
    pages, near copies counted once, so that versions of one text don't erase what they share. If that leaves nothing,
-   only runs on half of the pages count.
+   only runs on half of the pages count. Unclear blocks go if they lie wholly in runs on two pages, near copies counted
+   once, or are shorter than a run and stand on another page too.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ CHROME_WORDS = frozenset(
     "sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended recommendations widget comment comments disqus "
     "respond replies discussion".split()
 )
+#: These say chrome inside an article too, whatever the host's other pages hold.
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
 #: These say chrome outside an article only; an article may have a header of its own.
 OUTER_WORDS = frozenset("header head top".split())
 MAIN_ROLES, MAIN_TAGS = frozenset(["main", "article"]), frozenset(["article", "main"])
@@ -53,33 +59,86 @@ _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
-MAIN, OPEN, CHROME = 0, 1, 2
+MAIN, OPEN, CHROME, UNCLEAR = 0, 1, 2, 3
+#: A wrapper that is chrome by a word or as a form, an article in one, and an unclear block in that article.
+WRAPPER, INNER, INNER_UNCLEAR = 4, 5, 6
 
 
 def _zone(tag: str, attrs: str, zone: int) -> int:
-    """Of an element inside ``zone``."""
-    if zone == CHROME or tag in CHROME_TAGS:
+    """Kind of an element inside an element of kind ``zone``."""
+    if zone == CHROME or tag in CHROME_TAGS and tag != "form":
         return CHROME
+    inside = zone in (MAIN, UNCLEAR, INNER, INNER_UNCLEAR)
+    if tag == "form":
+        return CHROME if inside else WRAPPER
+    article = tag in MAIN_TAGS
     if attrs and attrs.strip():
         found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
         role = found.get("role", "").lower()
         if role in CHROME_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
             return CHROME
+        article = article or role in MAIN_ROLES or found.get("itemprop", "").lower() == "articlebody"
         named = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        if tag not in ("html", "body", "article", "main") and (named & CHROME_WORDS or zone != MAIN and named & OUTER_WORDS):
-            return CHROME
-        if role in MAIN_ROLES or found.get("itemprop", "").lower() == "articlebody":
-            return MAIN
-    if tag == "header" and zone != MAIN:
-        return CHROME
-    return MAIN if tag in MAIN_TAGS else zone
+        if tag not in ("html", "body", "article", "main"):
+            if named & COMMENT_WORDS:
+                return CHROME
+            if named & CHROME_WORDS and not (article and inside):
+                return {MAIN: UNCLEAR, INNER: INNER_UNCLEAR}.get(zone, zone) if inside else WRAPPER
+            if named & OUTER_WORDS and not inside:
+                return WRAPPER
+    if inside:
+        return zone
+    if article:
+        return INNER if zone == WRAPPER else MAIN
+    return CHROME if tag == "header" else zone
+
+
+class _Zone(int):
+    """A kind with the element it comes from: ``wrapper`` counts wrappers from the outermost, ``article`` is its number."""
+
+    depth, wrapper, article = 0, 0, 0
+
+
+def _settled(found: list[tuple[_Zone, str]]) -> list[tuple[int, str]]:
+    """Wrappers and what is in them, settled by the page as a whole."""
+    if all(z < WRAPPER for z, _ in found):
+        return [(int(z), t) for z, t in found]
+    sizes: dict[tuple[int, int, int], int] = {}
+    for z, t in found:
+        if z in (INNER, INNER_UNCLEAR):
+            key = (-z.depth, z.wrapper, z.article)
+            sizes[key] = sizes.get(key, 0) + len(t)
+    largest = max(sizes, key=lambda k: (k[0], sizes[k]), default=None)  # the outermost, then the largest, then the first
+    reopened = largest[1] if largest and sizes[largest] > sum(len(t) for z, t in found if z in (MAIN, UNCLEAR)) else None
+    bare = not sizes and all(z in (CHROME, WRAPPER) for z, _ in found)
+    out = []
+    for z, t in found:
+        if z in (INNER, INNER_UNCLEAR):
+            kind = (MAIN if z == INNER else UNCLEAR) if z.wrapper == reopened else CHROME
+        else:
+            kind = int(z) if z < WRAPPER else OPEN if bare and z.depth == 1 else CHROME
+        out.append((kind, t))
+    return out
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """``(zone, text)`` of each block with text, in page order."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    zone, parts, at = OPEN, [], 0
+    out: list[tuple[_Zone, str]] = []
+    stack: list[tuple[str, _Zone]] = []
+    outside = _Zone(OPEN)
+    zone, parts, at = outside, [], 0
+
+    def inside(tag: str, attrs: str, outer: _Zone) -> _Zone:
+        kind = _zone(tag, attrs, outer)
+        if kind == outer and not (kind == WRAPPER and _zone(tag, attrs, OPEN) == WRAPPER):
+            return outer
+        new = _Zone(kind)
+        new.depth, new.wrapper, new.article = outer.depth, outer.wrapper, outer.article
+        if kind == WRAPPER:
+            new.depth, new.wrapper = outer.depth + 1, m.start()
+        elif kind == INNER:
+            new.article = m.start()
+        return new
 
     def text(raw: str) -> None:
         if raw:
@@ -107,10 +166,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag not in INLINE or stack[i][1] != zone:
+                    if tag not in INLINE or stack[i][1] is not zone:
                         flush()
                     del stack[i:]
-                    zone = stack[-1][1] if stack else OPEN
+                    zone = stack[-1][1] if stack else outside
                     break
                 if stack[i][0] in WALLS and tag not in WALLS:
                     break
@@ -128,8 +187,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if tag not in ("svg", "math", "select"):
                 flush()
             continue
-        inner = _zone(tag, m[3], zone)
-        if tag not in INLINE or inner != zone:
+        inner = inside(tag, m[3], zone)
+        if tag not in INLINE or inner is not zone:
             flush()
         if tag in VOID or m[3].rstrip().endswith("/") and tag in INLINE:
             continue
@@ -137,8 +196,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == closed:
                     del stack[i:]
-                    zone = stack[-1][1] if stack else OPEN
-                    inner = _zone(tag, m[3], zone)
+                    zone = stack[-1][1] if stack else outside
+                    inner = inside(tag, m[3], zone)
                     break
                 if stack[i][0] in WALLS or stack[i][0] in ("ul", "ol", "dl", "tr"):
                     break
@@ -147,7 +206,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     else:
         text(page[at:])
     flush()
-    return out
+    return _settled(out)
 
 
 def _repeats(key, chunk):
@@ -198,35 +257,38 @@ def _run_hash(tokens: list[str]) -> int:
 
 
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``uid`` (of the row), id, url, ``main``, ``open`` (blocks of a page without an article), ``stream``, ``at``:
-    the tokens of the stream before each open block."""
+    """``uid`` (of the row), id, url, ``main``, ``stream`` (all but main text), and for pages that runs decide ``open``
+    (the blocks that may stay: main and unclear ones, or open ones on a page without either), ``at`` (the tokens of the
+    stream before each; -1 for main blocks) and ``unclear`` (whether ``open`` has such blocks)."""
 
     def run(frames: Iterator):
         import pyarrow as pa
 
         for batch in batches(frames):
-            main, open_, stream, places = [], [], [], []
+            main, open_, stream, places, doubt = [], [], [], [], []
             for page in batch.column(2).to_pylist():
                 found = blocks(page or "")
-                text = "\n".join(t for z, t in found if z == MAIN)
-                main.append(text)
-                rest = [(z, t) for z, t in found if z != MAIN]
-                at, n = [], 0
-                for z, t in rest:
-                    if z == OPEN:
-                        at.append(n)
-                    n += t.count(" ") + 1
-                stream.append(" ".join(t for _, t in rest))
-                decide = not text and bool(at)
-                open_.append([t for z, t in rest if z == OPEN] if decide else None)
+                main.append("\n".join(t for z, t in found if z == MAIN))
+                unclear = any(z == UNCLEAR for z, _ in found)
+                may = (MAIN, UNCLEAR) if unclear or main[-1] else (OPEN,)
+                some, at, n = [], [], 0
+                for z, t in found:
+                    if z in may:
+                        some.append(t)
+                        at.append(-1 if z == MAIN else n)
+                    n += t.count(" ") + 1 if z != MAIN else 0
+                stream.append(" ".join(t for z, t in found if z != MAIN))
+                decide = unclear or not main[-1] and bool(some)
+                open_.append(some if decide else None)
                 places.append(at if decide else None)
+                doubt.append(unclear)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(main, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(stream, pa.string()), pa.array(places, pa.list_(pa.int32()))],
-                names=["page", "url", "main", "open", "stream", "at"],
+                [batch.column(0), batch.column(1), pa.array(main, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(stream, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(doubt, pa.bool_())],
+                names=["page", "url", "main", "open", "stream", "at", "unclear"],
             )
 
     kind = pages.schema[id_col].dataType.simpleString()
-    found = pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, f"page {kind}, url string, main string, open array<string>, stream string, at array<int>")
+    found = pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, f"page {kind}, url string, main string, open array<string>, stream string, at array<int>, unclear boolean")
     return found.withColumn("uid", F.monotonically_increasing_id()).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit(""))))
 
 
@@ -241,7 +303,7 @@ def repeated_runs(streams: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataF
 
 
 def _once(parsed: DataFrame) -> DataFrame:
-    """``uid, host, stream`` of the pages, but of near copies on a host that have no article only one."""
+    """``uid, host, stream`` of the pages, but of near copies on a host that runs decide only one."""
     pages = parsed.where(F.col("open").isNotNull())
     every = parsed.select("uid", "host", "stream")
     if pages.isEmpty():
@@ -254,14 +316,22 @@ def _once(parsed: DataFrame) -> DataFrame:
 
 
 def _boilerplate(once: DataFrame) -> DataFrame:
-    """``host, run, sure``; ``sure`` for runs on the larger share."""
+    """``host, run, share``: the runs on two pages at least, and their share of the pages (0 on fewer than MIN_PAGES)."""
     total = once.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    found = repeated_runs(once).where(F.col("pages") >= MIN_PAGES).join(total, "host").where(F.col("pages") >= F.col("total") * SHARE)
-    return found.select("host", "run", (F.col("pages") >= F.col("total") * SURE_SHARE).alias("sure"))
+    share = F.when(F.col("pages") >= MIN_PAGES, F.col("pages") / F.col("total")).otherwise(0.0)
+    return repeated_runs(once).join(total, "host").select("host", "run", share.alias("share"))
+
+
+def _short_repeats(parsed: DataFrame) -> DataFrame:
+    """``uid, short``: a page's unclear blocks of fewer tokens than a run that stand on another page of the host too."""
+    one = parsed.where("unclear").select("uid", "host", F.explode(F.arrays_zip("open", "at")).alias("b")).where("b.at >= 0").select("uid", "host", F.col("b.open").alias("t"))
+    one = one.where(F.size(F.split("t", " ")) < RUN).distinct()
+    twice = one.groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "t")
+    return one.join(twice, ["host", "t"]).groupBy("uid").agg(F.collect_list("t").alias("short"))
 
 
 def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``uid, kept``: of pages without an article, the open blocks that stay."""
+    """``uid, kept``: of the pages that runs decide, the blocks that stay."""
 
     def runs(frames):
         import pyarrow as pa
@@ -272,7 +342,9 @@ def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
 
     pages = parsed.where(F.col("open").isNotNull())
     own = pages.select("uid", "host", "stream").mapInArrow(runs, "uid long, host string, run long").distinct()
-    found = own.join(repeated, ["host", "run"]).groupBy("uid").agg(F.collect_list("run").alias("runs"), F.collect_list(F.when(F.col("sure"), F.col("run"))).alias("sure"))
+    of = lambda least: F.collect_list(F.when(F.col("share") >= least, F.col("run")))
+    found = own.join(repeated, ["host", "run"]).groupBy("uid").agg(of(0.0).alias("twice"), of(SHARE).alias("runs"), of(SURE_SHARE).alias("sure"))
+    told = pages.join(found, "uid", "left").join(_short_repeats(parsed), "uid", "left")
 
     def keep(frames):
         import numpy as np
@@ -280,23 +352,23 @@ def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
 
         for batch in batches(frames):
             kept = []
-            for _, open_, stream, at, runs_, sure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = stream.split(" ")
-                hashes = [_run_hash(tokens[i : i + RUN]) for i in range(len(tokens) - RUN + 1)] if runs_ else []
+            for _, open_, stream, at, unclear, twice, runs_, sure, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens, short = stream.split(" "), set(short or ())
+                hashes = [_run_hash(tokens[i : i + RUN]) for i in range(len(tokens) - RUN + 1)] if twice else []
 
-                def stay(some, n=len(tokens), hashes=hashes, open_=open_, at=at):
+                def stay(some, n=len(tokens), hashes=hashes, open_=open_, at=at, unclear=unclear, short=short):
                     some, covered = set(some or ()), np.zeros(n + 1, np.int64)
                     for i, h in enumerate(hashes):
                         if h in some:
                             covered[i] += 1
                             covered[i + RUN] -= 1
                     covered = np.cumsum(covered) > 0
-                    return [t for t, a in zip(open_, at, strict=True) if not covered[a : a + t.count(" ") + 1].all()]
+                    return [t for t, a in zip(open_, at, strict=True) if a < 0 or not (t in short if unclear and t.count(" ") < RUN - 1 else covered[a : a + t.count(" ") + 1].all())]
 
-                kept.append("\n".join(stay(runs_) or stay(sure)))
+                kept.append("\n".join(stay(twice) if unclear else stay(runs_) or stay(sure)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["uid", "kept"])
 
-    return pages.join(found, "uid", "left").select("uid", "open", "stream", "at", "runs", "sure").mapInArrow(keep, "uid long, kept string")
+    return told.select("uid", "open", "stream", "at", "unclear", "twice", "runs", "sure", "short").mapInArrow(keep, "uid long, kept string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -79,6 +79,24 @@ def test_versions_of_a_text_keep_what_they_share(spark):
     assert got[40].endswith(f"{p[20]}\n{p[21]}\n{p[22]}") and got[41].endswith(f"{p[20]}\n{p[21]}\n{p[23]}")
 
 
+def test_wrappers_that_look_like_chrome():
+    article = "<article><p>one two three</p></article>"
+    for wrapped in (f'<div class="page has-sidebar">{article}</div>', f'<div class="content-sidebar-wrap"><main>{article}</main></div>', f'<form action="/">{article}</form>', f'<div class="has-sidebar"><form>{article}</form></div>', '<div class="top"><div role="main">one two three</div></div>'):
+        assert main_text(f"<body><nav>menu</nav>{wrapped}<footer>foot</footer></body>") == "one two three", wrapped
+    for chrome in ('<div id="comments">{}</div>', "<aside>{}</aside>", "<nav>{}</nav>", "<footer>{}</footer>"):
+        assert main_text(chrome.format(article)) == ""
+    assert main_text(f'<div class="page has-sidebar">{article}<div class="related"><article>a much longer teaser</article></div></div>') == "one two three"
+    assert main_text(f'{article}<div class="related"><article>teaser</article></div>') == "one two three"
+    assert html.blocks('<form><div>one</div><nav>n</nav><div class="cookie">c</div></form>') == [(html.OPEN, "one"), (html.CHROME, "n"), (html.CHROME, "c")]
+
+
+def test_class_words_inside_articles_are_confirmed_by_the_host(spark):
+    p, offer = prose(41, 12, words=40, vocabulary=4000), "subscribe to our weekly letter now and get all the news of the sea"
+    page = lambda i, own: f'<article><h2 id="promotion">Promotion {own}</h2><p class="alert">{own}</p><p>{p[i]}</p><section id="discussion"><p>{p[i + 6]}</p></section><div class="newsletter">{offer}</div><div class="ad">Buy</div></article>'
+    got = [r.text for r in html.extract(spark.createDataFrame([(i, "http://a/", page(i, f"mind the {i}")) for i in range(5)], "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == [f"Promotion mind the {i}\nmind the {i}\n{p[i]}\n{p[i + 6]}" for i in range(5)]
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "http://a/", PAGE), (4, "http://a/", PAGE), (4, "http://a/", PAGE), (5, "http://a/", "<article>" + "<p>word</p>" * 20_000), (6, "", "<nav>only</nav>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
