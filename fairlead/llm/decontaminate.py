@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import ascii_lower, let
+from fairlead.llm.common import ascii_lower, let, row_key
 
 #: What is not a word: ASCII other than digits and letters. RAW_GAP is for text that is not lower-cased yet.
 GAP, RAW_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -98,28 +98,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Null text has no words, in documents and items; an item without words has no window. An item without an id
     counts as a hit but isn't listed. Rows that repeat an id share the hits of all of them (the same ones, if the
-    rows are equal). Empty tables give no hits or no rows.
+    rows are equal); a row without an id has the hits of its own text. Empty tables give no hits or no rows.
     """
     merged = F.aggregate(
         F.sort_array("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
         lambda a, s: F.struct((a.n + F.greatest(s.stop - F.greatest(s.start, a.end), F.lit(0))).cast("long").alias("n"), F.greatest(a.end, s.stop).alias("end")),
     )
+    without = F.when(F.col(id_col).isNull(), row_key(text=text_col))
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), without.alias("text")))
     by_doc = (
-        hits(docs, items, id_col, text_col, item_col, item_text)
+        hits(keyed, items, "__row", text_col, item_col, item_text)
         .groupBy("doc")
         .agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.collect_set(F.col("item").cast("string")).alias("names"))
         .select("doc", merged.n.alias("hit"), F.size("names").cast("long").alias("of"), F.sha2(F.array_join(F.sort_array("names"), ","), 256).alias("sha"))
     )
     n_words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), RAW_GAP), "")).cast("long")
-    counted = docs.select(F.col(id_col), n_words.alias("n_words"))
+    counted = keyed.select("__row", F.col(id_col), n_words.alias("n_words"))
     hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return counted.join(by_doc, counted[id_col].eqNullSafe(by_doc.doc), "left").select(
+    return counted.join(by_doc, counted["__row"] == by_doc.doc, "left").select(
         id_col, "n_words", hit.alias("n_hit"), F.coalesce("of", F.lit(0).cast("long")).alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (hit > 0).alias("contaminated")
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    found = hits(docs, items, id_col, text_col).select("doc").distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found.doc), "left_anti")
+    """The documents without a hit, with all their columns; each row by its own text, whatever its id."""
+    keyed = docs.withColumn("__row", row_key(id_col, text=text_col))
+    found = hits(keyed, items, "__row", text_col).select(F.col("doc").alias("__found")).distinct()
+    return keyed.join(found, F.col("__row") == F.col("__found"), "left_anti").drop("__row")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import let, materialize
+from fairlead.llm.common import let, materialize, row_key
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -131,11 +131,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns; a row goes if any row with its id fails.
+    """The documents that pass, with all their columns; each row by its own text and host, whatever its id.
 
     What :func:`quality_rules` doesn't keep goes, and what breaks its host's limits (see :func:`host_verdicts`).
     """
     moved = _failures({r: F.col(f"limit_{r}") for r in STRICT})
     passed = F.col("kept") & ~moved["symbols"] & ~moved["dup_lines"]
-    failed = _judged(docs, id_col, text_col, host_col).where(~passed).select(F.col("doc").alias("__failed")).distinct()
-    return docs.join(failed, docs[id_col].eqNullSafe(failed["__failed"]), "left_anti")
+    keyed = docs.withColumn("__row", row_key(id_col, host_col, text=text_col))
+    failed = _judged(keyed, "__row", text_col, host_col).where(~passed).select(F.col("doc").alias("__failed")).distinct()
+    return keyed.join(failed, F.col("__row") == F.col("__failed"), "left_anti").drop("__row")

@@ -67,3 +67,12 @@ def test_native(spark):
     docs = documents(spark, ["a"])
     plan = decontaminate.hits(docs, spark.createDataFrame([(1, "a")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_without_an_id_or_with_one_twice_have_their_own_hits(spark):
+    a, b, clean = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    docs = spark.createDataFrame([(None, a), (None, b), (None, clean), (7, a), (7, clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    got = [(r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs.where("doc_id is null"), items).collect()]
+    assert sorted(got) == [(0, 0), (12, 1), (12, 1)]
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.clean_documents(docs, items).collect()) == [(0, clean), (7, clean)]

@@ -65,6 +65,12 @@ def test_filter_judges_hosts_by_all_documents(spark):
     assert gone == {2000} | {3000 + i for i in range(0, 200, 5)}, "pipe tables anywhere, what has many symbols where that is usual"
 
 
+def test_filter_judges_each_row_whatever_its_id(spark):
+    clean = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(None, clean, "a"), (None, "short", "a"), (None, None, None), (7, clean, None), (7, "short", None)], "doc_id long, text string, source string")
+    assert [(r.doc_id, r.text) for r in quality.kept_documents(docs).orderBy("doc_id").collect()] == [(None, clean), (7, clean)]
+
+
 def test_native(spark):
     plan = quality.measures(documents(spark, ["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
