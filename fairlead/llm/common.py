@@ -140,14 +140,17 @@ class WordTokens:
         """The text with white space around each piece, or None where only the tokenizer itself can tell.
 
         Where all but white space, commas and full stops is letters and digits, and no comma or stop follows
-        white space or another one, each comma or stop is a pre-token of its own and case is dropped.
+        white space or another one, each comma or stop is a pre-token of its own and case is dropped. That is asked of
+        the lower-cased text, as the tokenizer splits that.
         """
         if _ODD_SPACE.search(text):
             return None
-        letters = text.replace(",", "").replace(".", "").replace(" ", "").replace("\n", "")
+        # lower-cased first: a letter may become a letter and a mark, and a mark joins the comma or stop behind it
+        lower = text.lower()
+        letters = lower.replace(",", "").replace(".", "").replace(" ", "").replace("\n", "")
         plain = letters.isalnum() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)  # the final sigma depends on what follows
         if plain and text[0] not in ",." and not any(x in text for x in _APART):
-            return text.lower().replace(",", " , ").replace(".", " . ").replace("\n", " ")
+            return lower.replace(",", " , ").replace(".", " . ").replace("\n", " ")
         return " ".join(text.split())
 
     def encode(self, texts: list[str | None]):

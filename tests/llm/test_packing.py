@@ -36,6 +36,23 @@ def test_word_tokens_of_any_text(texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [ids_of(t)[:-1] for t in texts]
 
 
+def test_word_tokens_of_every_letter():
+    """Each letter and digit of the first two planes, and what may follow it."""
+    w = WordTokens(tokenizer_path())
+    texts = [f"Ab{c}{x}{'zu' * bool(x)}" for c in map(chr, range(0x20000)) if c.isalnum() for x in (",", ".", "7", "\n", "")]
+    for i in range(0, len(texts), 2000):
+        some = texts[i : i + 2000]
+        ids, offsets = w.encode(some)
+        want = [e.ids for e in TOKENIZER.encode_batch_fast(some, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["İ", "ŉ", "ǰ", "ΐ", "ẖ", "ß", "A", "b", ",", ".", " ", "\n", "9", "É"]), max_size=12).map("".join))
+def test_word_tokens_of_letters_that_change_with_case(text):
+    assert WordTokens(tokenizer_path(), limit=0).encode([text])[0].tolist() == ids_of(text)[:-1]
+
+
 def check_pieces(rows, docs, capacity):
     by_doc, by_seq = {}, {}
     for r in rows:
