@@ -4,15 +4,14 @@
    footers, sidebars, notices, adverts, forms and comments are *chrome*; other blocks are *open*. What is chrome only
    by a word of its class or id, or as a form, is less sure: an article in it that is larger than all other main text
    is main (and if the page has nothing else, what stands right in it is open), and inside an article a block that is
-   chrome by a word only is *unclear*.
-2. All that isn't main is a page's token stream. A host's streams, a chunk of pages at a time, are concatenated and
-   their suffixes sorted by their first tokens (a suffix array by prefix doubling); neighbours that share them are
-   repeats. Chunks of a host are merged by those shared beginnings, so a repeat across chunks is found as well and a
-   host of any size is spread over many tasks.
-3. On a page without an article, open blocks that lie wholly in boilerplate are dropped: runs on a share of the host's
-   pages, near copies counted once, so that versions of one text don't erase what they share. If that leaves nothing,
-   only runs on half of the pages count. Unclear blocks go if they lie wholly in runs on two pages, near copies counted
-   once, or are shorter than a run and stand on another page too.
+   chrome by a word only is *unclear*, but for comments and what is called an advert and nothing else.
+2. A page's blocks, whatever their kind, are its token stream. A host's streams, a chunk of pages at a time, are
+   concatenated, and a suffix array with common prefixes finds the runs of eight tokens or more that pages share. Near
+   copies count as one page, so versions of one text don't erase what they share. Parts of a large host are dealt to
+   many tasks and their counts added up.
+3. Blocks that lie wholly in runs on a share of the host's pages are boilerplate. On a page without an article the
+   open blocks that are not are its text. Inside an article only what stands on half of the host's pages, and on ten at
+   least, goes; unclear blocks go if they are boilerplate or stand on another page too.
 """
 
 from __future__ import annotations
@@ -27,11 +26,16 @@ from pyspark.sql import functions as F
 from fairlead.llm import jaccard
 from fairlead.llm.common import batches, materialize, small_batches
 
-#: Tokens of a repeated run at least; must be a power of two. Tokens of a chunk at most, about.
-RUN, CHUNK_TOKENS = 8, 200_000
-#: A run is boilerplate from so many pages of the host and so large a share of them; the second share is for pages that
-#: would be left with nothing. Pages are near copies from this percentage of shared runs.
-MIN_PAGES, SHARE, SURE_SHARE, COPY_PCT = 3, 0.2, 0.5, 40
+#: Tokens of a repeated run at least. Tokens of a chunk at most, about.
+RUN, CHUNK_TOKENS = 8, 1_000_000
+#: A run is boilerplate from so many pages of the host and so large a share of them. The second share is for pages that
+#: would be left with nothing and, from ARTICLE_PAGES, for blocks of articles. Pages without an article are near copies
+#: from this percentage of shared runs.
+MIN_PAGES, SHARE, SURE_SHARE, ARTICLE_PAGES, COPY_PCT = 3, 0.2, 0.5, 10, 40
+#: Runs on no more than this share of a part of a host are not counted for that part.
+PART_SHARE = 0.05
+#: Runs that are broadcast at most; beyond, hosts with a share of 1 / HOT of the pages are joined in SALTS parts.
+BROADCAST_RUNS, HOT, SALTS = 500_000, 1000, 64
 
 # Elements and words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +50,8 @@ CHROME_WORDS = frozenset(
 )
 #: These say chrome inside an article too, whatever the host's other pages hold.
 COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+#: So do these, where they are a whole class or id.
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsored cookies newsletter".split())
 #: These say chrome outside an article only; an article may have a header of its own.
 OUTER_WORDS = frozenset("header head top".split())
 MAIN_ROLES, MAIN_TAGS = frozenset(["main", "article"]), frozenset(["article", "main"])
@@ -83,6 +89,8 @@ def _zone(tag: str, attrs: str, zone: int) -> int:
             if named & COMMENT_WORDS:
                 return CHROME
             if named & CHROME_WORDS and not (article and inside):
+                if inside and not ADVERT_NAMES.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split()):
+                    return CHROME
                 return {MAIN: UNCLEAR, INNER: INNER_UNCLEAR}.get(zone, zone) if inside else WRAPPER
             if named & OUTER_WORDS and not inside:
                 return WRAPPER
@@ -209,178 +217,303 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return _settled(out)
 
 
-def _repeats(key, chunk):
-    """For one chunk of a host's pages: each run of ``RUN`` tokens, with the number of pages it is on.
-
-    The pages' streams are concatenated, with a different token after each, and the suffixes sorted by their first
-    ``RUN`` tokens by prefix doubling; suffixes of equal rank share them.
-    """
+def token_codes(texts: list[str]) -> tuple:
+    """16-bit codes of all texts' tokens, and where each text begins and the last ends. Tokens are compared by these
+    codes: different runs of RUN tokens that differ in one are taken for equal once in 65,536 cases."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
 
-    streams = [s.split(" ") for s in chunk["stream"].to_pylist()]
-    lengths = np.array([len(s) for s in streams])
-    names, codes = np.unique(np.array([t for s in streams for t in s], object).astype(str), return_inverse=True)
-    page = np.repeat(np.arange(len(streams)), lengths)
-    # the token after each page differs from all others
-    ends = np.cumsum(lengths)
-    where = np.arange(len(codes)) + page
-    text = np.empty(len(codes) + len(streams), np.int64)
-    text[where] = codes
-    text[ends + np.arange(len(streams))] = len(names) + np.arange(len(streams))
-    rank, width = text, 1
-    while width < RUN:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-width] = rank[width:] if width < len(rank) else -1
-        order = np.lexsort((after, rank))
-        new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))])
-        rank = np.empty_like(new)
-        rank[order] = new
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = split.values.dictionary_encode()
+    of = np.array([xxhash.xxh3_64_intdigest(t.encode()) & 0xFFFF for t in coded.dictionary.to_pylist()], np.uint16)
+    return of[coded.indices.to_numpy()], split.offsets.to_numpy()
+
+
+def window_hashes(codes):
+    """A 64-bit hash of the RUN codes from each position on; fewer codes have none."""
+    import numpy as np
+
+    n = len(codes) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(RUN):
+            h = (h + codes[i : n + i].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def suffix_array(text) -> tuple:
+    """``order, lcp`` of a sequence whose last token is the only one of its kind: the suffixes in order, and how many
+    tokens each has in common with the one before. Prefix doubling; a round sorts only what is still tied, and the
+    ranks of each round give the common prefixes."""
+    import numpy as np
+
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    at = np.arange(n)
+    head = np.concatenate([[True], np.diff(text[order]) != 0])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, at, 0))
+    tied = order[~(head & np.append(head[1:], True))]
+    rounds, width = [rank.astype(np.int32)], 1
+    while len(tied):
+        before, after = rank[tied], rank[tied + width]
+        o = np.argsort(before * n + after, kind="stable")
+        tied, before, after = tied[o], before[o], after[o]
+        new_group = np.concatenate([[True], np.diff(before) != 0])
+        head = new_group | np.concatenate([[True], np.diff(after) != 0])
+        at = np.arange(len(tied))
+        rank[tied] = before + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(new_group, at, 0))
+        tied = tied[~(head & np.append(head[1:], True))]
+        rounds.append(rank.astype(np.int32))
         width *= 2
-    left = ends[page] - np.arange(len(codes))  # tokens to the end of the page
-    starts = np.flatnonzero(left >= RUN)
-    ranks = rank[where[starts]]
-    order = np.lexsort((page[starts], ranks))  # the suffix array, as far as it is needed
-    ranks, starts = ranks[order], starts[order]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(ranks) != 0])) if len(ranks) else np.zeros(0, np.int64)
-    flat = [t for s in streams for t in s]
-    runs = [_run_hash(flat[i : i + RUN]) for i in starts[first].tolist()]
-    another = np.concatenate([[1], (np.diff(ranks) != 0) | (np.diff(page[starts]) != 0)]).astype(np.int64)
-    pages = np.add.reduceat(another, first) if len(first) else np.zeros(0, np.int64)
-    return pa.table({"host": pa.array([key[0].as_py()] * len(runs), pa.string()), "run": pa.array(runs, pa.int64()), "pages": pa.array(pages, pa.int64())})
-
-
-def _run_hash(tokens: list[str]) -> int:
+    order[rank] = np.arange(n)
+    lcp = np.zeros(n, np.int64)
+    left, right, common = order[:-1], order[1:], lcp[1:]
+    for k in reversed(range(len(rounds))):
+        same = rounds[k][np.minimum(left + common, n - 1)] == rounds[k][np.minimum(right + common, n - 1)]
+        common += same.astype(np.int64) << k
+    return order, lcp
+
+
+def shared_runs(hosts: list[int], streams: list) -> tuple:
+    """Of the streams of codes of pages: ``host, hash, pages`` of each run of RUN tokens, and on how many pages of the
+    host it is.
+
+    The streams are concatenated, with a token of its own kind after each page, and a host's tokens differ from all
+    others'. Suffixes with a common prefix of RUN tokens or more stand together in the suffix array. A stretch of a page
+    lies in maximal repeats on so many pages exactly if it lies in such runs, which chunks of a host can exchange."""
+    import numpy as np
+
+    lengths = np.array([len(s) for s in streams])
+    ends = np.cumsum(lengths + 1)
+    host = np.array(hosts, np.int64)
+    page = np.repeat(np.arange(len(streams)), lengths + 1)
+    text = np.concatenate([part for s in streams for part in (s, [0])]).astype(np.int64) + (host[page] << 16)
+    text[ends - 1] = ((int(host.max()) + 1) << 16) + np.arange(len(streams))
+    hashes = np.concatenate([part for s in streams for w in [window_hashes(s)] for part in (w, np.zeros(len(s) + 1 - len(w), np.int64))])
+    order, lcp = suffix_array(text)
+    whole = ends[page[order]] - 1 - order >= RUN
+    group = np.cumsum(lcp < RUN)[whole]
+    order = order[whole]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.unique(group * len(streams) + page[order])  # each page once in a group
+    of_group, pages = np.unique(pairs // len(streams), return_counts=True)
+    first = order[np.searchsorted(group, of_group)]
+    return host[page[first]], hashes[first], pages
+
+
+def _host(url):
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
+
+
+def _text_hash(text: str) -> int:
     import xxhash
 
-    return int.from_bytes(xxhash.xxh3_64_digest(" ".join(tokens).encode("utf-8", "surrogatepass")), "little", signed=True)
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "little", signed=True)
 
 
-def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``uid`` (of the row), id, url, ``main``, ``stream`` (all but main text), and for pages that runs decide ``open``
-    (the blocks that may stay: main and unclear ones, or open ones on a page without either), ``at`` (the tokens of the
-    stream before each; -1 for main blocks) and ``unclear`` (whether ``open`` has such blocks)."""
+def _coded(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``uid`` (of the row), ``host``, ``codes`` (the token stream), ``sketch`` (the least run hash of the main text, so
+    copies have the same and near copies mostly), ``first`` (whether it is the first of its sketch here), ``open`` (the
+    text that stands outside an article, on a page without one) and ``doubtful`` (hashes of the unclear blocks)."""
 
     def run(frames: Iterator):
         import pyarrow as pa
 
+        seen: set = set()
         for batch in batches(frames):
-            main, open_, stream, places, doubt = [], [], [], [], []
-            for page in batch.column(2).to_pylist():
-                found = blocks(page or "")
-                main.append("\n".join(t for z, t in found if z == MAIN))
-                unclear = any(z == UNCLEAR for z, _ in found)
-                may = (MAIN, UNCLEAR) if unclear or main[-1] else (OPEN,)
-                some, at, n = [], [], 0
-                for z, t in found:
-                    if z in may:
-                        some.append(t)
-                        at.append(-1 if z == MAIN else n)
-                    n += t.count(" ") + 1 if z != MAIN else 0
-                stream.append(" ".join(t for z, t in found if z != MAIN))
-                decide = unclear or not main[-1] and bool(some)
-                open_.append(some if decide else None)
-                places.append(at if decide else None)
-                doubt.append(unclear)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(main, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(stream, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(doubt, pa.bool_())],
-                names=["page", "url", "main", "open", "stream", "at", "unclear"],
-            )
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    found = pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, f"page {kind}, url string, main string, open array<string>, stream string, at array<int>, unclear boolean")
-    return found.withColumn("uid", F.monotonically_increasing_id()).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit(""))))
-
+            found = [blocks(page or "") for page in batch.column(1).to_pylist()]
+            codes, at = token_codes([t for b in found for _, t in b])
+            cols: dict[str, list] = {c: [] for c in ("codes", "sketch", "first", "open", "doubtful")}
+            n = 0
+            for host, own in zip(batch.column(0).to_pylist(), found, strict=True):
+                places = at[n : n + len(own) + 1]
+                n += len(own)
+                article = [codes[a:b] for (z, _), a, b in zip(own, places[:-1], places[1:], strict=True) if z == MAIN]
+                cols["codes"].append(codes[places[0] : places[-1]].astype("<u2").tobytes())
+                cols["open"].append(None if article or any(z == UNCLEAR for z, _ in own) else " ".join(t for z, t in own if z == OPEN) or None)
+                cols["doubtful"].append([_text_hash(t) for z, t in own if z == UNCLEAR])
+                sketch = _sketch(article)
+                cols["sketch"].append(sketch)
+                cols["first"].append(sketch is None or (host, sketch) not in seen)
+                if sketch is not None:
+                    seen.add((host, sketch))
+            if len(seen) > 500_000:
+                seen.clear()
+            kinds = {"codes": pa.binary(), "sketch": pa.int64(), "first": pa.bool_(), "open": pa.string(), "doubtful": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[c], k) for c, k in kinds.items())], names=["host", *kinds])
+
+    found = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(run, "host string, codes binary, sketch long, first boolean, open string, doubtful array<long>")
+    uid = F.monotonically_increasing_id()
+    # a page without an article is like no other here; its near copies are found by their texts
+    return found.withColumn("uid", uid).withColumn("sketch", F.coalesce("sketch", F.xxhash64("uid")))
+
+
+def _sketch(article: list) -> int | None:
+    import numpy as np
 
-def repeated_runs(streams: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """``host, run, pages``: hashes of the runs of ``RUN`` tokens on at least two pages of a host, and on how many; from
-    ``uid, host, stream``."""
-    sized = streams.where(F.col("stream") != "").withColumn("n", F.size(F.split("stream", " ")))
-    chunks = sized.groupBy("host").agg(F.ceil(F.sum("n") / chunk_tokens).alias("chunks"))
-    dealt = sized.join(chunks, "host").select("uid", "host", "stream", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk"))
-    found = dealt.groupBy("host", "chunk").applyInArrow(_repeats, "host string, run long, pages long")  # a page is in one chunk
-    return found.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where("pages > 1")
+    if not article:
+        return None
+    codes = np.concatenate(article)
+    hashes = window_hashes(codes)
+    return int(hashes.min()) if len(hashes) else _text_hash(codes.tobytes().hex())
 
 
-def _once(parsed: DataFrame) -> DataFrame:
-    """``uid, host, stream`` of the pages, but of near copies on a host that runs decide only one."""
-    pages = parsed.where(F.col("open").isNotNull())
-    every = parsed.select("uid", "host", "stream")
+def _once(coded: DataFrame) -> DataFrame:
+    """``uid, host, sketch, codes`` of the pages that are counted: of near copies on a host only one."""
+    some = coded.where("first").select("uid", "host", "sketch", "codes")
+    pages = coded.where(F.col("open").isNotNull())
     if pages.isEmpty():
-        return every
+        return some
     salt = F.hex(F.xxhash64("host"))  # copies on other hosts share nothing
-    words = F.concat(salt, F.regexp_replace(F.array_join("open", " "), F.lit(" "), F.concat(F.lit(" "), salt)))
+    words = F.concat(salt, F.regexp_replace("open", F.lit(" "), F.concat(F.lit(" "), salt)))
     copies = jaccard.near_duplicates(pages.select("uid", words.alias("text")), RUN, COPY_PCT, "uid", "text").where("component_id <> uid").select("uid")
-    small_batches(parsed.sparkSession, 200)
-    return every.join(copies, "uid", "left_anti")
-
-
-def _boilerplate(once: DataFrame) -> DataFrame:
-    """``host, run, share``: the runs on two pages at least, and their share of the pages (0 on fewer than MIN_PAGES)."""
-    total = once.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    share = F.when(F.col("pages") >= MIN_PAGES, F.col("pages") / F.col("total")).otherwise(0.0)
-    return repeated_runs(once).join(total, "host").select("host", "run", share.alias("share"))
-
+    small_batches(coded.sparkSession, 200)
+    return some.join(copies, "uid", "left_anti")
 
-def _short_repeats(parsed: DataFrame) -> DataFrame:
-    """``uid, short``: a page's unclear blocks of fewer tokens than a run that stand on another page of the host too."""
-    one = parsed.where("unclear").select("uid", "host", F.explode(F.arrays_zip("open", "at")).alias("b")).where("b.at >= 0").select("uid", "host", F.col("b.open").alias("t"))
-    one = one.where(F.size(F.split("t", " ")) < RUN).distinct()
-    twice = one.groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "t")
-    return one.join(twice, ["host", "t"]).groupBy("uid").agg(F.collect_list("t").alias("short"))
 
+def repeated_runs(pages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """``host, run, pages``: the runs that may be boilerplate and on how many pages each is; a null run has the number of
+    all pages. From ``uid, host, sketch, codes``; pages of one sketch count once.
 
-def _unique_blocks(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``uid, kept``: of the pages that runs decide, the blocks that stay."""
-
-    def runs(frames):
-        import pyarrow as pa
-
-        for batch in batches(frames):
-            rows = [(uid, host, _run_hash(t[i : i + RUN])) for uid, host, s in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in [s.split(" ")] for i in range(len(t) - RUN + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["uid", "host", "run"])
-
-    pages = parsed.where(F.col("open").isNotNull())
-    own = pages.select("uid", "host", "stream").mapInArrow(runs, "uid long, host string, run long").distinct()
-    of = lambda least: F.collect_list(F.when(F.col("share") >= least, F.col("run")))
-    found = own.join(repeated, ["host", "run"]).groupBy("uid").agg(of(0.0).alias("twice"), of(SHARE).alias("runs"), of(SURE_SHARE).alias("sure"))
-    told = pages.join(found, "uid", "left").join(_short_repeats(parsed), "uid", "left")
+    Pages are dealt by ranges of host and sketch, so a large host is spread over many tasks and small ones share one.
+    A task makes a suffix array of each chunk of pages. Of a host that lies wholly inside a chunk, runs on MIN_PAGES
+    pages and the share SHARE are left; of a part of a host, runs on more than PART_SHARE of the part's pages. What the
+    others lose is never more than that share of the pages.
+    """
 
-    def keep(frames):
+    def run(frames: Iterator):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches(frames):
-            kept = []
-            for _, open_, stream, at, unclear, twice, runs_, sure, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens, short = stream.split(" "), set(short or ())
-                hashes = [_run_hash(tokens[i : i + RUN]) for i in range(len(tokens) - RUN + 1)] if twice else []
-
-                def stay(some, n=len(tokens), hashes=hashes, open_=open_, at=at, unclear=unclear, short=short):
-                    some, covered = set(some or ()), np.zeros(n + 1, np.int64)
-                    for i, h in enumerate(hashes):
-                        if h in some:
-                            covered[i] += 1
-                            covered[i + RUN] -= 1
-                    covered = np.cumsum(covered) > 0
-                    return [t for t, a in zip(open_, at, strict=True) if a < 0 or not (t in short if unclear and t.count(" ") < RUN - 1 else covered[a : a + t.count(" ") + 1].all())]
+        def rows(chunk: list, cut: set):
+            """``chunk``: (host, codes); ``cut``: hosts that have pages elsewhere too."""
+            names = list(dict.fromkeys(h for h, _ in chunk))
+            place = {h: i for i, h in enumerate(names)}
+            own = [place[h] for h, _ in chunk]
+            total = np.bincount(own, minlength=len(names))
+            host, run_, pages_ = shared_runs(own, [c for _, c in chunk])
+            part = np.array([h in cut for h in names])
+            least = np.where(part, np.floor(total * PART_SHARE) + 1, np.maximum(np.ceil(total * SHARE), MIN_PAGES))
+            keep = pages_ >= least[host]
+            of = np.array([*names], object)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*of[host[keep]], *names], pa.string()), pa.array([*run_[keep].tolist(), *[None] * len(names)], pa.int64()), pa.array([*pages_[keep].tolist(), *total.tolist()], pa.int64())], names=["host", "run", "pages"]
+            )
 
-                kept.append("\n".join(stay(twice) if unclear else stay(runs_) or stay(sure)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["uid", "kept"])
+        chunk, size, last, cut = [], 0, None, set()
+        for batch in batches(frames):
+            for host, sketch, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (host, sketch) == last:
+                    continue
+                if last is None:
+                    cut.add(host)  # it may have begun in another task
+                if size > chunk_tokens:
+                    if host == last[0]:
+                        cut.add(host)
+                    yield rows(chunk, cut)
+                    chunk, size, cut = [], 0, cut & {host}
+                last = (host, sketch)
+                chunk.append((host, np.frombuffer(codes, "<u2")))
+                size += len(codes) // 2 + 1
+        if chunk:
+            yield rows(chunk, cut | {last[0]})  # it may go on in another task
+
+    dealt = pages.repartitionByRange("host", "sketch").sortWithinPartitions("host", "sketch", "uid")
+    return dealt.select("host", "sketch", "codes").mapInArrow(run, "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+
+
+def _boilerplate(coded: DataFrame) -> DataFrame:
+    """``host, run, level``: by the share of the host's pages a run is on, near copies counted once: 1 from SHARE, 2 from
+    SURE_SHARE, 3 if there are ARTICLE_PAGES too; level 0 for the hash of an unclear block that stands on two pages."""
+    found = materialize(repeated_runs(_once(coded)), "runs")
+    total = found.where(F.col("run").isNull()).select("host", F.col("pages").alias("total"))
+    share = F.col("pages") / F.col("total")
+    level = F.when(share < SURE_SHARE, 1).when(F.col("pages") < ARTICLE_PAGES, 2).otherwise(3)
+    runs = found.where(F.col("run").isNotNull() & (F.col("pages") >= MIN_PAGES)).join(total, "host").where(share >= SHARE).select("host", "run", level.alias("level"))
+    doubtful = coded.select("host", "sketch", F.explode("doubtful").alias("run")).groupBy("host", "run").agg(F.min("sketch").alias("a"), F.max("sketch").alias("b"))
+    return runs.unionByName(doubtful.where("a < b").select("host", "run", F.lit(0).alias("level")))
+
+
+def main_text(found: list[tuple[int, str]], runs: dict[int, int]) -> str:
+    """The page's text from its blocks and its host's ``runs`` (level by hash).
+
+    Blocks of an article go if they lie wholly in runs of level 3, unless all would; unclear ones too if they stand on
+    another page or lie in runs of level 1. On a page without either kind the open blocks stay that don't lie wholly in
+    runs of level 1, or, if none is left, of level 2.
+    """
+    may = [z in (MAIN, UNCLEAR) for z, _ in found]
+    if not any(may):
+        may = [z == OPEN for z, _ in found]
+    if not runs or not any(may):
+        return "\n".join(t for (_, t), m in zip(found, may, strict=True) if m)
+    import numpy as np
 
-    return told.select("uid", "open", "stream", "at", "unclear", "twice", "runs", "sure", "short").mapInArrow(keep, "uid long, kept string")
+    codes, at = token_codes([t for _, t in found])
+    levels = np.array([runs.get(h, 0) for h in window_hashes(codes).tolist()])
+
+    def inside(least: int) -> list[bool]:
+        """Whether each block lies wholly in runs of that level."""
+        covered = np.zeros(len(codes) + 1, np.int64)
+        starts = np.flatnonzero(levels >= least) if len(levels) else []
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, np.asarray(starts, np.int64) + RUN, -1)
+        covered = np.cumsum(covered) > 0
+        return [bool(covered[a:b].all()) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    usual, sure, surest = (inside(k) for k in (1, 2, 3))
+    if any(z == OPEN and m for (z, _), m in zip(found, may, strict=True)):
+        kept = [m and not u for m, u in zip(may, usual, strict=True)]
+        kept = kept if any(kept) else [m and not u for m, u in zip(may, sure, strict=True)]
+    else:
+        clear = [z == MAIN and not s for (z, _), s in zip(found, surest, strict=True)]
+        clear = clear if any(clear) else [z == MAIN for z, _ in found]
+        kept = [c if z == MAIN else m and not u and runs.get(_text_hash(t)) is None for (z, t), m, c, u in zip(found, may, clear, usual, strict=True)]
+    return "\n".join(t for (_, t), k in zip(found, kept, strict=True) if k)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """One row a page: the id, the url, ``text, n_chars``.
 
     ``text`` is the page's blocks of main text, joined by line breaks; character references are decoded and white
     space inside a block is one space. Null or empty html gives an empty text. Pages without a url are one host.
     Equal rows get equal texts. A tag that is cut off at the end of a page is dropped, text that is cut off stays.
+    Pages are parsed twice: for the hosts' runs, of which only codes are kept and shuffled, and for the texts. Up to
+    ``broadcast_runs`` runs are broadcast; more are joined by host, the hosts with a thousandth of all pages salted.
     """
-    small_batches(pages.sparkSession, 200)
-    parsed = materialize(_parsed(pages, id_col, url_col, html_col), "pages")
-    unique = _unique_blocks(parsed, _boilerplate(_once(parsed))).withColumnRenamed("uid", "u")
-    settled = parsed.where(F.col("open").isNull()).select("page", "url", F.col("main").alias("text"))
-    decided = parsed.where(F.col("open").isNotNull()).select("uid", "page", "url").join(unique, F.col("uid") == F.col("u")).select("page", "url", F.col("kept").alias("text"))
-    return settled.unionByName(decided).select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    spark = pages.sparkSession
+    small_batches(spark, 200)
+    coded = materialize(_coded(pages, url_col, html_col), "pages")
+    runs = materialize(_boilerplate(coded), "boilerplate")
+    kind = pages.schema[id_col].dataType.simpleString()
+    schema = f"page {kind}, url string, text string"
+    own = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+
+    def out(batch, of):
+        import pyarrow as pa
+
+        texts = [main_text(blocks(p or ""), r) for p, r in zip(batch.column(3).to_pylist(), of, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page", "url", "text"])
+
+    if runs.count() <= broadcast_runs:
+        by_host: dict[str, dict[int, int]] = {}
+        for r in runs.collect():  # its size is checked above
+            by_host.setdefault(r.host, {})[r.run] = r.level
+        small = spark.sparkContext.broadcast(by_host)
+        texts = own.mapInArrow(lambda frames: (out(b, [small.value.get(h, {}) for h in b.column(2).to_pylist()]) for b in batches(frames)), schema)
+    else:
+        n = coded.count()
+        large = [r.host for r in coded.groupBy("host").count().where(F.col("count") * HOT >= n).collect()]  # HOT hosts at most
+        salted = F.col("host").isin(large) if large else F.lit(False)
+        lists = runs.groupBy("host").agg(F.collect_list("run").alias("runs"), F.collect_list("level").alias("levels"))
+        lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(salted, SALTS - 1).otherwise(0))))
+        own = own.withColumn("salt", F.when(salted, F.pmod(F.xxhash64("page", "url"), F.lit(SALTS))).otherwise(0).cast("int"))
+        joined = own.join(lists, ["host", "salt"], "left").select("page", "url", "host", "html", "runs", "levels")
+        texts = joined.mapInArrow(lambda frames: (out(b, [dict(zip(r or (), v or (), strict=True)) for r, v in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]) for b in batches(frames)), schema)
+    return texts.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

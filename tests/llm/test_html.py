@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from helpers import prose
 
 from fairlead.llm import html
@@ -33,22 +34,59 @@ def test_broken_markup():
 
 
 def plain_repeats(pages, n=html.RUN):
-    """Runs of n tokens on at least two pages."""
+    """Runs of n tokens by hash, and on how many pages each is."""
     on = {}
-    for i, s in enumerate(pages):
-        t = s.split(" ")
-        for k in range(len(t) - n + 1):
-            on.setdefault(tuple(t[k : k + n]), set()).add(i)
-    return {html._run_hash(list(k)) for k, v in on.items() if len(v) > 1}
+    for i, c in enumerate(pages):
+        for h in html.window_hashes(c).tolist():
+            on.setdefault(h, set()).add(i)
+    return {h: len(v) for h, v in on.items()}
 
 
-def test_suffix_array_equals_brute_force_in_chunks_of_any_size(spark):
+def test_suffix_array_and_common_prefixes():
+    r = np.random.default_rng(4)
+    for n, kinds in ((1, 1), (2, 1), (300, 2), (300, 1), (400, 50)):
+        text = np.append(r.integers(0, kinds, n - 1), kinds)
+        order, lcp = html.suffix_array(text)
+        suffixes = sorted((tuple(text[i:]), i) for i in range(n))
+        assert order.tolist() == [i for _, i in suffixes]
+        for k in range(1, n):
+            a, b = suffixes[k - 1][0], suffixes[k][0]
+            assert lcp[k] == next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)
+
+
+def test_runs_equal_brute_force_in_chunks_of_any_size(spark):
     parts = prose(1, 12, words=40, vocabulary=30)
     streams = [f"{parts[i]} {parts[(i * 5) % 12]} {parts[i % 3]}" for i in range(12)] + ["a b", "x " * 40 + "y"]
-    df = spark.createDataFrame([(i, "h" if i % 7 else "g", s.strip()) for i, s in enumerate(streams)], "uid long, host string, stream string")
-    want = {(h, r) for h in "gh" for r in plain_repeats([s.strip() for i, s in enumerate(streams) if ("h" if i % 7 else "g") == h])}
-    for chunk in (10, 100, 100_000):
-        assert {(r.host, r.run) for r in html.repeated_runs(df, chunk).collect()} == want
+    codes = [html.token_codes([s.strip()])[0] for s in streams]
+    host = lambda i: "h" if i % 7 else "g"
+    rows = [(i, host(i), 5 if i == 13 else i, bytes(c.astype("<u2").tobytes())) for i, c in enumerate(codes)]
+    want = {}
+    for h in "gh":
+        own = [c for i, c in enumerate(codes) if host(i) == h and i != 13]  # 5 and 13 are of one host and have one sketch
+        least = max(html.MIN_PAGES, len(own) * html.SHARE)
+        want |= {(h, k): n for k, n in plain_repeats(own).items() if n >= least} | {(h, None): len(own)}
+    df = spark.createDataFrame(rows, "uid long, host string, sketch long, codes binary")
+    for chunk, tasks in ((1, 1), (100, 3), (1_000_000, 1), (1_000_000, 8)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        got = {(r.host, r.run): r.pages for r in html.repeated_runs(df, chunk).collect()}
+        assert {k: n for k, n in got.items() if k in want} == want
+        assert all(n < max(html.MIN_PAGES, got[h, None] * html.SHARE) for (h, k), n in got.items() if (h, k) not in want)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_runs_decide_inside_articles(spark):
+    """Boilerplate that no markup names goes from articles; what copies share, and a much quoted passage, stays."""
+    p, offer = prose(51, 60, words=60, vocabulary=4000), "all the news of the sea once a week in your own letter box"
+    quoted = "and the ships of the line went down to the sea in great numbers on that day"
+    page = lambda *paragraphs: "<nav>menu</nav><article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + f"<p>{offer}</p></article>"
+    rows = [(i, page(p[i], p[i + 20], *[quoted] * (i < 8))) for i in range(20)] + [(100 + i, page(p[50], p[51], p[52])) for i in range(40)]
+    rows += [(200, page()), (201, page(p[59]))]
+    df = spark.createDataFrame([(i, "http://a/", h) for i, h in rows], "page_id long, url string, html string").repartition(5)
+    for limit in (0, 1000):  # joined, broadcast
+        got = {r.page_id: r.text for r in html.extract(df, broadcast_runs=limit).collect()}
+        assert all(got[i] == "\n".join([p[i], p[i + 20], *[quoted] * (i < 8)]) for i in range(20))
+        assert all(got[100 + i] == f"{p[50]}\n{p[51]}\n{p[52]}" for i in range(40)), "copies are one page"
+        assert got[200] == offer and got[201] == p[59], "an article of nothing else stays"
 
 
 def test_host_boilerplate_without_articles(spark):
@@ -102,7 +140,7 @@ def test_edges(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r.text for r in got}
-    assert by[1] == by[2] == by[6] == "" and by[4] == by[None] == main_text(PAGE) and by[5].count("\n") == 19_999
+    assert by[1] == by[2] == by[6] == "" and by[4] == by[None] == main_text(PAGE) != "" and by[5].count("\n") == 19_999
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
