@@ -24,6 +24,8 @@ from fairlead.llm.common import materialize, shared_dir, small_batches
 
 #: Payloads of fewer bytes are never revisits. An archive file is closed beyond so many bytes.
 MIN_PAYLOAD, FILE_BYTES = 1000, 64 << 20
+#: Digests with at least this part of the repeated payloads are frequent.
+LARGE = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -182,12 +184,14 @@ class _Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Columns: ``record_id, record_type`` (response or revisit), ``target_uri, refers_to, payload`` (string or binary).
 
-    A task's files have a name of their own. Those of a task that was repeated or failed are removed at the end.
+    Each write adds files to the folder and leaves those that are there. Names hold the job and the task's attempt; at
+    the end the files of this job's repeated or failed attempts are removed, and no others.
     """
 
     def __init__(self, options, schema):
         self.path, self.names = options["path"], schema.fieldNames()
         self.limit, self.level = int(options.get("fileBytes", FILE_BYTES)), int(options.get("level", 1))
+        self.job = uuid.uuid4().hex
 
     @staticmethod
     def record(record_id: str, kind: str, uri: str | None, refers_to: str | None, payload: bytes) -> bytes:
@@ -206,7 +210,7 @@ class WarcWriter(DataSourceArrowWriter):
 
         system, path = _open_fs(self.path)
         system.create_dir(path, recursive=True)
-        task, files, out = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", [], None
+        task, files, out = f"{self.job}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", [], None
         for batch in iterator:
             cols = {n: batch.column(i) for i, n in enumerate(self.names)}
             payload = cols["payload"].cast(pa.large_binary()).to_pylist()
@@ -223,24 +227,23 @@ class WarcWriter(DataSourceArrowWriter):
             out.close()
         return _Written(files)
 
-    def commit(self, messages):
+    def _remove_but(self, kept: set) -> None:
         from pyarrow import fs
 
         system, path = _open_fs(self.path)
-        kept = {f for m in messages if m is not None for f in m.files}
         for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-            if x.base_name.endswith(".warc.gz") and x.base_name not in kept:
+            if x.base_name.startswith(f"part-{self.job}-") and x.base_name not in kept:
                 system.delete_file(x.path)
 
+    def commit(self, messages):
+        self._remove_but({f for m in messages if m is not None for f in m.files})
+
     def abort(self, messages):
-        system, path = _open_fs(self.path)
-        for f in (f for m in messages if m is not None for f in m.files):
-            system.delete_file(f"{path}/{f}")
+        self._remove_but(set())
 
 
 class WarcSource(DataSource):
-    """Options: ``path``; reading, ``payload`` (full, digest or none); writing, to a folder of its own, ``fileBytes``
-    and ``level`` (of gzip)."""
+    """Options: ``path``; reading, ``payload`` (full, digest or none); writing, ``fileBytes`` and ``level`` (of gzip)."""
 
     @classmethod
     def name(cls):
@@ -266,12 +269,20 @@ def as_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     largest id is the response and the others revisit it; equality is that of SHA-1 and length. Null html counts as
     empty. Rows that repeat the largest id are responses all of them; a page without an id only ever revisits, unless
     no page with its payload has one. Only the digests are compared, and a frequent payload is counted before it is
-    shuffled."""
+    shuffled. Digests that a thousandth of the repeated payloads have, a thousand at most, are broadcast; pages that
+    need no other join meet nothing and are spread by themselves."""
     digest = F.sha1(F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8"))
     payload = F.coalesce(F.col(html_col), F.lit(""))
     sized = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("target_uri"), payload.alias("payload"), F.when(F.octet_length(payload) >= min_payload, digest).alias("sha1"))
     groups = sized.where(F.col("sha1").isNotNull()).groupBy(F.col("sha1").alias("own")).agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("first")).where("n > 1")
-    joined = sized.join(materialize(groups, "payloads"), F.col("sha1") == F.col("own"), "left")
+    groups = materialize(groups, "payloads")
+    repeated = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    large = groups.where(F.col("n") * LARGE >= repeated)  # LARGE rows at most
+    often = F.broadcast(large.select(F.col("own").alias("often"), F.col("first").alias("first_often")))
+    spread = F.concat(F.lit("-"), F.xxhash64("page", "target_uri", "payload").cast("string"))  # no digest
+    sized = sized.join(often, F.col("sha1") == F.col("often"), "left").withColumn("key", F.when(F.col("often").isNull() & F.col("sha1").isNotNull(), F.col("sha1")).otherwise(spread))
+    rest = groups.where(F.col("n") * LARGE < repeated).select(F.col("own").alias("key"), F.col("first").alias("first_rest"))
+    joined = sized.join(rest, "key", "left").withColumn("first", F.coalesce("first_often", "first_rest"))
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return joined.select(
@@ -291,9 +302,15 @@ def write_pages(pages: DataFrame, path: str | None = None, **columns) -> str:
 
 def read_pages(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` from archives. A response's size and digest
-    are those of the payload that is there, a revisit's those that its header names."""
+    are those of the payload that is there, a revisit's those that its header names. The record type is a predicate
+    that the source takes: one scan hashes the payloads of responses and passes over all else, the other reads the
+    headers of revisits alone."""
     register(spark)
-    read = spark.read.format("warc").option("payload", "digest").load(path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast(id_type)
-    return read.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+    def of(kind: str, payload: str) -> DataFrame:
+        read = spark.read.format("warc").option("payload", payload).load(path).where(F.col("record_type") == kind)
+        return read.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+    return of("response", "digest").unionByName(of("revisit", "none"))

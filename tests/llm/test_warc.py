@@ -67,3 +67,25 @@ def test_empty_and_repeated(spark, tmp_path):
     twice = spark.createDataFrame([(1, "u", BIG[0]), (1, "u", BIG[0]), (None, "u", BIG[0])], "page_id long, url string, html string")
     got = warc.read_pages(spark, warc.write_pages(twice, str(tmp_path / "t"))).collect()
     assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == [(0, "revisit", 1), (1, "response", None), (1, "response", None)]
+
+
+def test_a_second_write_leaves_the_first(spark, tmp_path):
+    for rows in (PAGES[:5], PAGES[5:], PAGES[:1]):
+        path = warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    ids = sorted(r.page_id for r in warc.read_pages(spark, path).collect())
+    assert ids == sorted([p[0] for p in PAGES] + [1])
+
+
+def test_frequent_and_rare_payloads_join_alike(spark, tmp_path, monkeypatch):
+    for large in (1, 10**9):  # none is frequent but a lone one; all are
+        monkeypatch.setattr(warc, "LARGE", large)
+        df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+        got = {r.page_id: r.refers_to for r in warc.read_pages(spark, warc.write_pages(df, str(tmp_path / str(large)))).collect()}
+        assert got == {p[0]: {1: 4, 2: 4, 8: 9}.get(p[0]) for p in PAGES}
+
+
+def test_the_query_pushes_the_record_type_down(spark, sf):
+    from fairlead.llm.queries import queries
+
+    plan = queries()["op9_warc"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "Filter (isnotnull(record_type" not in plan.replace("PushedFilters", ""), plan
