@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters.
 
 All languages share one table of slots. A slot is a bitmask with a bit for each language, so the AND of an n-gram's
-slots gives every language whose filter holds the n-gram at once. A text's n-grams are counted by language, each
+slots gives every language whose filter holds the n-gram at once; of more than 64 languages, 64 at a time. A text's n-grams are counted by language, each
 count is corrected for its filter's false positives, and the largest share decides.
 """
 
@@ -21,8 +21,8 @@ TRAIN_DOCS = 1500
 #: A language's filter takes an n-gram in at least this share of its training documents, unless another language
 #: has it more often by this factor.
 MIN_SHARE, DOMINANCE = 0.01, 3.0
-#: Languages at most: bits of a slot.
-MAX_LANGUAGES = 64
+#: Languages in a plane of the table: bits of a slot. More languages take more planes.
+PLANE = 64
 UNKNOWN = "und"
 
 _letters = None
@@ -71,29 +71,37 @@ class Filters:
     def __init__(self, languages: list[str], grams: list, common: str | None):
         import numpy as np
 
-        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        self.languages, self.common, self.table = languages, common, np.zeros(SLOTS, kind)
+        kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+        self.languages, self.common = languages, common
+        self.table = np.zeros((max(1, -(-len(languages) // PLANE)), SLOTS), kind)
         for i, h in enumerate(grams):
             for s in _slots(h, SLOTS):
-                np.bitwise_or.at(self.table, s.astype(np.int64), kind(1 << i))
-        fill = [float(np.mean(self.table >> kind(i) & kind(1))) for i in range(len(languages))]
+                np.bitwise_or.at(self.table[i // PLANE], s.astype(np.int64), kind(1 << i % PLANE))
+        fill = [float(np.mean(self.table[i // PLANE] >> kind(i % PLANE) & kind(1))) for i in range(len(languages))]
         self.false_rate = np.array([f**HASHES for f in fill])
 
+    def held(self, hashes):
+        """How many of the n-grams each language's filter holds."""
+        import numpy as np
+
+        slots, counts = [s.astype(np.int64) for s in _slots(hashes, SLOTS)], []
+        for plane in self.table:
+            masks = plane[slots[0]]
+            for s in slots[1:]:
+                masks = masks & plane[s]
+            if masks.dtype == np.uint8:
+                of_mask = np.bincount(masks, minlength=256)
+                counts += [of_mask[np.arange(256) >> i & 1 == 1].sum() for i in range(8)]
+            else:
+                counts += np.unpackbits(masks.view(np.uint8), bitorder="little").reshape(len(masks), -1).sum(0).tolist()
+        return np.array(counts[: len(self.languages)])
+
     def shares(self, codes):
         """Each language's corrected count of the n-grams."""
         import numpy as np
 
         h = _grams(codes)
-        first, *more = _slots(h, SLOTS)
-        masks = self.table[first.astype(np.int64)]
-        for s in more:
-            masks = masks & self.table[s.astype(np.int64)]
-        if self.table.dtype == np.uint8:
-            of_mask = np.bincount(masks, minlength=256)
-            held = np.array([of_mask[np.arange(256) >> i & 1 == 1].sum() for i in range(len(self.languages))])
-        else:
-            held = np.array([int((masks >> self.table.dtype.type(i) & self.table.dtype.type(1)).sum()) for i in range(len(self.languages))])
-        return np.maximum(0.0, (held - len(h) * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
+        return np.maximum(0.0, (self.held(h) - len(h) * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         codes = _codes(text) if text else None
@@ -116,9 +124,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Filters from up to ``train_docs`` documents of each language that aren't held out."""
     small_batches(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    all_ = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(all_) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    all_ = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     # of each language a share by hash that leaves enough and not much more, so the window sorts a bounded number
     buckets = 1 << 30
     limit = {k: min(buckets, int((1.5 * train_docs + 50) / n * buckets)) for k, n in all_.items()} or {"": 0}
@@ -142,7 +148,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     keyed = docs.select(F.col(id_col).alias("d_id"), F.col(lang_col).alias("d_lang"), F.col(text_col).alias("d_text"))
-    texts = keyed.join(F.broadcast(chosen), (F.col("d_id") == F.col("id")) & (F.col("d_lang") == F.col("lang")), "left_semi")  # at most 64 x train_docs rows
+    few = F.broadcast(chosen) if len(all_) <= PLANE else chosen  # at most PLANE x train_docs rows
+    texts = keyed.join(few, (F.col("d_id") == F.col("id")) & (F.col("d_lang") == F.col("lang")), "left_semi")
     grams_of = texts.select("d_lang", "d_text").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     size_of = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map(F.lit(""), F.lit(1))
     shares = grams_of.withColumn("share", F.col("n") / size_of[F.col("lang")]).where((F.col("share") >= MIN_SHARE) & (F.col("n") > 1))
@@ -158,14 +165,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for h, of in zip(held, rows.column("langs").to_pylist(), strict=True):
         for name in of:
             grams[place[name]].append(h)
-    common = max(languages, key=lambda x: sizes[x]) if languages else None
+    common = max(languages, key=lambda x: sizes[x]) if languages else None  # ties: the first in order of name
     return Filters(languages, [np.array(g, np.uint64) for g in grams], common)
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: the id, ``held_out, lang_pred, score``; the score is the winner's share of the corrected
     counts. Null text and text without letters give ``und`` and 0, as does everything if nothing was learned; text
-    with letters but no known n-gram gives the most frequent language and 0. Equal rows get equal results."""
+    with letters but no known n-gram gives the most frequent language and 0. Of languages that are equal, in a text's
+    counts or in frequency, the first in order of name wins. Equal rows get equal results."""
     small_batches(docs.sparkSession)
     small = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks
     id_type = docs.schema[id_col].dataType.simpleString()
