@@ -1,11 +1,12 @@
 """Line dedup: documents probe a sharded minimal perfect hash over the repeated lines instead of joining lines.
 
-1. Every document gives the 128-bit hashes of its long lines, once each; hashes found in enough documents are kept,
-   with their number of documents and the largest id.
-2. Kept hashes are dealt to shards of bounded size. A task builds each shard's minimal perfect hash and three flat
-   arrays that it indexes: fingerprints, counts and keepers.
-3. Documents probe the arrays. While all shards together stay below a limit they are broadcast and no text moves;
-   beyond, the hashes of the lines go to the shards, salted, and only the lines to drop come back.
+1. Every document gives the 128-bit hashes of its long lines, once each; the distinct hashes that more than one
+   document holds are indexed, with their number of documents and the largest id. (What one document holds can't go.)
+2. Hashes are dealt to shards of bounded size. A task builds each shard's minimal perfect hash and three flat arrays
+   that it indexes: fingerprints, counts and keepers.
+3. Documents probe the arrays, and a line's count there decides whether it goes. While all shards together stay below
+   a limit they are broadcast and no text moves; beyond, the most frequent lines alone are, and the hashes of the
+   others go to the shards, salted, and only the lines to drop come back.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ EDGE = b" \t\n\x0b\x0c\r"
 SHARD_LINES, BROADCAST_BYTES = 50_000, 64 << 20
 #: A document without an id comes before all others.
 NO_ID = -(1 << 63)
-#: Groups that the lines of a shard are dealt to when lines go to the shards.
-SALTS = 16
+#: When lines go to the shards, those with at least one in so many of all occurrences, that many at most, are broadcast;
+#: of the others no group of a shard gets many more than GROUP_LINES because of one line.
+FREQUENT, GROUP_LINES = 100_000, 500_000
 
 
 def line_keys(text: bytes, min_chars: int = MIN_CHARS) -> list[bytes | None]:
@@ -170,35 +172,62 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "h1 long, h2 long, doc long")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int, int]:
-    """``shard, data`` rows of the lines in at least ``min_docs`` documents; the number of shards and of lines."""
-    counted = _keys(docs, id_col, text_col, min_chars).groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
-    counted = materialize(counted, "lines")
-    n = counted.count()
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``h1, h2, n, keeper``: the lines that more than one document holds, how many do, and the largest id of them."""
+    counted = _keys(docs, id_col, text_col, min_chars).groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where("n > 1")
+    return materialize(counted, "lines")
+
+
+def build_index(lines: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """``shard, data`` rows of all ``n`` lines, and the number of shards."""
     shards = max(1, -(-n // SHARD_LINES))
 
     def build(key, frame):
         import pandas as pd
 
-        return pd.DataFrame({"shard": [key[0]], "data": [Shard.build(*(frame[c].to_numpy() for c in ("h1", "h2", "n", "keeper"))).to_bytes()]})
+        return pd.DataFrame({"shard": [key[0]], "data": [_shard_of(frame).to_bytes()]})
 
     # hashes are spread evenly, so a shard's size is bounded
-    built = counted.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, data binary")
-    return built, shards, n
+    return lines.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, data binary"), shards
+
+
+def _shard_of(frame) -> Shard:
+    return Shard.build(*(frame[c].to_numpy() for c in ("h1", "h2", "n", "keeper")))
 
 
-def _dropped_by_shard(docs: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``doc, drop``: for each document that loses lines, the hashes (16 bytes each) of their keys."""
-    keys = _keys(docs, id_col, text_col, min_chars).withColumn("shard", F.pmod("h1", F.lit(shards))).withColumn("salt", F.pmod(F.xxhash64("doc", "h2"), F.lit(SALTS)))
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+def _gone(shard: Shard, hashes, owners, min_docs: int):
+    """Whether each line goes: by its count, and unless its document is the keeper."""
+    import numpy as np
+
+    found, count, keeper = shard.probe(np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1]))
+    return found & (count >= min_docs) & (keeper != owners)
+
+
+def _dropped_by_shard(docs: DataFrame, lines: DataFrame, n: int, total: int, frequent, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """``doc, drop``: for each document that loses lines, the hashes of their keys, but for the ``frequent`` lines."""
+    index, shards = build_index(lines, n)
+    salts = max(1, -(-total // (FREQUENT * GROUP_LINES)))
+
+    def rare(frames):
+        import numpy as np
+        import pyarrow as pa
+
+        known = Shard.from_bytes(frequent.value)
+        for batch in batches(frames):
+            h1, h2 = (np.ascontiguousarray(batch.column(i).to_numpy()) for i in range(2))
+            yield batch.filter(pa.array(~known.probe(h1, h2)[0]))
+
+    keys = _keys(docs, id_col, text_col, min_chars).mapInArrow(rare, "h1 long, h2 long, doc long")
+    keys = keys.withColumn("shard", F.pmod("h1", F.lit(shards))).withColumn("salt", F.pmod(F.xxhash64("doc", "h2"), F.lit(salts)))
+    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
     def probe(_, frame, data):
         import numpy as np
 
         if not len(data) or not len(frame):
             return frame.iloc[:0][["h1", "h2", "doc"]]
-        found, _, keeper = Shard.from_bytes(data["data"].iloc[0]).probe(frame["h1"].to_numpy(np.int64), frame["h2"].to_numpy(np.int64))
-        return frame[found & (keeper != frame["doc"].to_numpy())][["h1", "h2", "doc"]]
+        gone = _gone(Shard.from_bytes(data["data"].iloc[0]), frame[["h1", "h2"]].to_numpy(np.int64), frame["doc"].to_numpy(), min_docs)
+        return frame[gone][["h1", "h2", "doc"]]
 
     out = keys.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "h1 long, h2 long, doc long")
     return out.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
@@ -223,7 +252,8 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    index, shards, n = build_index(docs, id_col, text_col, min_chars, min_docs)
+    lines = repeated_lines(docs, id_col, text_col, min_chars)
+    size = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     fields = T.StructType.fromDDL("doc long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * text)
     for i, c in enumerate(carry):
         fields = fields.add(f"carried_{i}", docs.schema[c].dataType)
@@ -236,7 +266,8 @@ def dedup_lines(
         cols = [ids, *zip(*((a, b, hashlib.sha256(c).hexdigest(), *[c.decode()] * text) for a, b, c in sifted_), strict=True)]
         return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *more], names=fields.names)
 
-    if n * 32 <= broadcast_bytes:
+    if size.n * 32 <= broadcast_bytes:
+        index, shards = build_index(lines, size.n)
         small = spark.sparkContext.broadcast({r.shard: bytes(r.data) for r in index.collect()})  # its size is checked above
 
         def probe(frames):
@@ -255,8 +286,7 @@ def dedup_lines(
                 shard = hashes[:, 0] % shards
                 for s, part in parts.items():
                     own = np.flatnonzero(shard == s)
-                    found, _, keeper = part.probe(np.ascontiguousarray(hashes[own, 0]), np.ascontiguousarray(hashes[own, 1]))
-                    gone[own] = found & (keeper != owner[own])
+                    gone[own] = _gone(part, hashes[own], owner[own], min_docs)
                 drop = [[False] * len(k) for k in keys]
                 for k in np.flatnonzero(gone).tolist():
                     i, j = at[k]
@@ -265,21 +295,27 @@ def dedup_lines(
 
         sifted = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *carried).mapInArrow(probe, fields)
     else:
-        drops = _dropped_by_shard(docs, index, shards, id_col, text_col, min_chars)
+        often = lines.where(F.col("n") * FREQUENT >= size.total).toPandas()  # FREQUENT rows at most
+        frequent = spark.sparkContext.broadcast(_shard_of(often).to_bytes())
+        drops = _dropped_by_shard(docs, lines, size.n, size.total, frequent, id_col, text_col, min_chars, min_docs)
         own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *carried)
         joined = own.join(drops, F.coalesce(own["__id"], F.lit(NO_ID)) == drops.doc, "left").select("__id", "__text", "drop", *[f"carried_{i}" for i in range(len(carry))])
 
         def sift(frames):
+            import numpy as np
             import pyarrow as pa
 
+            known = Shard.from_bytes(frequent.value)
             for batch in batches(frames):
-                texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+                texts, ids = batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(0).to_pylist()
                 done = []
-                for t, gone in zip(texts, batch.column(2).to_pylist(), strict=True):
-                    gone = {(g["h1"], g["h2"]) for g in gone or ()}
+                for i, t, drop in zip(ids, texts, batch.column(2).to_pylist(), strict=True):
+                    drop = {(g["h1"], g["h2"]) for g in drop or ()}
                     keys = line_keys(t or b"", min_chars)
-                    done.append(_sifted(t, [bool(gone) and k is not None and hash_key(k) in gone for k in keys]))
-                yield out(batch.column(0).to_pylist(), done, batch.columns[3:])
+                    hashes = np.array([hash_key(k) if k is not None else (0, 0) for k in keys], np.int64).reshape(-1, 2)
+                    gone = _gone(known, hashes, NO_ID if i is None else i, min_docs)
+                    done.append(_sifted(t, [k is not None and (bool(g) or (a, b) in drop) for k, g, (a, b) in zip(keys, gone, hashes.tolist(), strict=True)]))
+                yield out(ids, done, batch.columns[3:])
 
         sifted = joined.mapInArrow(sift, fields)
     kind = docs.schema[id_col].dataType

@@ -26,10 +26,12 @@ def corpus():
     return AWKWARD + texts + ["exactly nineteen ch\n" * 2] * 4 + ["twenty characters ok"] * 4
 
 
-def test_equals_brute_force_both_ways(spark):
+def test_equals_brute_force_both_ways(spark, monkeypatch):
     texts = corpus()
     docs, want = documents(spark, texts), brute(list(enumerate(texts)))
-    for limit in (1 << 20, 0):  # broadcast arrays; lines go to the shards
+    for limit, frequent, group in ((1 << 20, 100_000, 500_000), (0, 10**9, 1), (0, 30, 1), (0, 1, 500_000)):  # broadcast arrays; lines go to the shards, none, some or few of them frequent
+        monkeypatch.setattr(lines, "FREQUENT", frequent)
+        monkeypatch.setattr(lines, "GROUP_LINES", group)
         got = collect(lines.dedup_lines(docs, broadcast_bytes=limit))
         assert {i: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for i, r in got.items()} == want
         assert all(sha(r["kept_text"]) == r["kept_sha256"] for r in got.values())
@@ -43,6 +45,15 @@ def test_many_shards(spark, monkeypatch):
         assert {i: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for i, r in got.items()} == brute(list(enumerate(texts)))
 
 
+def test_the_counts_decide(spark):
+    """One index for all limits: the same lines, judged by their count when they are probed."""
+    docs = documents(spark, [f"a line that is in {k} of the documents" for k in (1, 2, 3, 4) for _ in range(k)])
+    found = lines.repeated_lines(docs)
+    assert sorted(r.n for r in found.collect()) == [2, 3, 4]
+    for least, gone in ((2, 6), (3, 5), (4, 3), (5, 0)):
+        assert sum(r.n_dropped for r in lines.dedup_lines(docs, min_docs=least).collect()) == gone
+
+
 def test_perfect_hash():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 1000):
