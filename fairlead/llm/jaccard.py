@@ -1,10 +1,12 @@
 """Near-duplicate documents: an exact n-gram Jaccard join with rare-first prefix filtering.
 
 1. Every document becomes the set of its word n-grams (64-bit hashes). Documents with equal sets form a class, and
-   one of each class goes on. The same pass counts n-grams in a table of fixed size.
-2. A set's n-grams are ordered rare first (by that table, then by hash: any fixed order is right, a rare-first one is
+   one of each class goes on. The same pass counts n-grams: what recurs within a block of them is summed up over all
+   blocks, and the most frequent are kept by the logarithm of their count.
+2. A set's n-grams are ordered rare first (by that count, then by hash: any fixed order is right, a rare-first one is
    fast). Two sets that are similar enough share one of their first ``size - ceil(t * size) + 1`` n-grams.
-3. Sets meet on these prefix n-grams. A pair must pass the length, positional and suffix filters, and is verified once.
+3. Sets meet on these prefix n-grams, sorted by ranges of n-gram and document, so that a frequent n-gram is spread over
+   tasks. A pair must pass the length, positional and suffix filters, and is verified once.
 4. Links only matter for the component they join. So each n-gram first links its sets to one of them, then, where they
    are in different components, to a few others; pairs that are in one component by then need no check, and the pairs of
    sets that are still in different components all get theirs, if their parity signatures don't rule it out.
@@ -13,7 +15,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import batches, materialize, small_batches
 
-#: Slots of the table of counts, in slices of SLICE.
-SLOTS, SLICE = 1 << 22, 1 << 16
-#: Bins of the suffix filter; 64-bit words of a set's parity signature; pivots of an n-gram in the second round.
+#: N-grams in a block; how often an n-gram must occur in one to be counted for it; n-grams in the table at most.
+BLOCK, RECURS, COMMON = 1 << 21, 4, 1 << 20
+#: Members of pairs up to which texts are sought by a broadcast of ids.
+MEMBERS = 2_000_000
+#: Fixed bins of the suffix filter; 64-bit words of a set's parity signature; pivots of an n-gram in the second round.
 BINS, WORDS, PIVOTS = 16, 4, 4
 #: Members verified beside one copy of their pivot.
 STAR = 400
+#: Halvings of the suffix filter where both sets are at hand.
+DEPTH = 2
 NEAR_WORDS, NEAR_PCT = 5, 80
 
 
@@ -76,8 +81,8 @@ def shingle_sets(texts: list, n: int) -> list:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: ``doc, size, h1, h2`` for each document (equal sets have equal hashes), and ``slice, data``
-    with this task's counts of n-grams."""
+    """Rows of two kinds: ``doc, size, h1, h2`` for each document (equal sets have equal hashes), and ``gram, n`` for what
+    recurs in a block."""
 
     def run(frames: Iterator):
         import struct
@@ -86,51 +91,63 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        counts = np.zeros(SLOTS, np.uint32)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        rows = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "size", "h1", "h2", "slice", "data"])
+        kinds = {"doc": pa.int64(), "size": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "gram": pa.int64(), "n": pa.int64()}
+        block, held = [], 0
+
+        def rows(length: int, **cols):
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(length, k) for c, k in kinds.items()], names=list(kinds))
+
+        def recurring():
+            grams, times = np.unique(np.concatenate(block), return_counts=True)
+            often = times >= RECURS
+            return rows(int(often.sum()), gram=grams[often].view(np.int64), n=times[often])
+
         for batch in batches(frames):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            flat = np.concatenate(sets) & np.uint64(SLOTS - 1)
-            counts += np.bincount(flat.astype(np.int64), minlength=SLOTS).astype(np.uint32) if len(flat) > SLOTS // 8 else 0
-            if len(flat) <= SLOTS // 8:
-                at, k = np.unique(flat, return_counts=True)
-                counts[at.astype(np.int64)] += k.astype(np.uint32)
             pairs = [struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes())) for s in sets]
-            none = [None] * len(sets)
-            yield rows([batch.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in pairs], [b for _, b in pairs], none, none])
-        used = [i for i in range(SLOTS // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
-        none = [None] * len(used)
-        yield rows([none, none, none, none, used, [zlib.compress(counts[i * SLICE : (i + 1) * SLICE].tobytes(), 1) for i in used]])
+            yield rows(len(sets), doc=batch.column(0), size=[len(s) for s in sets], h1=[x for x, _ in pairs], h2=[y for _, y in pairs])
+            block += sets
+            held += sum(map(len, sets))
+            if held > BLOCK:
+                yield recurring()
+                block, held = [], 0
+        if held:
+            yield recurring()
 
-    return docs.mapInArrow(run, "doc long, size int, h1 long, h2 long, slice int, data binary")
+    return docs.mapInArrow(run, "doc long, size int, h1 long, h2 long, gram long, n long")
 
 
-def _counts(sets: DataFrame):
-    """The whole table of counts; SLOTS numbers, whatever the input."""
+def _common(sets: DataFrame):
+    """``grams, levels``: the most frequent n-grams, sorted, and the binary logarithms of their counts; COMMON at most."""
     import numpy as np
 
-    def add(frames):
-        import pyarrow as pa
+    counted = materialize(sets.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")), "common")
+    least, room = 64, COMMON
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row a level
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.level
+    rows = counted.where(F.col("level") >= least).toArrow()  # COMMON rows at most
+    grams, levels = rows.column("gram").to_numpy().view(np.uint64), rows.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(grams)
+    return grams[order], levels[order]
 
-        total: dict[int, np.ndarray] = {}
-        for batch in batches(frames):
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(data), np.uint32)
-                total[i] = np.minimum(total[i].astype(np.uint64) + own, 0xFFFFFFFF).astype(np.uint32) if i in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "data"])
-
-    parts = sets.where(F.col("slice").isNotNull()).select("slice", "data")
-    out = np.zeros(SLOTS, np.uint32)
-    for r in parts.repartition(16, "slice").mapInArrow(add, "slice int, data binary").collect():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["data"]), np.uint32)
-    return out
 
+def _levels(grams, table):
+    import numpy as np
+
+    names, levels = table
+    if not len(names):
+        return np.zeros(len(grams), np.uint8)
+    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+    return np.where(names[at] == grams, levels[at], 0)
 
-def _prefixes(docs: DataFrame, n: int, pct: int, counts) -> DataFrame:
+
+def _prefixes(docs: DataFrame, n: int, pct: int, common) -> DataFrame:
     """``doc, size, prefix`` (n-grams, rare first), ``bins`` (how many of the set's n-grams fall in each of BINS) and
     ``sig`` (whether an odd number falls in each of 64 * WORDS)."""
-    small = docs.sparkSession.sparkContext.broadcast(counts)
+    small = docs.sparkSession.sparkContext.broadcast(common)  # COMMON entries at most
 
     def run(frames):
         import numpy as np
@@ -139,9 +156,9 @@ def _prefixes(docs: DataFrame, n: int, pct: int, counts) -> DataFrame:
         for batch in batches(frames):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             prefix, bins, sig = [], [], []
-            for s in sets:
+            ends = np.cumsum([len(s) for s in sets])
+            for s, often in zip(sets, np.split(_levels(np.concatenate(sets), small.value), ends[:-1]), strict=True):
                 keep = len(s) + (-pct * len(s) // 100) + 1 if len(s) else 0
-                often = small.value[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                 prefix.append(s[np.lexsort((s, often))[:keep]].view(np.int64))
                 bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32))
                 odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
@@ -179,7 +196,8 @@ def _near_signatures(sig_a, sig_b, size_a, size_b, pct: int):
 
 
 def _suffix_filter(pairs: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
-    """Drops pairs whose overlap can't be enough, by signature and bin by bin. ``pairs``: ``a, b``; ``sizes``: ``doc,
+    """Drops pairs whose overlap can't be enough, by signature and bin by bin (the suffix filter's bound with fixed
+    pivots, before texts are fetched; :func:`hamming_bound` is the filter itself). ``pairs``: ``a, b``; ``sizes``: ``doc,
     size, bins, sig``."""
     a, b = (sizes.select(F.col("doc").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bins", "sig")]) for s in "ab")
     both = pairs.join(a, "a").join(b, "b")
@@ -188,10 +206,28 @@ def _suffix_filter(pairs: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
     return both.where((most >= _need(size_a, size_b, pct)) & _near_signatures(F.col("sig_a"), F.col("sig_b"), size_a, size_b, pct)).select("a", "b")
 
 
+def hamming_bound(x, y, most: int, depth: int = DEPTH) -> int:
+    """At least so many n-grams are in one of two sorted sets only; stops once that is more than ``most``. The suffix
+    filter of Xiao et al. (2008): the sets are cut at the middle of the second, and each half's sizes give a bound."""
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    j = len(y) // 2
+    i = int(x.searchsorted(y[j]))
+    same = int(i < len(x) and x[i] == y[j])
+    right = abs((len(x) - i - same) - (len(y) - j - 1)) + 1 - same
+    low = abs(i - j) + right
+    if low <= most:
+        low = hamming_bound(x[:i], y[:j], most - right, depth - 1) + right
+    if low <= most:
+        left = low - right
+        low = left + hamming_bound(x[i + same :], y[j + 1 :], most - left - 1 + same, depth - 1) + 1 - same
+    return low
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Those of ``rows`` whose n-gram stands in sets of different components (``label``)."""
-    open_ = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    return materialize(rows.join(open_, "gram"), "mixed")
+    """Those of ``rows`` whose n-gram stands in sets of different components (``label``), with ``n``, how many do."""
+    open_ = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("gram", "n")
+    return materialize(rows.drop("n").join(open_, "gram"), "mixed")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -201,14 +237,16 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough. A pivot ``a`` and its partners meet in one place; many
-    partners are dealt to many places, with a copy of the pivot in each."""
+    """The pairs ``a, b`` whose texts are similar enough. Only texts of members of pairs are moved. A pivot ``a`` and its
+    partners meet in one place; many partners are dealt to many places, with a copy of the pivot in each."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("places"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).alias("place"))
     dealt = materialize(dealt, "pairs")
     stars = dealt.select("a", "place", F.col("b").alias("member"), F.lit(1).alias("kind")).unionByName(dealt.select("a", "place", F.col("a").alias("member"), F.lit(0).alias("kind")).distinct())
-    # texts are shuffled by document whatever their size, so the plan is the same at every scale
-    with_text = stars.join(docs.hint("merge"), stars.member == docs.doc).select("a", "place", "kind", "member", "text")
+    members = materialize(stars.select("member").distinct(), "members")
+    wanted = F.broadcast(members) if members.count() <= MEMBERS else members
+    texts = docs.join(wanted, docs.doc == members.member, "left_semi")
+    with_text = stars.join(texts.hint("merge"), stars.member == texts.doc).select("a", "place", "kind", "member", "text")
 
     def run(frames):
         import numpy as np
@@ -221,7 +259,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
             for x, k, m, s in zip(a, kind, member, sets, strict=True):
                 if k == 0:
                     pivot, own = x, s
-                elif pivot == x:
+                elif pivot == x and hamming_bound(own, s, len(own) + len(s) - 2 * need(len(own), len(s), pct)) <= len(own) + len(s) - 2 * need(len(own), len(s), pct):
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     if both and 100 * both >= pct * (len(own) + len(s) - both):
                         found.append((x, m))
@@ -245,22 +283,63 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("doc", "label")
 
 
-def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, counts) -> DataFrame:
+def _met(placed: DataFrame) -> DataFrame:
+    """``doc, size, at, gram, pivot, edge``: what meets others on its n-gram, with the first set that has it in its task.
+
+    Rows are sorted by ranges of n-gram and document, so a frequent n-gram takes as many tasks as it needs. ``edge`` is
+    set for the first and last n-gram of a task: others of it may be in the tasks beside."""
+    schema = "doc long, size int, at int, gram long, pivot struct<doc:long,size:int,at:int>, edge boolean"
+
+    def run(frames):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = {"doc": pa.int64(), "size": pa.int32(), "at": pa.int32(), "gram": pa.int64()}
+
+        def rows(cols, head, edge, keep):
+            own = [pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)]
+            pivot = pa.StructArray.from_arrays([c.take(pa.array(head)) for c in own[:3]], list(kinds)[:3])
+            return pa.RecordBatch.from_arrays([*own, pivot, pa.array(edge)], names=[*kinds, "pivot", "edge"]).filter(pa.array(keep))
+
+        first, held, sent = None, None, False  # the task's first n-gram; the first row of the last one so far, and whether it has gone out
+        for batch in batches(frames):
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            gram = cols[3]
+            first = gram[0] if first is None else first
+            starts = np.concatenate([[True], gram[1:] != gram[:-1]])
+            head = np.maximum.accumulate(np.where(starts, np.arange(len(gram)), 0))
+            last = gram == gram[-1]
+            keep = ~(starts & np.append(starts[1:], True)) | (gram == first)
+            keep[last] = last.sum() > 1  # alone so far: more may come
+            if held is not None and sent:
+                keep[0] = False
+            yield rows(cols, head, (gram == first) | last, keep)
+            sent = bool(last.sum() > 1 or sent and held is not None and last[0])
+            held = [c[[last.argmax()]] for c in cols]
+        if held is not None and not sent:
+            yield rows(held, np.zeros(1, np.int64), np.ones(1, bool), np.ones(1, bool))
+
+    return placed.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").select("doc", "size", "at", "gram").mapInArrow(run, schema)
+
+
+def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, common) -> DataFrame:
     """Verified pairs ``a, b`` of ``reps`` that connect all that is similar."""
-    ordered = materialize(_prefixes(docs, n, pct, counts).join(reps, "doc", "left_semi"), "prefixes")
-    placed = ordered.select("doc", "size", F.posexplode("prefix").alias("at", "gram"))
-    # counted before they are shuffled, and joined back: a frequent n-gram's rows never have to meet in one task
-    shared = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "size", "at")).alias("pivot")).where("n > 1").drop("n")
-    met = materialize(placed.join(shared, "gram"), "met")
+    ordered = materialize(_prefixes(docs, n, pct, common).join(reps, "doc", "left_semi"), "prefixes")
+    met = materialize(_met(ordered.select("doc", "size", F.posexplode("prefix").alias("at", "gram"))), "met")
     sizes = ordered.select("doc", "size", "bins", "sig")
 
+    beside = met.select("doc", "size", "at", "pivot")
+    parts = met.where("edge").groupBy("gram", "pivot").agg(F.count(F.lit(1)).alias("n")).select("gram", "pivot")  # two n-grams a task
+    over = parts.join(parts.groupBy("gram").agg(F.min("pivot").alias("least")), "gram").select("pivot.*", F.col("least").alias("pivot"))
     may = _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
-    first = met.where((F.col("doc") != F.col("pivot.doc")) & may).select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    first = beside.unionByName(over).where((F.col("doc") != F.col("pivot.doc")) & may).select(F.least("pivot.doc", "doc").alias("a"), F.greatest("pivot.doc", "doc").alias("b")).distinct()
     first = materialize(_suffix_filter(first, sizes, pct), "first")
     links = materialize(_verified(first, docs, n, pct), "links")
 
     # more pivots for n-grams of many components, so that large groups of near copies are one by the third round
-    mixed = _mixed(_labelled(met.drop("pivot"), links))
+    mixed = _mixed(_labelled(met.drop("pivot", "edge"), links))
     pivots = mixed.groupBy("gram").agg(F.array(*[F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("h"), "doc", "size", "at", "label")) for i in range(PIVOTS)]).alias("pivots"))
     beside = mixed.join(pivots, "gram").select("doc", "size", "at", "label", F.explode(F.array_distinct("pivots")).alias("pivot"))
     may = (F.col("label") != F.col("pivot.label")) & _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
@@ -268,10 +347,12 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, counts) -> DataFr
     second = materialize(_suffix_filter(second.join(first, ["a", "b"], "left_anti"), sizes, pct), "second")
     links = links.unionByName(materialize(_verified(second, docs, n, pct), "links"))
 
-    mixed = _mixed(_labelled(mixed, links).join(sizes.select("doc", "sig"), "doc"))
-    x, y = (mixed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "label", "sig")]) for s in "ab")
+    # what is still apart, each pair once: an n-gram's sets are dealt to blocks that each meet all its sets
+    mixed = _mixed(_labelled(mixed, links)).join(sizes.select("doc", "sig"), "doc")
+    blocks = F.ceil(F.col("n") / STAR)
+    x, y = (mixed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "label", "sig")], place.alias("block")) for s, place in (("a", F.pmod(F.xxhash64("doc"), blocks)), ("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))))
     may = _may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), pct) & _near_signatures(F.col("sig_a"), F.col("sig_b"), F.col("size_a"), F.col("size_b"), pct)
-    rest = x.join(y, "gram").where((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & may).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    rest = x.join(y, ["gram", "block"]).where((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & may).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
     tried = first.unionByName(second)
     rest = _suffix_filter(rest.join(tried, ["a", "b"], "left_anti"), sizes, pct)
     return links.unionByName(materialize(_verified(rest, docs, n, pct), "links"))
@@ -288,11 +369,11 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, pct: int = NEAR_PC
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     found = materialize(_sets(named, words), "sets")
-    counts = _counts(found)
-    sized = found.where(F.col("slice").isNull()).select("doc", "size", "h1", "h2")
+    common = _common(found)
+    sized = found.where(F.col("gram").isNull()).select("doc", "size", "h1", "h2")
     whole = sized.where((F.col("size") > 0) & F.col("doc").isNotNull())
     classes = materialize(whole.groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep")), "classes")
-    links = _links(named, classes.select(F.col("rep").alias("doc")), words, pct, counts)
+    links = _links(named, classes.select(F.col("rep").alias("doc")), words, pct, common)
     # links join classes; a row's class joins it to the rest
     labels = components(links).select(F.col("doc").alias("rep"), "label")
     labelled = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from fairlead.llm.common import materialize, shared_dir, small_batches
+from fairlead.llm.common import materialize, new_folder, small_batches
 
 #: Payloads of fewer bytes are never revisits. An archive file is closed beyond so many bytes.
 MIN_PAYLOAD, FILE_BYTES = 1000, 64 << 20
@@ -295,7 +295,7 @@ def write_pages(pages: DataFrame, path: str | None = None, **columns) -> str:
     spark = pages.sparkSession
     register(spark)
     small_batches(spark, 200)
-    path = path or f"{shared_dir(spark)}/fairlead/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "warc")
     as_records(pages, **columns).write.format("warc").mode("append").save(path)
     return path
 

@@ -84,7 +84,7 @@ def test_signatures_never_rule_out_a_link(spark):
     texts = near_copies(7) + near_copies(8)
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (ascii_lower(t).split() for t in texts)]
     docs = documents(spark, texts).selectExpr("doc_id as doc", "text")
-    p = {r.doc: r for r in jaccard._prefixes(docs, 4, 85, np.zeros(jaccard.SLOTS, np.uint32)).collect()}
+    p = {r.doc: r for r in jaccard._prefixes(docs, 4, 85, (np.zeros(0, np.uint64), np.zeros(0, np.uint8))).collect()}
     for i, a in enumerate(sets):
         for j in range(i):
             apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p[i].sig, p[j].sig, strict=True))
@@ -107,3 +107,45 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
     assert got == sorted([(0, 2, None), (4, 2, 4), (4, 2, 4), (9, 2, 4), (0, 0, None)], key=lambda x: (x[0], x[1])) or {x for x in got} == {(0, 2, None), (4, 2, 4), (9, 2, 4), (0, 0, None)}
     assert sorted(r.doc_id or 0 for r in jaccard.distinct_documents(df).collect()) == [0, 0, 4, 4]
+
+
+def test_frequent_grams_are_counted_over_blocks(spark, monkeypatch):
+    """All n-grams that recur often enough in a block, and the most frequent first if the table is small."""
+    monkeypatch.setattr(jaccard, "BLOCK", 200)
+    monkeypatch.setattr(jaccard, "RECURS", 2)
+    texts = [f"the same few words here {i} {i + 1000}" for i in range(300)] + [f"another lot of words {i % 40}" for i in range(120)]
+    docs = documents(spark, texts).coalesce(1).selectExpr("doc_id as doc", "text")
+    times = {}
+    for s in jaccard.shingle_sets(texts, 3):
+        for g in s.tolist():
+            times[g] = times.get(g, 0) + 1
+    grams, levels = jaccard._common(jaccard._sets(docs, 3))
+    assert {int(g) for g in grams} >= {g for g, n in times.items() if n >= 100} and all(2 ** int(x) <= times[int(g)] for g, x in zip(grams, levels))
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    few, _ = jaccard._common(jaccard._sets(docs, 3))
+    assert 0 < len(few) <= 4 and all(times[int(g)] >= 256 for g in few)
+
+
+def test_rows_of_a_frequent_gram_in_many_tasks_and_batches(spark):
+    rows = [(d, 10, 0, g) for g, k in ((1, 1), (2, 2), (3, 700), (4, 1), (5, 40), (6, 1)) for d in range(k)]
+    df = spark.createDataFrame(rows, "doc long, size int, at int, gram long").repartition(3)
+    for batch, tasks in ((10, 1), (100, 4), (10, 4), (1, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        got = jaccard._met(df).collect()
+        own = {(r.gram, r.doc) for r in got}
+        assert len(got) == len(own) and own >= {(g, d) for g, k in ((2, 2), (3, 700), (5, 40)) for d in range(k)}
+        assert all(r.pivot.doc <= r.doc and (r.edge or r.pivot.doc == 0) for r in got)
+        assert all((r.gram, r.pivot.doc) in own for r in got)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_suffix_filter_is_a_lower_bound():
+    r = np.random.default_rng(6)
+    for _ in range(400):
+        x, y = (np.unique(r.integers(0, r.integers(5, 200), r.integers(0, 60)).astype(np.uint64)) for _ in range(2))
+        true = len(np.setxor1d(x, y))
+        for depth in (0, 1, 2, 5):
+            assert jaccard.hamming_bound(x, y, 10**9, depth) <= true
+            assert jaccard.hamming_bound(x, y, true, depth) <= true
+    assert jaccard.hamming_bound(np.arange(0, 50), np.arange(100, 150), 3) > 3
