@@ -6,10 +6,12 @@ Each stage takes what the one before it kept, as it was written and read again;
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.llm import decontaminate, jaccard, lines, packing, quality
-from fairlead.llm.common import materialize, table
+from fairlead.llm.common import materialize, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What a stage wrote for itself, and what it read, is removed once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), release(spark, since=sys.maxsize)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, since=before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
