@@ -39,18 +39,20 @@ def unit_vector(lat, lon) -> tuple[Column, Column, Column]:
 
 def great_circle_points(lat1, lon1, lat2, lon2, n: int = 64) -> Column:
     """Array of ``lat, lon``: ``n`` (at least 2) points at equal angles; two for points that coincide."""
-    a, b = unit_vector(lat1, lon1), unit_vector(lat2, lon2)
+    a, b, n = unit_vector(lat1, lon1), unit_vector(lat2, lon2), max(2, n)
     dot = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a[0] * b[0] + a[1] * b[1] + a[2] * b[2]))
-    omega, n = F.acos(dot), max(2, n)
 
-    def point(i: Column) -> Column:
+    def point(arc: Column, i: Column) -> Column:
         t = i / F.lit(float(n - 1))
-        wa, wb = F.sin((1 - t) * omega) / F.sin(omega), F.sin(t * omega) / F.sin(omega)
-        x, y, z = (wa * p + wb * q for p, q in zip(a, b, strict=True))
+        wa, wb = F.sin((1 - t) * arc.w) / arc.s, F.sin(t * arc.w) / arc.s
+        x, y, z = (wa * arc[f"a{j}"] + wb * arc[f"b{j}"] for j in range(3))
         return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
 
     ends = F.array(F.struct(col(lat1).cast("double").alias("lat"), col(lon1).cast("double").alias("lon")), F.struct(col(lat2).cast("double").alias("lat"), col(lon2).cast("double").alias("lon")))
-    return F.when(omega < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point))
+    # an array of one: the angle and the vectors are computed once, not for each point
+    angle = F.array(F.struct(F.acos(dot).alias("w"), *[v.alias(f"a{j}") for j, v in enumerate(a)], *[v.alias(f"b{j}") for j, v in enumerate(b)]))
+    arcs = F.transform(angle, lambda v: F.struct(v.w.alias("w"), F.sin(v.w).alias("s"), *[v[f"{c}{j}"].alias(f"{c}{j}") for c in "ab" for j in range(3)]))
+    return F.transform(arcs, lambda arc: F.when(arc.w < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: point(arc, i))))[0]
 
 
 def lerp_points(lat1, lon1, lat2, lon2, parts: Column) -> Column:

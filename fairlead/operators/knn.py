@@ -1,8 +1,9 @@
 """Nearest-neighbour joins on the sphere by buckets, and the features built on them.
 
-Points lie in a cubic grid over the unit sphere. Queries look in the block of 27 cells around their own; a query whose
-k-th neighbour may lie outside the block is asked again with cells three times as large. Only unresolved queries go on,
-and in the last round the block is the whole sphere, so the result is exact.
+Space around the unit sphere is cut into cubic tiles. A tile's queries meet the index points in it and in a margin
+around it, a matrix product for each tile. A query whose k-th neighbour may lie beyond the margin is asked again with
+one three times as large. Only unresolved queries go on, and in the last round the margin is the whole sphere, so the
+result is exact.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from fairlead.operators.shared import written
 
 # Neighbours of the context; a neighbour this close (km) is the point itself; least span (km) of a density.
 NEIGHBOURS, SELF_KM, LEAST_SPAN_KM = 8, 0.002, 1.2
+#: Points that a margin should hold about; edge of a tile in margins; rows of a tile that go to one task, about.
+MARGIN_POINTS, TILE, PART = 40, 4, 20_000
 
 
 def reference_index(df: DataFrame) -> DataFrame:
@@ -27,42 +30,87 @@ def reference_index(df: DataFrame) -> DataFrame:
     return kept.select("id", "latitude", "longitude", depth.alias("depth"), height.alias("height"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in OBJECTS])
 
 
-def _cell(lat: str, lon: str, size: float) -> list[Column]:
-    """The cell of a point in a cubic grid over the unit sphere: no poles and no date line."""
-    return [F.floor((v + 1) / size).cast("int") for v in unit_vector(lat, lon)]
-
-
-def neighbours(queries: DataFrame, index: DataFrame, k: int, cell_km: float = 450.0) -> DataFrame:
+def _axes(lat: str, lon: str) -> list[Column]:
+    """A point of the unit sphere, moved to the cube from 0 to 2: no poles and no date line."""
+    return [v + 1 for v in unit_vector(lat, lon)]
+
+
+def _spacing(index: DataFrame) -> float:
+    """The margin (as a chord) that holds a few neighbours where points are: from their number and the number of cells of
+    about 100 km that have any."""
+    edge = 100 / EARTH_RADIUS_KM
+    cell = F.struct(*[F.floor(v / edge) for v in _axes("latitude", "longitude")])
+    found = index.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(cell).alias("cells")).first()
+    a_cell = max(1.0, found.n / max(1, found.cells))
+    return edge * math.sqrt(MARGIN_POINTS / math.pi / a_cell)
+
+
+def _nearest(key, q, r, k: int):
+    """The ``k`` nearest of ``r`` for each of ``q``, and what is as near but for rounding."""
+    import numpy as np
+    import pyarrow as pa
+
+    unit = lambda t: np.stack([t.column(c).to_numpy() for c in ("x", "y", "z")], 1) - 1
+    a, b = unit(q), unit(r)
+    step, left, right = max(1, 4_000_000 // max(1, len(b))), [], []
+    for i in range(0, len(a) if len(b) else 0, step):
+        near = a[i : i + step] @ b.T  # the cosine of the angle: the larger the nearer
+        if len(b) > k:
+            least = np.partition(near, len(b) - k, axis=1)[:, [len(b) - k]]
+            x, y = np.nonzero(near >= least - 1e-12)
+        else:
+            x, y = np.nonzero(np.ones_like(near, bool))
+        left.append(x + i)
+        right.append(y)
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    q, r = q.take(pa.array(x)), r.take(pa.array(y))
+    return pa.table([q.column("q_id"), q.column("q_lat"), q.column("q_lon"), r.column("r_id"), r.column("r_lat"), r.column("r_lon")], names=["q_id", "q_lat", "q_lon", "r_id", "r_lat", "r_lon"])
+
+
+def neighbours(queries: DataFrame, index: DataFrame, k: int, cell_km: float | None = None) -> DataFrame:
     """``q_id, r_id, km, rank``: the ``k`` nearest index rows of each query, by distance (to 9 decimals) and id.
 
-    ``queries`` and ``index`` have ``id, latitude, longitude``. An index of fewer rows gives all of them.
+    ``queries`` and ``index`` have ``id, latitude, longitude``. An index of fewer rows gives all of them. ``cell_km`` is
+    the first margin, by default one that the density of the index suggests. A crowded tile is dealt to many tasks: its
+    index points in parts of about ``PART``, each with the tile's queries in parts as large, and the parts' nearest are
+    ranked together.
     """
-    q = queries.select(F.col("id").alias("q_id"), F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
-    r = index.select(F.col("id").alias("r_id"), F.col("latitude").alias("r_lat"), F.col("longitude").alias("r_lon"))
-    out, size = None, 2 * math.sin(cell_km / EARTH_RADIUS_KM / 2)
-    steps = F.sequence(F.lit(-1), F.lit(1))
+    axes = dict(zip("xyz", _axes("latitude", "longitude"), strict=True))
+    named = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.col("latitude").alias(f"{s}_lat"), F.col("longitude").alias(f"{s}_lon"), *[v.alias(c) for c, v in axes.items()])
+    q, r = named(queries, "q"), named(index, "r")
+    margin = 2 * math.sin(cell_km / EARTH_RADIUS_KM / 2) if cell_km else _spacing(index)
+    kinds = {f.name: f.dataType.simpleString() for f in (*q.schema, *r.schema)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("q_id", "q_lat", "q_lon", "r_id", "r_lat", "r_lon"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("km", "r_id"))
+    out = None
     while True:
-        size = min(size, 2.0)
-        x, y, z = _cell("q_lat", "q_lon", size)
-        cells = F.flatten(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.transform(steps, lambda h: F.struct((x + i).alias("x"), (y + j).alias("y"), (z + h).alias("z")))))))  # noqa: B023
-        rx, ry, rz = _cell("r_lat", "r_lon", size)
-        near = q.withColumn("c", F.explode(cells)).join(r.withColumn("rx", rx).withColumn("ry", ry).withColumn("rz", rz), (F.col("c.x") == F.col("rx")) & (F.col("c.y") == F.col("ry")) & (F.col("c.z") == F.col("rz")))
-        top = near.withColumn("km", F.round(haversine_km("q_lat", "q_lon", "r_lat", "r_lon"), 9)).withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "r_id", "km", "rank")
-        if size >= 2.0:  # the block is the whole sphere
+        margin = min(margin, 2.0)
+        edge = TILE * margin
+        tile = F.struct(*[F.floor(F.col(c) / edge).cast("int").alias(c) for c in "xyz"])
+        spans = [F.sequence(F.floor((F.col(c) - margin) / edge), F.floor((F.col(c) + margin) / edge)) for c in "xyz"]  # noqa: B023
+        block = F.flatten(F.flatten(F.transform(spans[0], lambda i: F.transform(spans[1], lambda j: F.transform(spans[2], lambda h: F.struct(i.cast("int").alias("x"), j.cast("int").alias("y"), h.cast("int").alias("z")))))))  # noqa: B023
+        asked, held = q.withColumn("tile", tile), r.withColumn("tile", F.explode(block))
+        parts = lambda df, s: df.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / PART).alias(f"{s}_parts"))
+        parted = parts(asked, "q").join(parts(held, "r"), "tile")
+        of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        left = asked.join(parted, "tile").withColumn("qp", F.pmod(F.xxhash64("q_id", F.lit(1)), F.col("q_parts"))).withColumn("rp", of("r_parts")).drop("q_parts", "r_parts")
+        right = held.join(parted, "tile").withColumn("rp", F.pmod(F.xxhash64("r_id", F.lit(2)), F.col("r_parts"))).withColumn("qp", of("q_parts")).drop("q_parts", "r_parts")
+        some = left.groupBy("tile", "qp", "rp").cogroup(right.groupBy("tile", "qp", "rp")).applyInArrow(lambda key, a, b: _nearest(key, a, b, k), schema)
+        top = some.withColumn("km", F.round(haversine_km("q_lat", "q_lon", "r_lat", "r_lon"), 9)).withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "r_id", "km", "rank")
+        if margin >= 2.0:  # the margin is the whole sphere
             return top if out is None else out.unionByName(top)
         top = written(top, "near")
-        safe = 2 * math.asin(size / 2) * EARTH_RADIUS_KM * (1 - 1e-9)  # whatever is nearer is in the block
+        safe = 2 * math.asin(margin / 2) * EARTH_RADIUS_KM * (1 - 1e-9)  # whatever is nearer is in the tile's margin
         done = top.where((F.col("rank") == k) & (F.col("km") <= safe)).select("q_id")
         found = top.join(done, "q_id", "left_semi")
         out = found if out is None else out.unionByName(found)
         q = written(q.join(done, "q_id", "left_anti"), "open")
         if q.isEmpty():
             return out
-        size *= 3
+        margin *= 3
 
 
-def context(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float = 450.0) -> DataFrame:
+def context(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """``k`` neighbours of each query without itself: of ``k + 1`` the first is dropped if it is within ``SELF_KM``, else
     the last. ``q_id, r_id, km, rank`` (from 1)."""
     near = neighbours(queries, index, k + 1, cell_km)
@@ -71,14 +119,14 @@ def context(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km:
     return near.withColumn("own", own).withColumn("rank", rank).where((F.col("rank") >= 1) & (F.col("rank") <= k)).select("q_id", "r_id", "km", "rank")
 
 
-def idw(queries: DataFrame, index: DataFrame, k: int = 4, cell_km: float = 450.0) -> DataFrame:
+def idw(queries: DataFrame, index: DataFrame, k: int = 4, cell_km: float | None = None) -> DataFrame:
     """``q_id, depth, height`` by inverse squared distance (at least 1 m), and ``nearest_km``."""
     w = 1.0 / F.pow(F.greatest("km", F.lit(1e-3)), 2.0)
     near = context(queries, index, k, cell_km).join(index, F.col("r_id") == F.col("id"))
     return near.groupBy("q_id").agg((F.sum(F.col("depth") * w) / F.sum(w)).alias("depth"), (F.sum(F.col("height") * w) / F.sum(w)).alias("height"), F.min("km").alias("nearest_km"))
 
 
-def context_statistics(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float = 450.0) -> DataFrame:
+def context_statistics(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """What the features need of each query's neighbourhood, one row a query."""
     near = context(queries, index, k, cell_km).join(index, F.col("r_id") == F.col("id"))
     return near.groupBy("q_id").agg(
@@ -106,7 +154,7 @@ FEATURES = (
 )
 
 
-def features(points: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float = 450.0) -> DataFrame:
+def features(points: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """``id`` and the 28 features as floats, computed in double and without NaN or infinities."""
     ctx = context_statistics(points, index, k, cell_km)
     joined = points.join(ctx, points["id"] == ctx["q_id"])
@@ -124,7 +172,7 @@ def features(points: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km:
     return joined.select("id", *[clean(made[n]).alias(n) for n in FEATURES])
 
 
-def coordinate_features(points: DataFrame, index: DataFrame, cell_km: float = 450.0) -> DataFrame:
+def coordinate_features(points: DataFrame, index: DataFrame, cell_km: float | None = None) -> DataFrame:
     """The features of bare coordinates ``id, latitude, longitude``: measures by inverse distance from four neighbours,
     object counts of the nearest."""
     near = context(points, index, 4, cell_km).join(index.withColumnRenamed("id", "i_id"), F.col("r_id") == F.col("i_id"))

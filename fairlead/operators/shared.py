@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder, as in tests; a cluster needs one of its own.
 LOCAL_SHARED = "/tmp/checkpoints/fairlead"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions, as a single small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str = "state") -> DataFrame:
-    """``df`` from a table in the shared folder (``spark.checkpoint.dir``)."""
+    """``df`` from a table in the shared folder. Runs at once: what calls this does its work when the query is built."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-    path = f"{base.rstrip('/')}/fairlead/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fairlead/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,10 +6,13 @@ voyage, so its rows fit a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.functions.geo import great_circle_points, haversine_km, initial_bearing_deg, lerp_points
+from fairlead.functions.geo import haversine_km, initial_bearing_deg, unit_vector
+from fairlead.operators.shared import spread
 
 # Sampling step, margin around ports, length of a crossing, longest approach (km); points reported.
 STEP_KM, PORT_KM, CROSSING_KM, APPROACH_KM = 1.0, 5.0, 3.0, 65.0
@@ -43,17 +46,26 @@ def bounding_box(track: DataFrame, margin: float = 0.0) -> DataFrame:
 
 
 def sample_route(track: DataFrame, step_km: float = STEP_KM) -> DataFrame:
-    """``route_id, leg, k, lat, lon, dist``: each leg in ``ceil(length / step)`` equal parts (at least one), and the last
-    point; ``dist`` is along the samples."""
-    ahead = track.withColumn("lat2", F.lead("lat").over(_by())).withColumn("lon2", F.lead("lon").over(_by())).withColumn("leg", F.row_number().over(_by()) - 1)
-    parts = F.greatest(F.lit(1), F.ceil(haversine_km("lat", "lon", "lat2", "lon2") / step_km).cast("int"))
-    end = F.array(F.struct(F.lit(0).alias("k"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
-    points = F.when(F.col("lat2").isNull(), end).otherwise(lerp_points("lat", "lon", "lat2", "lon2", parts))
-    flat = ahead.select("route_id", "leg", F.col("lat2").isNull().alias("last"), F.explode(points).alias("p")).select("route_id", "leg", "last", "p.*")
-    w = Window.partitionBy("route_id").orderBy("leg", "k")
-    km = F.coalesce(haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), F.lit(0.0))
-    out = flat.withColumn("km", km).withColumn("dist", F.sum("km").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("leg", F.when(F.col("last"), F.greatest(F.col("leg") - 1, F.lit(0))).otherwise(F.col("leg"))).withColumn("i", F.row_number().over(Window.partitionBy("route_id").orderBy("dist", "leg", "k")) - 1).drop("last")
+    """``route_id, leg, k, lat, lon, km, i, dist``: each leg in ``ceil(length / step)`` equal parts (at least one), and
+    the last point (of the last leg, ``k`` 0); ``km`` is the distance to the sample before, ``dist`` their sum, ``i`` the
+    sample's number.
+
+    Samples are numbered by leg and measured row by row, so only their distances are summed in a window.
+    """
+    parts = F.when(F.col("lat2").isNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(haversine_km("lat", "lon", "lat2", "lon2") / step_km).cast("int")))
+    ahead = track.withColumn("lat2", F.lead("lat").over(_by())).withColumn("lon2", F.lead("lon").over(_by())).withColumn("leg", F.row_number().over(_by()) - 1).withColumn("parts", parts)
+    before = {c: F.lag(c).over(_by()) for c in ("lat", "lon", "parts")}
+    legs = ahead.select(
+        "route_id", "leg", "lat", "lon", "lat2", "lon2", "parts", *[v.alias(f"{c}0") for c, v in before.items()], F.coalesce(F.sum("parts").over(_by().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first")
+    )
+    flat = legs.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    along = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
+    here = [F.when(F.col("lat2").isNull(), F.col(a)).otherwise(along(a, b, F.col("k") / F.col("parts"))).cast("double") for a, b in (("lat", "lat2"), ("lon", "lon2"))]
+    back = [F.when(F.col("k") > 0, along(a, b, (F.col("k") - 1) / F.col("parts"))).otherwise(along(z, a, (F.col("parts0") - 1) / F.col("parts0"))) for z, a, b in (("lat0", "lat", "lat2"), ("lon0", "lon", "lon2"))]
+    placed = flat.select("route_id", "leg", "k", (F.col("first") + F.col("k")).cast("int").alias("i"), F.col("lat2").isNull().alias("last"), *[c.alias(n) for c, n in zip((*here, *back), ("lat", "lon", "lat_", "lon_"), strict=True)])
+    w = Window.partitionBy("route_id").orderBy("i")
+    out = placed.withColumn("km", F.coalesce(haversine_km("lat_", "lon_", "lat", "lon"), F.lit(0.0))).withColumn("dist", F.sum("km").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.withColumn("leg", F.when(F.col("last"), F.greatest(F.col("leg") - 1, F.lit(0))).otherwise(F.col("leg"))).select("route_id", "leg", "k", "lat", "lon", "km", "dist", "i")
 
 
 def land_runs(samples: DataFrame, on_land: Column, port_km: float = PORT_KM, step_km: float = STEP_KM) -> DataFrame:
@@ -109,19 +121,36 @@ def thinned(rows: DataFrame, most: int = TABLE_ROWS, keep_last: bool = True) ->
     return rows.withColumn("__n", n).withColumn("__i", i).where((F.col("__i") % step == 0) | (F.lit(keep_last) & (F.col("__i") == F.col("__n") - 1))).drop("__n", "__i")
 
 
-def great_circle_baseline(voyages: DataFrame, zone: Column, points: int = 160) -> DataFrame:
+def great_circle_baseline(voyages: DataFrame, zone: Callable[[Column, Column], Column], points: int = 160) -> DataFrame:
     """``voyage_id, km, cost, land_points, interior_land`` and a count for each class along the great circle of
-    ``lat1, lon1, lat2, lon2``. ``zone`` gives a class index from ``lat, lon``; a segment weighs as its end does, and
-    the cost is null where any end is land."""
-    w = Window.partitionBy("voyage_id").orderBy("k")
-    along = voyages.select("voyage_id", F.posexplode(great_circle_points("lat1", "lon1", "lat2", "lon2", points)).alias("k", "p")).select("voyage_id", "k", "p.*").withColumn("zone", zone)
-    km = F.coalesce(haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), F.lit(0.0))
+    ``lat1, lon1, lat2, lon2``. ``zone`` gives a class index from a latitude and a longitude; a segment weighs as its end
+    does, and the cost is null where any end is land. Points that coincide have two points.
+
+    A row holds a point and the one before, so all is summed before it is shuffled.
+    """
+    a, b = unit_vector("lat1", "lon1"), unit_vector("lat2", "lon2")
+    dot = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sum(p * q for p, q in zip(a, b, strict=True))))
+    arc = spread(voyages).select("voyage_id", "lat1", "lon1", "lat2", "lon2", F.acos(dot).alias("omega"), *[v.alias(f"a{i}") for i, v in enumerate(a)], *[v.alias(f"b{i}") for i, v in enumerate(b)])
+    arc = arc.withColumn("last", F.when(F.col("omega") < 1e-12, 1).otherwise(max(2, points) - 1)).withColumn("sine", F.sin("omega"))
+
+    def place(k: Column) -> tuple[Column, Column]:
+        t = k / F.col("last").cast("double")
+        wa, wb = F.sin((1 - t) * F.col("omega")) / F.col("sine"), F.sin(t * F.col("omega")) / F.col("sine")
+        x, y, z = (wa * F.col(f"a{i}") + wb * F.col(f"b{i}") for i in range(3))
+        flat = F.col("omega") < 1e-12
+        lat, lon = (F.when(flat, F.when(k > 0, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).cast("double")) for c in ("lat", "lon"))
+        return lat.otherwise(F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))), lon.otherwise(F.degrees(F.atan2(y, x)))
+
+    k = F.col("k")
+    rows = arc.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
+    here, back = place(k), place(k - 1)
+    rows = rows.select("voyage_id", "k", "last", *[c.alias(n) for c, n in zip((*here, *back), ("lat", "lon", "lat_", "lon_"), strict=True)])
+    rows = rows.select("voyage_id", "k", "last", F.when(k > 0, haversine_km("lat_", "lon_", "lat", "lon")).otherwise(0.0).alias("km"), zone(F.col("lat"), F.col("lon")).alias("zone"))
     weight = F.when(F.col("zone") == 0, 1.0).when(F.col("zone") == 1, 1.8)
-    rows = along.withColumn("km", km).withColumn("last", F.max("k").over(Window.partitionBy("voyage_id")))
     land = F.col("zone") > 1
-    priced = F.when(F.count_if(land & (F.col("k") > 0)) > 0, None).otherwise(F.sum(F.when(F.col("k") > 0, F.col("km") * weight)))
+    priced = F.when(F.count_if(land & (k > 0)) > 0, None).otherwise(F.sum(F.when(k > 0, F.col("km") * weight)))
     return rows.groupBy("voyage_id").agg(
-        F.sum("km").alias("km"), priced.alias("cost"), F.count_if(land).alias("land_points"), F.count_if(land & (F.col("k") > 0) & (F.col("k") < F.col("last"))).alias("interior_land"),
+        F.sum("km").alias("km"), priced.alias("cost"), F.count_if(land).alias("land_points"), F.count_if(land & (k > 0) & (k < F.col("last"))).alias("interior_land"),
         *[F.count_if(F.col("zone") == i).alias(f"zone_{i}") for i in range(4)],
     )
 

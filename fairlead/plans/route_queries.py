@@ -94,8 +94,11 @@ def baseline_great_circle(spark, d):
     from fairlead.functions.geo import haversine_km
 
     v = fixtures.points(spark, d).select(F.col("id").alias("voyage_id"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"), "lat2", "lon2").where(haversine_km("lat1", "lon1", "lat2", "lon2") > 0.01)
-    c = F.pmod(F.floor(F.col("lat") / 4 + 0.0001) * 7 + F.floor(F.col("lon") / 4 + 0.0001) * 13, F.lit(9))
-    zone = F.when(c == 0, 3).when(c < 3, 1).otherwise(0)
+
+    def zone(lat, lon):
+        c = F.pmod(F.floor(lat / 4 + 0.0001) * 7 + F.floor(lon / 4 + 0.0001) * 13, F.lit(9))
+        return F.when(c == 0, 3).when(c < 3, 1).otherwise(0)
+
     b = tracks.great_circle_baseline(v, zone, 40)
     return b.withColumn("km", F.round("km", 4)).withColumn("cost", F.round("cost", 3))
 
