@@ -1,9 +1,9 @@
 """Near-duplicate documents: an exact n-gram Jaccard join with rare-first prefix filtering.
 
 1. Every document becomes the set of its word n-grams (64-bit hashes). Documents with equal sets form a class, and
-   one of each class goes on. The same pass counts n-grams: what recurs within a block of them is summed up over all
-   blocks, and the most frequent are kept by the logarithm of their count.
-2. A set's n-grams are ordered rare first (by that count, then by hash: any fixed order is right, a rare-first one is
+   one of each class goes on. The same pass counts n-grams in a table whose size grows with the input up to a bound;
+   tasks' tables are added up in two steps, a slice of them at a time.
+2. A set's n-grams are ordered rare first (by that table, then by hash: any fixed order is right, a rare-first one is
    fast). Two sets that are similar enough share one of their first ``size - ceil(t * size) + 1`` n-grams.
 3. Sets meet on these prefix n-grams, sorted by ranges of n-gram and document, so that a frequent n-gram is spread over
    tasks. A pair must pass the length, positional and suffix filters, and is verified once.
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import batches, materialize, small_batches
 
-#: N-grams in a block; how often an n-gram must occur in one to be counted for it; n-grams in the table at most.
-BLOCK, RECURS, COMMON = 1 << 21, 4, 1 << 20
+#: Slots of the table of counts at least and at most, a slot for SLOT_BYTES of text, and slots in a slice. A slot is a
+#: byte once it is counted, so what is broadcast stays below 16 MB.
+LEAST_SLOTS, MOST_SLOTS, SLOT_BYTES, SLICE = 1 << 22, 1 << 24, 256, 1 << 16
 #: Members of pairs up to which texts are sought by a broadcast of ids.
 MEMBERS = 2_000_000
 #: Fixed bins of the suffix filter; 64-bit words of a set's parity signature; pivots of an n-gram in the second round.
@@ -80,9 +82,9 @@ def shingle_sets(texts: list, n: int) -> list:
     return out
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: ``doc, size, h1, h2`` for each document (equal sets have equal hashes), and ``gram, n`` for what
-    recurs in a block."""
+def _sets(docs: DataFrame, n: int, slots: int) -> DataFrame:
+    """Rows of two kinds: ``doc, size, h1, h2`` for each document (equal sets have equal hashes), and ``slice, data`` with
+    this task's counts of n-grams."""
 
     def run(frames: Iterator):
         import struct
@@ -91,63 +93,64 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        kinds = {"doc": pa.int64(), "size": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "gram": pa.int64(), "n": pa.int64()}
-        block, held = [], 0
+        kinds = {"doc": pa.int64(), "size": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "slice": pa.int32(), "data": pa.binary()}
+        counts = np.zeros(slots, np.uint32)
 
         def rows(length: int, **cols):
             return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(length, k) for c, k in kinds.items()], names=list(kinds))
 
-        def recurring():
-            grams, times = np.unique(np.concatenate(block), return_counts=True)
-            often = times >= RECURS
-            return rows(int(often.sum()), gram=grams[often].view(np.int64), n=times[often])
-
         for batch in batches(frames):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
+            at, times = np.unique(np.concatenate(sets) & np.uint64(slots - 1), return_counts=True)
+            counts[at.astype(np.int64)] += times.astype(np.uint32)
             pairs = [struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes())) for s in sets]
             yield rows(len(sets), doc=batch.column(0), size=[len(s) for s in sets], h1=[x for x, _ in pairs], h2=[y for _, y in pairs])
-            block += sets
-            held += sum(map(len, sets))
-            if held > BLOCK:
-                yield recurring()
-                block, held = [], 0
-        if held:
-            yield recurring()
+        used = [i for i in range(slots // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
+        yield rows(len(used), slice=used, data=[zlib.compress(counts[i * SLICE : (i + 1) * SLICE].tobytes(), 1) for i in used])
+
+    return docs.mapInArrow(run, "doc long, size int, h1 long, h2 long, slice int, data binary")
+
 
-    return docs.mapInArrow(run, "doc long, size int, h1 long, h2 long, gram long, n long")
+def _slots_for(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // SLOT_BYTES).bit_length()))
 
 
-def _common(sets: DataFrame):
-    """``grams, levels``: the most frequent n-grams, sorted, and the binary logarithms of their counts; COMMON at most."""
+def _levels(sets: DataFrame, slots: int, tasks: int):
+    """The whole table, a byte a slot: four times the binary logarithm of its count. Tasks' slices are added up by groups
+    of about the square root of their number, then the groups'."""
     import numpy as np
 
-    counted = materialize(sets.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")), "common")
-    least, room = 64, COMMON
-    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row a level
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.level
-    rows = counted.where(F.col("level") >= least).toArrow()  # COMMON rows at most
-    grams, levels = rows.column("gram").to_numpy().view(np.uint64), rows.column("level").to_numpy().astype(np.uint8)
-    order = np.argsort(grams)
-    return grams[order], levels[order]
+    def add(frames):
+        import pyarrow as pa
 
+        total: dict[int, np.ndarray] = {}
+        for batch in batches(frames):
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(data), np.uint32)
+                total[i] = np.minimum(total[i].astype(np.uint64) + own, 0xFFFFFFFF).astype(np.uint32) if i in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "data"])
 
-def _levels(grams, table):
-    import numpy as np
+    def level(frames):
+        import pyarrow as pa
 
-    names, levels = table
-    if not len(names):
-        return np.zeros(len(grams), np.uint8)
-    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
-    return np.where(names[at] == grams, levels[at], 0)
+        for batch in add(frames):
+            of = [np.floor(4 * np.log2(np.frombuffer(zlib.decompress(d), np.uint32) + 1.0)).astype(np.uint8).tobytes() for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of, pa.binary())], names=["slice", "data"])
+
+    groups = max(1, round(tasks**0.5))
+    parts = sets.where(F.col("slice").isNotNull()).select("slice", "data", F.pmod(F.xxhash64("data"), F.lit(groups)).alias("g"))
+    some = parts.repartition("slice", "g").select("slice", "data").mapInArrow(add, "slice int, data binary")
+    out = np.zeros(slots, np.uint8)
+    for r in some.repartition("slice").mapInArrow(level, "slice int, data binary").collect():  # MOST_SLOTS bytes at most
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["data"], np.uint8)
+    return out
 
 
-def _prefixes(docs: DataFrame, n: int, pct: int, common) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, pct: int, levels) -> DataFrame:
     """``doc, size, prefix`` (n-grams, rare first), ``bins`` (how many of the set's n-grams fall in each of BINS) and
     ``sig`` (whether an odd number falls in each of 64 * WORDS)."""
-    small = docs.sparkSession.sparkContext.broadcast(common)  # COMMON entries at most
+    small = docs.sparkSession.sparkContext.broadcast(levels)  # MOST_SLOTS bytes at most
 
     def run(frames):
         import numpy as np
@@ -156,8 +159,9 @@ def _prefixes(docs: DataFrame, n: int, pct: int, common) -> DataFrame:
         for batch in batches(frames):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             prefix, bins, sig = [], [], []
-            ends = np.cumsum([len(s) for s in sets])
-            for s, often in zip(sets, np.split(_levels(np.concatenate(sets), small.value), ends[:-1]), strict=True):
+            table = small.value
+            for s in sets:
+                often = table[(s & np.uint64(len(table) - 1)).astype(np.int64)]
                 keep = len(s) + (-pct * len(s) // 100) + 1 if len(s) else 0
                 prefix.append(s[np.lexsort((s, often))[:keep]].view(np.int64))
                 bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32))
@@ -324,9 +328,9 @@ def _met(placed: DataFrame) -> DataFrame:
     return placed.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").select("doc", "size", "at", "gram").mapInArrow(run, schema)
 
 
-def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, common) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, levels) -> DataFrame:
     """Verified pairs ``a, b`` of ``reps`` that connect all that is similar."""
-    ordered = materialize(_prefixes(docs, n, pct, common).join(reps, "doc", "left_semi"), "prefixes")
+    ordered = materialize(_prefixes(docs, n, pct, levels).join(reps, "doc", "left_semi"), "prefixes")
     met = materialize(_met(ordered.select("doc", "size", F.posexplode("prefix").alias("at", "gram"))), "met")
     sizes = ordered.select("doc", "size", "bins", "sig")
 
@@ -368,12 +372,13 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, pct: int = NEAR_PC
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = materialize(_sets(named, words), "sets")
-    common = _common(found)
-    sized = found.where(F.col("gram").isNull()).select("doc", "size", "h1", "h2")
+    slots = _slots_for(named)
+    found = materialize(_sets(named, words, slots), "sets")
+    levels = _levels(found, slots, named.rdd.getNumPartitions())
+    sized = found.where(F.col("slice").isNull()).select("doc", "size", "h1", "h2")
     whole = sized.where((F.col("size") > 0) & F.col("doc").isNotNull())
     classes = materialize(whole.groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep")), "classes")
-    links = _links(named, classes.select(F.col("rep").alias("doc")), words, pct, common)
+    links = _links(named, classes.select(F.col("rep").alias("doc")), words, pct, levels)
     # links join classes; a row's class joins it to the rest
     labels = components(links).select(F.col("doc").alias("rep"), "label")
     labelled = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))

@@ -84,7 +84,7 @@ def test_signatures_never_rule_out_a_link(spark):
     texts = near_copies(7) + near_copies(8)
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (ascii_lower(t).split() for t in texts)]
     docs = documents(spark, texts).selectExpr("doc_id as doc", "text")
-    p = {r.doc: r for r in jaccard._prefixes(docs, 4, 85, (np.zeros(0, np.uint64), np.zeros(0, np.uint8))).collect()}
+    p = {r.doc: r for r in jaccard._prefixes(docs, 4, 85, np.zeros(jaccard.LEAST_SLOTS, np.uint8)).collect()}
     for i, a in enumerate(sets):
         for j in range(i):
             apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p[i].sig, p[j].sig, strict=True))
@@ -109,21 +109,15 @@ def test_edges(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.distinct_documents(df).collect()) == [0, 0, 4, 4]
 
 
-def test_frequent_grams_are_counted_over_blocks(spark, monkeypatch):
-    """All n-grams that recur often enough in a block, and the most frequent first if the table is small."""
-    monkeypatch.setattr(jaccard, "BLOCK", 200)
-    monkeypatch.setattr(jaccard, "RECURS", 2)
+def test_counts_of_all_tasks_are_added_up(spark):
     texts = [f"the same few words here {i} {i + 1000}" for i in range(300)] + [f"another lot of words {i % 40}" for i in range(120)]
-    docs = documents(spark, texts).coalesce(1).selectExpr("doc_id as doc", "text")
-    times = {}
+    docs = documents(spark, texts).repartition(9).selectExpr("doc_id as doc", "text")
+    slots = 1 << 17
+    want = np.zeros(slots)
     for s in jaccard.shingle_sets(texts, 3):
-        for g in s.tolist():
-            times[g] = times.get(g, 0) + 1
-    grams, levels = jaccard._common(jaccard._sets(docs, 3))
-    assert {int(g) for g in grams} >= {g for g, n in times.items() if n >= 100} and all(2 ** int(x) <= times[int(g)] for g, x in zip(grams, levels))
-    monkeypatch.setattr(jaccard, "COMMON", 4)
-    few, _ = jaccard._common(jaccard._sets(docs, 3))
-    assert 0 < len(few) <= 4 and all(times[int(g)] >= 256 for g in few)
+        np.add.at(want, (s & np.uint64(slots - 1)).astype(np.int64), 1)
+    for tasks in (1, 9):
+        assert (jaccard._levels(jaccard._sets(docs, 3, slots), slots, tasks) == np.floor(4 * np.log2(want + 1))).all()
 
 
 def test_rows_of_a_frequent_gram_in_many_tasks_and_batches(spark):
