@@ -16,10 +16,10 @@ from fairlead.sources.fixtures import LATTICES
 _CELLS = " UNION ALL ".join(f"SELECT '{n}' AS lattice_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, ({s}+r*{q})::DOUBLE AS lat, ({w}+c*{q})::DOUBLE AS lon FROM range({rows}) a(r), range({cols}) b(c)" for n, (rows, cols, s, w, q) in LATTICES.items())
 #: Classified cells and their costs without and with the safety band.
 CELLS_SQL = f"""g AS ({_CELLS}),
-k AS (SELECT *, CASE WHEN (row*7+col*13)%11=0 THEN 3 WHEN (row*3+col*5)%7=0 THEN 1 ELSE 0 END AS class_index, ((row*31+col*17)%100)/100.0 AS confidence FROM g),
+k AS MATERIALIZED (SELECT *, CASE WHEN (row*7+col*13)%11=0 THEN 3 WHEN (row*3+col*5)%7=0 THEN 1 ELSE 0 END AS class_index, ((row*31+col*17)%100)/100.0 AS confidence FROM g),
 z AS (SELECT *, CASE class_index WHEN 0 THEN 1.0 WHEN 1 THEN 1.8 ELSE 1e6 END AS zone_cost FROM k),
-land AS (SELECT DISTINCT lattice_id, row+dr AS row, col+dc AS col FROM k, (VALUES (-1,0),(1,0),(0,-1),(0,1)) o(dr,dc) WHERE class_index>1),
-c AS (SELECT z.lattice_id, z.row, z.col, lat, lon, class_index, confidence, zone_cost, CASE WHEN land.row IS NOT NULL AND zone_cost<1e6 THEN least(zone_cost*1.6, 1e6-1) ELSE zone_cost END AS cost FROM z LEFT JOIN land ON z.lattice_id=land.lattice_id AND z.row=land.row AND z.col=land.col) """
+land AS MATERIALIZED (SELECT DISTINCT lattice_id, row+dr AS row, col+dc AS col FROM k, (VALUES (-1,0),(1,0),(0,-1),(0,1)) o(dr,dc) WHERE class_index>1),
+c AS MATERIALIZED (SELECT z.lattice_id, z.row, z.col, lat, lon, class_index, confidence, zone_cost, CASE WHEN land.row IS NOT NULL AND zone_cost<1e6 THEN least(zone_cost*1.6, 1e6-1) ELSE zone_cost END AS cost FROM z LEFT JOIN land ON z.lattice_id=land.lattice_id AND z.row=land.row AND z.col=land.col) """
 C = f"WITH {CELLS_SQL}"
 C_RECURSIVE = f"WITH RECURSIVE {CELLS_SQL}"
 
@@ -50,7 +50,7 @@ def grid_cell_mapping(spark, d):
     return fixtures.points(spark, d).select("id", row.alias("row"), col.alias("col"))
 
 
-@query(C + "SELECT lattice_id, row, col, class_index, zone_cost AS cost FROM c")
+@query(C + "SELECT lattice_id, row, col, class_index, zone_cost AS cost FROM z")
 def grid_zone_cost(spark, d):
     return lattice.with_cost(classified(spark), band=0).select("lattice_id", "row", "col", "class_index", "cost")
 
@@ -144,7 +144,11 @@ def path_successors(spark, d):
     return both.select("lattice_id", "row", "col", F.round(F.col("cost") + F.col("value"), 4).alias("best"))
 
 
-@query()
+@query(
+    C_RECURSIVE + ", a AS (SELECT lattice_id, row, col FROM c WHERE cost<1e6), e AS MATERIALIZED (SELECT a.lattice_id, a.row, a.col, b.row AS to_row, b.col AS to_col FROM a JOIN a b ON a.lattice_id=b.lattice_id AND abs(a.row-b.row)<=1 AND abs(a.col-b.col)<=1 AND (a.row<>b.row OR a.col<>b.col)),"
+    " v(lattice_id, row, col, component) USING KEY (lattice_id, row, col) AS (SELECT lattice_id, row, col, row::BIGINT*16777216+col FROM a UNION SELECT e.lattice_id, e.row, e.col, min(v.component) FROM v JOIN e ON e.lattice_id=v.lattice_id AND e.to_row=v.row AND e.to_col=v.col"
+    " JOIN recurring.v u ON u.lattice_id=e.lattice_id AND u.row=e.row AND u.col=e.col WHERE v.component<u.component GROUP BY 1, 2, 3) SELECT lattice_id, row, col, component FROM v"
+)
 def path_components(spark, d):
     return paths.components(costed(spark))
 
@@ -158,6 +162,28 @@ def voyages(spark):
     return planner.snapped(costed(spark), base, 10)
 
 
+_VOYAGES = ", ".join(f"({4 * i + j}, '{n}', {x[0]}, {x[1]}, {x[2]}, {x[3]})" for i, (n, (r, c, *_)) in enumerate(LATTICES.items()) for j, x in enumerate(((0, 1, r - 1, c - 2), (r - 1, 1, 0, c - 2), (r // 2, 1, r // 2, c - 2), (1, c // 2, r - 2, c // 2))))
+#: Least costs of the voyages to their goals by relaxation, from each end's nearest navigable cell.
+_LEAST = f""", t AS (SELECT * FROM (VALUES {_VOYAGES}) t(voyage_id, lattice_id, r0, c0, r1, c1)),
+ends AS (SELECT voyage_id, lattice_id, 0 AS e, r0 AS r, c0 AS cc FROM t UNION ALL SELECT voyage_id, lattice_id, 1, r1, c1 FROM t),
+near AS (SELECT voyage_id, ends.lattice_id, e, c.row, c.col, row_number() OVER (PARTITION BY voyage_id, e ORDER BY greatest(abs(c.row-r), abs(c.col-cc)), (c.row-r)*(c.row-r)+(c.col-cc)*(c.col-cc), c.row-r, c.col-cc) AS n FROM ends JOIN c ON c.lattice_id=ends.lattice_id AND cost<1e6 AND abs(c.row-r)<=10 AND abs(c.col-cc)<=10),
+snap AS MATERIALIZED (SELECT * FROM near WHERE n=1), m AS MATERIALIZED (SELECT *, km*w AS step FROM e),
+v(voyage_id, row, col, value) USING KEY (voyage_id, row, col) AS (SELECT voyage_id, row, col, 0.0::DOUBLE FROM snap WHERE e=1
+ UNION SELECT v.voyage_id, m.row, m.col, min(m.step+v.value) FROM v JOIN t USING (voyage_id) JOIN m ON m.lattice_id=t.lattice_id AND m.to_row=v.row AND m.to_col=v.col LEFT JOIN recurring.v u ON u.voyage_id=v.voyage_id AND u.row=m.row AND u.col=m.col
+ WHERE u.value IS NULL OR m.step+v.value < u.value-1e-9 GROUP BY 1, 2, 3)"""
+
+
+@query(
+    C_RECURSIVE + _E + _LEAST + " SELECT CAST(s.voyage_id AS BIGINT) AS voyage_id, method, CASE WHEN value IS NULL THEN 'no_path' ELSE 'found' END AS status, round(coalesce(value, 'Infinity'::DOUBLE), 4) AS cost FROM snap s JOIN snap g ON g.voyage_id=s.voyage_id AND g.e=1"
+    " LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col, (VALUES ('astar'), ('dijkstra'), ('dynamic_programming')) x(method) WHERE s.e=0"
+)
+def path_least_costs(spark, d):
+    """What the three exact methods find for each voyage: the same least cost."""
+    cells, asked = costed(spark), voyages(spark)
+    found = [planner.search(cells, asked, planner.Parameters(method=m)) for m in ("astar", "dijkstra", "dynamic_programming")]
+    return reduce(lambda a, b: a.unionByName(b), [f.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost")) for f in found])
+
+
 def _search(spark, method, **more):
     found = kernels.search(costed(spark), voyages(spark), method, **more)
     return found.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), "nodes", F.size("path").alias("cells"))

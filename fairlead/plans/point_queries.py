@@ -313,7 +313,23 @@ def features_context(spark, d):
     )
 
 
-@query()
+_SIGNED = lambda x: f"sign({x})*ln(1+abs({x}))"
+_LOGS = {"marine": "osm_piers+osm_lighthouses+osm_breakwaters+osm_harbors", "natural": "osm_beaches+osm_cliffs", "inland": "osm_rivers+osm_lakes"}
+_FEATURES = {
+    "lat_sin": "sin(radians(p.latitude))", "lat_cos": "cos(radians(p.latitude))", "lon_sin": "sin(radians(p.longitude))", "lon_cos": "cos(radians(p.longitude))", "abs_lat_norm": "abs(p.latitude)/90.0",
+    "depth_signed_log": _SIGNED("coalesce(p.noaa_depth, m)"), "depth_is_missing": "p.noaa_depth IS NULL", "is_height_sample": "coalesce(p.noaa_type='height', false)",
+    "elevation_signed_log": _SIGNED("coalesce(p.elevation, p.noaa_depth, m)"), "elevation_is_missing": "p.elevation IS NULL", "ctx_depth_mean": _SIGNED("m"), "ctx_depth_std": "ln(1+s)", "ctx_depth_min": _SIGNED("lo"),
+    "ctx_depth_max": _SIGNED("hi"), "ctx_depth_range": "ln(1+(hi-lo))", "ctx_land_fraction": "land", "ctx_sign_agreement": "sign(coalesce(p.noaa_depth, m))=sign(m)", "ctx_distance_km_log": "ln(1+near)",
+    "ctx_gradient": _SIGNED("(hi-lo)/greatest(span, 1e-3)"), "osm_marine_infra": f"ln(1+{_LOGS['marine']})", "ctx_osm_marine_infra": "ln(1+marine)", "osm_natural_coastal": f"ln(1+{_LOGS['natural']})",
+    "ctx_osm_natural_coastal": "ln(1+natural_)", "osm_inland_water": f"ln(1+{_LOGS['inland']})", "ctx_osm_inland_water": "ln(1+inland)", "osm_industrial_log": "ln(1+osm_industrial)", "ctx_osm_total": "ln(1+obj)",
+    "ctx_osm_density": "ln(1+obj/greatest(span, 1.2))",
+}
+
+
+@query(
+    _NEAR.format(k=8) + f", x AS (SELECT q_id, avg(depth) AS m, stddev_pop(depth) AS s, min(depth) AS lo, max(depth) AS hi, avg(CAST(depth>0 AS INT)) AS land, min(km) AS near, avg(km) AS span, avg({_ALL}) AS obj, avg({_LOGS['marine']}) AS marine, avg({_LOGS['natural']}) AS natural_, avg({_LOGS['inland']}) AS inland FROM c JOIN q ON r_id=id GROUP BY q_id)"
+    " SELECT id, " + ", ".join(f"CAST(({v})::DOUBLE AS FLOAT) AS {n}" for n, v in _FEATURES.items()) + " FROM p JOIN x ON id=q_id"
+)
 def features_all(spark, d):
     """The 28 features as floats."""
     p = fixtures.points(spark, d)
