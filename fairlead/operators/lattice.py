@@ -119,9 +119,9 @@ def corridor(cells: DataFrame, route: DataFrame, width_deg: float) -> DataFrame:
     middle = cells.groupBy("lattice_id").agg(F.cos(F.radians(F.avg("lat"))).alias("shrink"))
     at = lambda c: F.floor(F.col(c) / width_deg).cast("int")
     flat = lambda c: F.floor(F.col(c) * F.col("shrink") / width_deg).cast("int")
-    own = cells.join(F.broadcast(middle), "lattice_id").withColumn("by", at("lat")).withColumn("bx", flat("lon"))
+    own = cells.join(middle, "lattice_id").withColumn("by", at("lat")).withColumn("bx", flat("lon"))
     nine = F.explode(F.array(*[F.struct((at("lat0") + i).alias("by"), (flat("lon0") + j).alias("bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = route.join(F.broadcast(middle), "lattice_id").select("lattice_id", "lat0", "lon0", nine.alias("b")).select("lattice_id", "lat0", "lon0", "b.by", "b.bx")
+    spread = route.join(middle, "lattice_id").select("lattice_id", "lat0", "lon0", nine.alias("b")).select("lattice_id", "lat0", "lon0", "b.by", "b.bx")
     d = F.sqrt(F.pow(F.col("lat") - F.col("lat0"), 2) + F.pow((F.col("lon") - F.col("lon0")) * F.col("shrink"), 2))
     return own.join(spread, ["lattice_id", "by", "bx"]).where(d <= width_deg + 1e-9).select(*KEY).distinct()
 

@@ -22,7 +22,11 @@ def class_distribution(df: DataFrame) -> DataFrame:
 
 
 def depth_by_class(df: DataFrame, measure: str = "noaa_depth") -> DataFrame:
-    """Count, mean, sample deviation and the 5th, 50th and 95th percentile (linear) of a measure by class."""
+    """Count, mean, sample deviation and the 5th, 50th and 95th percentile (linear) of a measure by class.
+
+    The percentiles are exact, so a task holds the different values of a class with their counts: measures in decimetres
+    have some hundred thousand.
+    """
     p = F.percentile(measure, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return (
         df.where(F.col(measure).isNotNull())
@@ -81,7 +85,8 @@ def roc_auc(df: DataFrame, positive, score: str) -> DataFrame:
     """
     by_score = df.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     # negatives below each score: a running sum within ranges of scores, and the ranges' own sums before it
-    ranges = by_score.withColumn("r", F.floor(F.col("s") * 64))
+    # scores outside 0..1 go to the ranges at the ends, so there are 66 at most
+    ranges = by_score.withColumn("r", F.floor(F.greatest(F.lit(-1.0), F.least(F.col("s") * 64, F.lit(64.0)))))
     before = ranges.groupBy("r").agg(F.sum("neg").alias("neg_r"))
     w = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = before.select("r", F.coalesce(F.sum("neg_r").over(w), F.lit(0)).alias("offset"))

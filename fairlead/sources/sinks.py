@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from fairlead.functions.geo import finite
 from fairlead.functions.zones import CLASSES
 
-BOM = "﻿"
-ROUTE_HEADER = ("seq", "lat", "lon", "class_code", "cost", "total_km", "bearing")
+# The byte-order mark, the columns of a route's file, and the cost from which a cell is land.
+BOM = "\ufeff"
+ROUTE_HEADER = ("seq", "latitude", "longitude", "class_code", "zone_cost", "cumulative_km", "bearing_deg", "route_id", "algorithm")
+LAND_COST = 1e6
 
 
 def _position(lat, lon) -> Column:
@@ -40,10 +42,22 @@ def _number(c, form: str) -> Column:
     return F.when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.format_string(form, x.cast("double")))
 
 
-def route_csv(table: DataFrame) -> DataFrame:
-    """``route_id, seq, line``: fixed decimals; land costs ``inf``."""
-    fields = [F.format_string("%d", F.col("seq")), _number("lat", "%.6f"), _number("lon", "%.6f"), F.col("class_code"), _number("cost", "%.3f"), _number("total_km", "%.3f"), _number("bearing", "%.1f")]
-    return table.select("route_id", "seq", F.concat_ws(",", *fields).alias("line"))
+def route_csv(table: DataFrame, algorithm: str = "") -> DataFrame:
+    """``route_id, seq, line``: the fields of ROUTE_HEADER with fixed decimals; land costs ``inf``. The method's name comes
+    from a column ``algorithm``, if there is one."""
+    cost = F.when(F.col("cost") >= LAND_COST, "inf").otherwise(_number("cost", "%.3f"))
+    method = F.col("algorithm") if "algorithm" in table.columns else F.lit(algorithm)
+    fields = [F.format_string("%d", F.col("seq")), _number("lat", "%.6f"), _number("lon", "%.6f"), F.col("class_code"), cost, _number("total_km", "%.2f"), _number("bearing", "%.1f"), F.col("route_id").cast("string"), method]
+    return table.select("route_id", "seq", F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields]).alias("line"))
+
+
+def write_route_csv(lines: DataFrame, path: str) -> None:
+    """A CSV file a route under ``path/route_id=...``, in order, each with a byte-order mark and the header. Routes are
+    spread over tasks and a route is one file, as long as a voyage."""
+    header = F.lit(BOM + ",".join(ROUTE_HEADER))
+    heads = lines.select("route_id").distinct().select("route_id", F.lit(-1).cast("long").alias("seq"), header.alias("line"))
+    every = lines.select("route_id", F.col("seq").cast("long").alias("seq"), "line").unionByName(heads)
+    every.repartition("route_id").sortWithinPartitions("route_id", "seq").select("route_id", "line").write.partitionBy("route_id").text(path)
 
 
 def points_csv(points: DataFrame) -> DataFrame:
