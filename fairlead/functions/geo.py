@@ -55,14 +55,6 @@ def great_circle_points(lat1, lon1, lat2, lon2, n: int = 64) -> Column:
     return F.transform(arcs, lambda arc: F.when(arc.w < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: point(arc, i))))[0]
 
 
-def lerp_points(lat1, lon1, lat2, lon2, parts: Column) -> Column:
-    """Array of ``k, lat, lon``: ``parts`` equal linear steps from the first point, without the second."""
-    y1, x1, y2, x2 = (col(v) for v in (lat1, lon1, lat2, lon2))
-    return F.transform(
-        F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("k"), (y1 + (y2 - y1) * (k / parts)).alias("lat"), (x1 + (x2 - x1) * (k / parts)).alias("lon"))
-    )
-
-
 def densified(lat1, lon1, lat2, lon2, step_km: float = 25.0) -> Column:
     """A segment's great circle in ``max(2, int(length / step) + 1)`` points; array of ``lat, lon``."""
     count = F.greatest(F.lit(2), F.floor(haversine_km(lat1, lon1, lat2, lon2) / step_km).cast("int") + 1)
