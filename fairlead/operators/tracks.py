@@ -69,8 +69,8 @@ def sample_route(track: DataFrame, step_km: float = STEP_KM) -> DataFrame:
 
 
 def land_runs(samples: DataFrame, on_land: Column, port_km: float = PORT_KM, step_km: float = STEP_KM) -> DataFrame:
-    """``route_id, run, start_km, length_km, n, first_leg, last_leg``: unbroken land between the ports' margins. The
-    first sample of a run counts a step, later ones their distance."""
+    """``route_id, run, start_km, length_km, n, first_leg, last_leg, total_km, first_i, last_i``: unbroken land between
+    the ports' margins. The first sample of a run counts a step, later ones their distance."""
     whole, w = Window.partitionBy("route_id"), Window.partitionBy("route_id").orderBy("i")
     land = on_land & (F.col("dist") >= port_km) & (F.col("dist") <= F.col("total") - port_km)
     marked = samples.withColumn("total", F.max("dist").over(whole)).withColumn("land", land)
@@ -78,7 +78,7 @@ def land_runs(samples: DataFrame, on_land: Column, port_km: float = PORT_KM, ste
     numbered = marked.withColumn("start", starts).withColumn("run", F.sum(F.col("start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     share = F.when(F.col("start"), F.lit(step_km)).otherwise(F.col("km"))
     return numbered.where("land").groupBy("route_id", "run").agg(
-        F.min("dist").alias("start_km"), F.sum(share).alias("length_km"), F.count(F.lit(1)).alias("n"), F.min("leg").alias("first_leg"), F.max("leg").alias("last_leg"), F.max("total").alias("total_km")
+        F.min("dist").alias("start_km"), F.sum(share).alias("length_km"), F.count(F.lit(1)).alias("n"), F.min("leg").alias("first_leg"), F.max("leg").alias("last_leg"), F.max("total").alias("total_km"), F.min("i").alias("first_i"), F.max("i").alias("last_i")
     )
 
 
