@@ -30,8 +30,8 @@ LEAST_SLOTS, MOST_SLOTS, SLOT_BYTES, SLICE = 1 << 22, 1 << 24, 256, 1 << 16
 MEMBERS = 2_000_000
 #: Fixed bins of the suffix filter; 64-bit words of a set's parity signature; pivots of an n-gram in the second round.
 BINS, WORDS, PIVOTS = 16, 4, 4
-#: Members verified beside one copy of their pivot.
-STAR = 400
+#: Members verified beside one copy of their pivot; sets of an n-gram in a block of the third round.
+STAR, BLOCK = 64, 400
 #: Halvings of the suffix filter where both sets are at hand.
 DEPTH = 2
 NEAR_WORDS, NEAR_PCT = 5, 80
@@ -234,21 +234,24 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return materialize(rows.drop("n").join(open_, "gram"), "mixed")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the ``label`` of each set's component under ``links``."""
-    labels = components(links).withColumnRenamed("label", "known")
-    return materialize(rows.drop("label").join(labels, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known"), "labelled")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of each set's component."""
+    known = labels.withColumnRenamed("label", "known")
+    return materialize(rows.drop("label").join(known, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known"), "labelled")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough. Only texts of members of pairs are moved. A pivot ``a`` and its
-    partners meet in one place; many partners are dealt to many places, with a copy of the pivot in each."""
+    """The pairs ``a, b`` (a written table) whose texts are similar enough. Only texts of members of pairs are moved. A
+    pivot ``a`` and its partners meet in one place; many partners are dealt to many places, with a copy of the pivot in
+    each."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("places"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).alias("place"))
     dealt = materialize(dealt, "pairs")
     stars = dealt.select("a", "place", F.col("b").alias("member"), F.lit(1).alias("kind")).unionByName(dealt.select("a", "place", F.col("a").alias("member"), F.lit(0).alias("kind")).distinct())
-    members = materialize(stars.select("member").distinct(), "members")
-    wanted = F.broadcast(members) if members.count() <= MEMBERS else members
+    members = stars.select("member")
+    wanted = F.broadcast(members) if 2 * dealt.count() <= MEMBERS else members.distinct()
     texts = docs.join(wanted, docs.doc == members.member, "left_semi")
     with_text = stars.join(texts.hint("merge"), stars.member == texts.doc).select("a", "place", "kind", "member", "text")
 
@@ -269,22 +272,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
                         found.append((x, m))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
 
-    return with_text.repartition("a", "place").sortWithinPartitions("a", "place", "kind", "member").mapInArrow(run, "a long, b long").distinct()
+    return with_text.repartition("a", "place").sortWithinPartitions("a", "place", "kind", "member").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``doc, label``: for each end of an edge ``a, b``, the least id in its component. Labels spread to neighbours and
-    then follow themselves, so the rounds grow with the logarithm of a component's width."""
+    then follow themselves, so the rounds grow with the logarithm of a component's width; they end once no edge has
+    different labels, as the least document of a component keeps its own."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
+        ends = both.where("a < b").join(labels.select(F.col("doc").alias("a"), F.col("label").alias("of_a")), "a").join(labels.select(F.col("doc").alias("b"), F.col("label").alias("of_b")), "b")
+        if ends.where("of_a <> of_b").isEmpty():
+            return labels
         near = both.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("near"))
-        closer = labels.join(near, "doc").select("doc", "label", F.least("label", "near").alias("new"))
+        closer = labels.join(near, "doc").select("doc", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("doc").alias("new"), F.col("label").alias("far"))
-        after = materialize(closer.join(jump, "new").select("doc", F.col("label").alias("old"), F.least("new", "far").alias("label")), "labels")
-        if after.where("old <> label").isEmpty():
-            return after.select("doc", "label")
-        labels = after.select("doc", "label")
+        labels = materialize(closer.join(jump, "new").select("doc", F.least("new", "far").alias("label")), "labels")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (a written table) with more links: these join components, so the rounds run over the joined ones alone."""
+    ends = links.select("a", "b")
+    for end in "ab":
+        ends = ends.join(labels.select(F.col("doc").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+    joined = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+    joined = materialize(joined, "joined")
+    if joined.isEmpty():
+        return labels
+    moved = components(joined)
+    old = labels.join(moved.select(F.col("doc").alias("label"), F.col("label").alias("now")), "label", "left").select("doc", F.coalesce("now", "label").alias("label"))
+    return materialize(old.unionByName(moved.join(labels, "doc", "left_anti")), "labels")
 
 
 def _met(placed: DataFrame) -> DataFrame:
@@ -328,8 +346,8 @@ def _met(placed: DataFrame) -> DataFrame:
     return placed.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").select("doc", "size", "at", "gram").mapInArrow(run, schema)
 
 
-def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, levels) -> DataFrame:
-    """Verified pairs ``a, b`` of ``reps`` that connect all that is similar."""
+def _linked(docs: DataFrame, reps: DataFrame, n: int, pct: int, levels) -> DataFrame:
+    """``doc, label``: the component of each of ``reps`` that is similar to another."""
     ordered = materialize(_prefixes(docs, n, pct, levels).join(reps, "doc", "left_semi"), "prefixes")
     met = materialize(_met(ordered.select("doc", "size", F.posexplode("prefix").alias("at", "gram"))), "met")
     sizes = ordered.select("doc", "size", "bins", "sig")
@@ -340,26 +358,26 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, pct: int, levels) -> DataFr
     may = _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
     first = beside.unionByName(over).where((F.col("doc") != F.col("pivot.doc")) & may).select(F.least("pivot.doc", "doc").alias("a"), F.greatest("pivot.doc", "doc").alias("b")).distinct()
     first = materialize(_suffix_filter(first, sizes, pct), "first")
-    links = materialize(_verified(first, docs, n, pct), "links")
+    labels = components(materialize(_verified(first, docs, n, pct), "links"))
 
     # more pivots for n-grams of many components, so that large groups of near copies are one by the third round
-    mixed = _mixed(_labelled(met.drop("pivot", "edge"), links))
+    mixed = _mixed(_labelled(met.drop("pivot", "edge"), labels))
     pivots = mixed.groupBy("gram").agg(F.array(*[F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("h"), "doc", "size", "at", "label")) for i in range(PIVOTS)]).alias("pivots"))
     beside = mixed.join(pivots, "gram").select("doc", "size", "at", "label", F.explode(F.array_distinct("pivots")).alias("pivot"))
     may = (F.col("label") != F.col("pivot.label")) & _may_link(F.col("size"), F.col("at"), F.col("pivot.size"), F.col("pivot.at"), pct)
     second = beside.where(may).select(F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
     second = materialize(_suffix_filter(second.join(first, ["a", "b"], "left_anti"), sizes, pct), "second")
-    links = links.unionByName(materialize(_verified(second, docs, n, pct), "links"))
+    labels = _merged(labels, materialize(_verified(second, docs, n, pct), "links"))
 
     # what is still apart, each pair once: an n-gram's sets are dealt to blocks that each meet all its sets
-    mixed = _mixed(_labelled(mixed, links)).join(sizes.select("doc", "sig"), "doc")
-    blocks = F.ceil(F.col("n") / STAR)
+    mixed = _mixed(_labelled(mixed, labels)).join(sizes.select("doc", "sig"), "doc")
+    blocks = F.ceil(F.col("n") / BLOCK)
     x, y = (mixed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "label", "sig")], place.alias("block")) for s, place in (("a", F.pmod(F.xxhash64("doc"), blocks)), ("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))))
     may = _may_link(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), pct) & _near_signatures(F.col("sig_a"), F.col("sig_b"), F.col("size_a"), F.col("size_b"), pct)
     rest = x.join(y, ["gram", "block"]).where((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & may).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
     tried = first.unionByName(second)
-    rest = _suffix_filter(rest.join(tried, ["a", "b"], "left_anti"), sizes, pct)
-    return links.unionByName(materialize(_verified(rest, docs, n, pct), "links"))
+    rest = materialize(_suffix_filter(rest.join(tried, ["a", "b"], "left_anti"), sizes, pct), "rest")
+    return _merged(labels, materialize(_verified(rest, docs, n, pct), "links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, pct: int = NEAR_PCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,9 +396,8 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, pct: int = NEAR_PC
     sized = found.where(F.col("slice").isNull()).select("doc", "size", "h1", "h2")
     whole = sized.where((F.col("size") > 0) & F.col("doc").isNotNull())
     classes = materialize(whole.groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep")), "classes")
-    links = _links(named, classes.select(F.col("rep").alias("doc")), words, pct, levels)
     # links join classes; a row's class joins it to the rest
-    labels = components(links).select(F.col("doc").alias("rep"), "label")
+    labels = _linked(named, classes.select(F.col("rep").alias("doc")), words, pct, levels).withColumnRenamed("doc", "rep")
     labelled = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
     keyed = sized.join(labelled, ["h1", "h2"], "left")
     component = F.when((F.col("size") > 0) & F.col("doc").isNotNull(), F.col("label")).otherwise(F.col("doc"))
