@@ -31,6 +31,9 @@ def test_contract_columns(spark, sf):
         "op8_decontaminate": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
         "op9_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
         "op10_near_duplicates": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+        "op11_source_mix": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+        "op12_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+        "op13_filter_audit": {"part": "string", "filter_order": "string", "step": "int"} | {c: "bigint" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")},
     }
     for name, columns in want.items():
         got = dict(queries()[name](spark, sf).dtypes)
