@@ -9,8 +9,9 @@ result is exact.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.geo import EARTH_RADIUS_KM, haversine_km, signed_log, unit_vector
@@ -45,6 +46,49 @@ def _spacing(index: DataFrame) -> float:
     return edge * math.sqrt(MARGIN_POINTS / math.pi / a_cell)
 
 
+#: Tiles of a stored index along an axis of the cube around the sphere.
+STORED = 16
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """Index points in files by tile (see :func:`save_index`); a query reads the tiles that it can reach."""
+
+    points: DataFrame
+    margin: float
+
+    def near(self, queries: DataFrame, margin: float) -> DataFrame:
+        """The points of the tiles within ``margin`` (a chord) of any query: at most ``STORED ** 3`` tile numbers come to
+        the driver and go into the scan as a partition filter."""
+        edge = 2.0 / STORED
+        low = lambda v, m: F.greatest(F.lit(0), F.least(F.lit(STORED - 1), F.floor((v + m) / edge).cast("int")))
+        x, y, z = (F.sequence(low(v, -margin), low(v, margin)) for v in _axes("latitude", "longitude"))
+        spans = queries.select(x.alias("x"), y.alias("y"), z.alias("z")).distinct()
+        tiles = spans.select(F.explode("x").alias("x"), "y", "z").select("x", F.explode("y").alias("y"), "z").select("x", "y", F.explode("z").alias("z")).distinct()
+        wanted = [r.tile for r in tiles.select(_tile_number("x", "y", "z").alias("tile")).collect()]
+        return self.points.where(F.col("tile").isin(wanted) if wanted else F.lit(False)).drop("tile")
+
+
+def _tile_number(x, y, z) -> Column:
+    return (F.col(x) * STORED + F.col(y)) * STORED + F.col(z)
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """Writes an index by tile of the sphere, a folder each, and the margin that its density suggests. A crowded tile is
+    written by many tasks. Coordinates keep their precision."""
+    edge = 2.0 / STORED
+    at = [F.least(F.floor(v / edge).cast("int"), F.lit(STORED - 1)) for v in _axes("latitude", "longitude")]
+    tiled = index.withColumn("tile", (at[0] * STORED + at[1]) * STORED + at[2])
+    counts = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / (50 * PART)).alias("parts"))
+    dealt = tiled.join(F.broadcast(counts), "tile").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # STORED ** 3 tiles at most
+    dealt.repartition("tile", "part").drop("part", "parts").write.mode("overwrite").partitionBy("tile").parquet(f"{path}/points")
+    index.sparkSession.createDataFrame([(_spacing(index),)], "margin double").coalesce(1).write.mode("overwrite").parquet(f"{path}/margin")
+
+
+def load_index(spark: SparkSession, path: str) -> StoredIndex:
+    return StoredIndex(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/margin").first().margin)
+
+
 def _nearest(key, q, r, k: int):
     """The ``k`` nearest of ``r`` for each of ``q``, and what is as near but for rounding."""
     import numpy as np
@@ -67,8 +111,9 @@ def _nearest(key, q, r, k: int):
     return pa.table([q.column("q_id"), q.column("q_lat"), q.column("q_lon"), r.column("r_id"), r.column("r_lat"), r.column("r_lon")], names=["q_id", "q_lat", "q_lon", "r_id", "r_lat", "r_lon"])
 
 
-def neighbours(queries: DataFrame, index: DataFrame, k: int, cell_km: float | None = None) -> DataFrame:
-    """``q_id, r_id, km, rank``: the ``k`` nearest index rows of each query, by distance (to 9 decimals) and id.
+def neighbours(queries: DataFrame, index: DataFrame | StoredIndex, k: int, cell_km: float | None = None) -> DataFrame:
+    """``q_id, r_id, km, rank``: the ``k`` nearest index rows of each query, by distance (to 9 decimals) and id. Of a
+    stored index only the tiles in reach are read, in each round those of its margin and of the queries still open.
 
     ``queries`` and ``index`` have ``id, latitude, longitude``. An index of fewer rows gives all of them. ``cell_km`` is
     the first margin, by default one that the density of the index suggests. A crowded tile is dealt to many tasks: its
@@ -76,15 +121,18 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int, cell_km: float | No
     ranked together.
     """
     axes = dict(zip("xyz", _axes("latitude", "longitude"), strict=True))
+    stored = isinstance(index, StoredIndex)
     named = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.col("latitude").alias(f"{s}_lat"), F.col("longitude").alias(f"{s}_lon"), *[v.alias(c) for c, v in axes.items()])
-    q, r = named(queries, "q"), named(index, "r")
-    margin = 2 * math.sin(cell_km / EARTH_RADIUS_KM / 2) if cell_km else _spacing(index)
+    q, r = named(queries, "q"), named(index.points if stored else index, "r")
+    margin = 2 * math.sin(cell_km / EARTH_RADIUS_KM / 2) if cell_km else index.margin if stored else _spacing(index)
     kinds = {f.name: f.dataType.simpleString() for f in (*q.schema, *r.schema)}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("q_id", "q_lat", "q_lon", "r_id", "r_lat", "r_lon"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("km", "r_id"))
     out = None
     while True:
         margin = min(margin, 2.0)
+        if stored:
+            r = named(index.near(q.select(F.col("q_lat").alias("latitude"), F.col("q_lon").alias("longitude")), margin), "r")
         edge = TILE * margin
         tile = F.struct(*[F.floor(F.col(c) / edge).cast("int").alias(c) for c in "xyz"])
         spans = [F.sequence(F.floor((F.col(c) - margin) / edge), F.floor((F.col(c) + margin) / edge)) for c in "xyz"]  # noqa: B023
@@ -110,7 +158,17 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int, cell_km: float | No
         margin *= 3
 
 
-def context(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
+def _measured(near: DataFrame, queries: DataFrame, index: DataFrame | StoredIndex) -> DataFrame:
+    """Neighbours with the index's columns; of a stored index the tiles as far as the farthest neighbour are read."""
+    if not isinstance(index, StoredIndex):
+        return near.join(index, F.col("r_id") == F.col("id"))
+    near = written(near, "near")
+    far = near.agg(F.max("km")).first()[0] or 0.0
+    reach = min(2.0, 2 * math.sin(min(far / EARTH_RADIUS_KM, math.pi) / 2) * (1 + 1e-9) + 1e-9)
+    return near.join(index.near(queries, reach), F.col("r_id") == F.col("id"))
+
+
+def context(queries: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """``k`` neighbours of each query without itself: of ``k + 1`` the first is dropped if it is within ``SELF_KM``, else
     the last. ``q_id, r_id, km, rank`` (from 1)."""
     near = neighbours(queries, index, k + 1, cell_km)
@@ -119,16 +177,16 @@ def context(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km:
     return near.withColumn("own", own).withColumn("rank", rank).where((F.col("rank") >= 1) & (F.col("rank") <= k)).select("q_id", "r_id", "km", "rank")
 
 
-def idw(queries: DataFrame, index: DataFrame, k: int = 4, cell_km: float | None = None) -> DataFrame:
+def idw(queries: DataFrame, index: DataFrame | StoredIndex, k: int = 4, cell_km: float | None = None) -> DataFrame:
     """``q_id, depth, height`` by inverse squared distance (at least 1 m), and ``nearest_km``."""
     w = 1.0 / F.pow(F.greatest("km", F.lit(1e-3)), 2.0)
-    near = context(queries, index, k, cell_km).join(index, F.col("r_id") == F.col("id"))
+    near = _measured(context(queries, index, k, cell_km), queries, index)
     return near.groupBy("q_id").agg((F.sum(F.col("depth") * w) / F.sum(w)).alias("depth"), (F.sum(F.col("height") * w) / F.sum(w)).alias("height"), F.min("km").alias("nearest_km"))
 
 
-def context_statistics(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
+def context_statistics(queries: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """What the features need of each query's neighbourhood, one row a query."""
-    near = context(queries, index, k, cell_km).join(index, F.col("r_id") == F.col("id"))
+    near = _measured(context(queries, index, k, cell_km), queries, index)
     return near.groupBy("q_id").agg(
         F.avg("depth").alias("ctx_mean"), F.stddev_pop("depth").alias("ctx_std"), F.min("depth").alias("ctx_min"), F.max("depth").alias("ctx_max"), F.avg((F.col("depth") > 0).cast("double")).alias("ctx_land"),
         F.min("km").alias("nearest_km"), F.avg("km").alias("span_km"), F.avg(object_sum(MARINE)).alias("ctx_marine"), F.avg(object_sum(COASTAL)).alias("ctx_coastal"), F.avg(object_sum(INLAND)).alias("ctx_inland"),
@@ -154,7 +212,7 @@ FEATURES = (
 )
 
 
-def features(points: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
+def features(points: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """``id`` and the 28 features as floats, computed in double and without NaN or infinities."""
     ctx = context_statistics(points, index, k, cell_km)
     joined = points.join(ctx, points["id"] == ctx["q_id"])
@@ -172,10 +230,10 @@ def features(points: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cell_km:
     return joined.select("id", *[clean(made[n]).alias(n) for n in FEATURES])
 
 
-def coordinate_features(points: DataFrame, index: DataFrame, cell_km: float | None = None) -> DataFrame:
+def coordinate_features(points: DataFrame, index: DataFrame | StoredIndex, cell_km: float | None = None) -> DataFrame:
     """The features of bare coordinates ``id, latitude, longitude``: measures by inverse distance from four neighbours,
     object counts of the nearest."""
-    near = context(points, index, 4, cell_km).join(index.withColumnRenamed("id", "i_id"), F.col("r_id") == F.col("i_id"))
+    near = _measured(context(points, index, 4, cell_km), points, index)
     w = 1.0 / F.pow(F.greatest("km", F.lit(1e-3)), 2.0)
     made = near.groupBy("q_id").agg((F.sum(F.col("depth") * w) / F.sum(w)).alias("noaa_depth"), (F.sum(F.col("height") * w) / F.sum(w)).alias("elevation"), *[F.min_by(c, "rank").alias(c) for c in OBJECTS])
     full = points.select("id", "latitude", "longitude").join(made, F.col("id") == F.col("q_id")).drop("q_id").withColumn("noaa_type", F.when(F.col("noaa_depth") > 0, "height").otherwise("depth"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.geo import haversine_km
 from fairlead.functions.zones import CLASSES, IMPASSABLE, zone_cost
+from fairlead.sources.mask import Land, LandMask
 
 # Defaults of a lattice and its costs.
 RESOLUTION, MAX_CELLS, MARGIN = 0.25, 400_000, 2.0
@@ -52,6 +53,14 @@ def mesh(spark: SparkSession, spec: Spec, lattice_id: str = "lattice") -> DataFr
     return spark.range(spec.rows * spec.cols).select(F.lit(lattice_id).alias("lattice_id"), row.alias("row"), col.alias("col"), (spec.south + row * spec.resolution).alias("lat"), (spec.west + col * spec.resolution).alias("lon"))
 
 
+def meshes(specs: DataFrame) -> DataFrame:
+    """The cells of many lattices, from ``lattice_id, south, west, resolution, n_rows, n_cols``. Rows of cells are dealt
+    before cells are made, so a large lattice is spread over tasks."""
+    lines = specs.select("lattice_id", "south", "west", "resolution", "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row")).repartition("lattice_id", "row")
+    cells = lines.select("*", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
+    return cells.select(*KEY, (F.col("south") + F.col("row") * F.col("resolution")).alias("lat"), (F.col("west") + F.col("col") * F.col("resolution")).alias("lon"))
+
+
 def to_cell(lat, lon, spec: Spec) -> tuple[Column, Column]:
     """Nearest cell; halves go to the even one, and what lies outside to the border."""
     at = lambda x, low, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.rint((F.col(x) - low) / spec.resolution).cast("int")))
@@ -78,13 +87,20 @@ def with_cost(cells: DataFrame, band: int = BAND_CELLS, penalty: float = BAND_PE
 
 def fuse_mask(cells: DataFrame, mask: DataFrame, share: float = 0.5, exempt: DataFrame | None = None, exempt_km: float = 30.0) -> DataFrame:
     """Water cells that the mask (``lattice_id, row, col, land_share``) calls land become coastline, unless a point of
-    ``exempt`` (``lat0, lon0``, a handful of ports) is near."""
+    ``exempt`` (``lattice_id, lat0, lon0``, the ports) is within ``exempt_km``, or the point's own column of that name.
+
+    Only cells that would change meet ports, in bands of latitude of their lattice as high as the radius."""
     found = cells.join(mask.select(*KEY, "land_share"), list(KEY), "left")
     override = (F.col("class_index") < 2) & (F.coalesce("land_share", F.lit(0.0)) >= share)
     if exempt is not None:
-        ports = exempt.agg(F.collect_list(F.struct("lat0", "lon0")).alias("ports"))  # one row
-        found = found.crossJoin(F.broadcast(ports))
-        override = override & ~F.exists("ports", lambda p: haversine_km("lat", "lon", p.lat0, p.lon0) <= exempt_km)
+        ports = exempt if "exempt_km" in exempt.columns else exempt.withColumn("exempt_km", F.lit(float(exempt_km)))
+        widest = ports.agg(F.max("exempt_km")).first()[0] or float(exempt_km)
+        band = lambda x: F.floor(x / (widest / 110.0)).cast("long")
+        near = ports.select("lattice_id", "lat0", "lon0", "exempt_km", F.explode(F.array(*[band(F.col("lat0")) + i for i in (-1, 0, 1)])).alias("band"))
+        asked = found.where(override).select(*KEY, "lat", "lon", band(F.col("lat")).alias("band"))
+        spared = asked.join(near, ["lattice_id", "band"]).where(haversine_km("lat", "lon", "lat0", "lon0") <= F.col("exempt_km")).select(*KEY, F.lit(True).alias("spared")).distinct()
+        found = found.join(spared, list(KEY), "left")
+        override = override & F.col("spared").isNull()
     return found.withColumn("class_index", F.when(override, F.lit(3)).otherwise(F.col("class_index"))).select(*cells.columns)
 
 
@@ -104,10 +120,16 @@ def overlay(cells: DataFrame, step: int) -> DataFrame:
     return found.select("lattice_id", "row", "col", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("class_index"), "confidence")
 
 
-def mask_share(cells: DataFrame, is_land, resolution: float, parts: int = 3) -> DataFrame:
-    """``land_share``: how many of ``parts`` x ``parts`` points of each cell ``is_land(lat, lon)`` holds for."""
-    shift = [((i + 0.5) / parts - 0.5) * resolution for i in range(parts)]
-    tests = F.array(*[is_land(F.col("lat") + a, F.col("lon") + b).cast("int") for a in shift for b in shift])
+def mask_share(cells: DataFrame, land: Land, resolution: float | str, parts: int = 3) -> DataFrame:
+    """``land_share``: how many of ``parts`` x ``parts`` points of each cell are on ``land``, a mask or a function of
+    latitude and longitude. ``resolution``: degrees, or the column with them."""
+    step = F.col(resolution) if isinstance(resolution, str) else F.lit(resolution)
+    shift = [(i + 0.5) / parts - 0.5 for i in range(parts)]
+    if isinstance(land, LandMask):
+        at = F.explode(F.array(*[F.struct((F.col("lat") + a * step).alias("lat"), (F.col("lon") + b * step).alias("lon")) for a in shift for b in shift]))
+        tests = land.marked(cells.select(*KEY, at.alias("p")).select(*KEY, "p.*"))
+        return tests.groupBy(*KEY).agg((F.count_if("on_land") / float(parts * parts)).alias("land_share"))
+    tests = F.array(*[land(F.col("lat") + a * step, F.col("lon") + b * step).cast("int") for a in shift for b in shift])
     return cells.select(*KEY, (F.aggregate(tests, F.lit(0), lambda s, x: s + x) / float(parts * parts)).alias("land_share"))
 
 

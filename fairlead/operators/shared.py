@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests; a cluster needs one of its own.
 LOCAL_SHARED = "/tmp/checkpoints/fairlead"
@@ -30,3 +31,35 @@ def written(df: DataFrame, name: str = "state") -> DataFrame:
     path = f"{shared_dir(spark)}/fairlead/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that may be broadcast: any number that holds at least this part of all rows each, so no more than this.
+HEAVY = 10_000
+
+
+def look_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, keep: bool = False, counted: bool = True) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has a row for each ``key`` (null is a key) and the number ``n`` of
+    rows with it; ``keep`` keeps that column. Keys not in ``keyed`` get nulls.
+
+    Up to ``HEAVY`` keys are broadcast. Of more, those that hold a ``HEAVY``-th of all rows or more are, so a shuffle
+    never meets a hot key. Without ``counted`` the numbers aren't known: then rows are counted by key for that. ``keyed``
+    should be written; ``rows`` are read again where not all keys are broadcast.
+    """
+    size = keyed.agg(F.count(F.lit(1)).alias("keys"), F.sum(n).alias("rows")).first()  # two numbers
+    more = [c for c in keyed.columns if c != key and (keep or c != n)]
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+    if size.keys <= HEAVY:
+        return joined(rows, F.broadcast(keyed.select(key, *more)))
+    total = size.rows
+    if not counted:
+        counts = written(rows.groupBy(F.col(key).alias("__c")).agg(F.count(F.lit(1)).alias("__n")), "counts")
+        total = counts.agg(F.sum("__n")).first()[0] or 0
+        frequent = F.broadcast(counts.where(F.col("__n") * HEAVY >= total))
+        keyed = written(keyed.drop(n).join(frequent, F.col(key).eqNullSafe(F.col("__c")), "left").withColumn(n, F.coalesce("__n", F.lit(0))).drop("__c", "__n"), "keyed")
+    hot = F.col(n) * HEAVY >= total
+    first = joined(rows, F.broadcast(keyed.where(hot).select(key, *more, F.lit(True).alias("__hot"))))
+    others = joined(first.where(F.col("__hot").isNull()).select(*rows.columns), keyed.where(~hot).select(key, *more))
+    return first.where("__hot").drop("__hot").unionByName(others)

@@ -6,17 +6,20 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from fairlead.operators import kernels, lattice, paths
+from fairlead.operators import corridor, kernels, lattice, paths
+from fairlead.operators.shared import written
 from fairlead.plans import planner
 from fairlead.plans.point_queries import POINTS_SQL, km
 from fairlead.plans.registry import query
-from fairlead.sources import fixtures
-from fairlead.sources.fixtures import LATTICES
-
-_CELLS = " UNION ALL ".join(f"SELECT '{n}' AS lattice_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, ({s}+r*{q})::DOUBLE AS lat, ({w}+c*{q})::DOUBLE AS lon FROM range({rows}) a(r), range({cols}) b(c)" for n, (rows, cols, s, w, q) in LATTICES.items())
-#: Classified cells and their costs without and with the safety band.
-CELLS_SQL = f"""g AS ({_CELLS}),
-k AS MATERIALIZED (SELECT *, CASE WHEN (row*7+col*13)%11=0 THEN 3 WHEN (row*3+col*5)%7=0 THEN 1 ELSE 0 END AS class_index, ((row*31+col*17)%100)/100.0 AS confidence FROM g),
+from fairlead.sources import fixtures, mask
+from fairlead.sources.fixtures import COLS, LATTICES_SQL, PER_DEGREE, RESOLUTION, ROWS
+
+#: Classified cells and their costs without and with the safety band: lattices of 250 events each, whose cells have the
+#: highest class of the events that fall into them.
+CELLS_SQL = f"""{POINTS_SQL}, {LATTICES_SQL},
+zn AS (SELECT lattice_id, row, col, max(class_index) AS class_index, max(score) AS confidence FROM so GROUP BY ALL),
+g AS (SELECT lattice_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, south+r*{RESOLUTION} AS lat, west+c*{RESOLUTION} AS lon FROM l, range({ROWS}) a(r), range({COLS}) b(c)),
+k AS MATERIALIZED (SELECT g.*, CAST(coalesce(zn.class_index, 0) AS INT) AS class_index, coalesce(zn.confidence, 0.5) AS confidence FROM g LEFT JOIN zn ON g.lattice_id=zn.lattice_id AND g.row=zn.row AND g.col=zn.col),
 z AS (SELECT *, CASE class_index WHEN 0 THEN 1.0 WHEN 1 THEN 1.8 ELSE 1e6 END AS zone_cost FROM k),
 land AS MATERIALIZED (SELECT DISTINCT lattice_id, row+dr AS row, col+dc AS col FROM k, (VALUES (-1,0),(1,0),(0,-1),(0,1)) o(dr,dc) WHERE class_index>1),
 c AS MATERIALIZED (SELECT z.lattice_id, z.row, z.col, lat, lon, class_index, confidence, zone_cost, CASE WHEN land.row IS NOT NULL AND zone_cost<1e6 THEN least(zone_cost*1.6, 1e6-1) ELSE zone_cost END AS cost FROM z LEFT JOIN land ON z.lattice_id=land.lattice_id AND z.row=land.row AND z.col=land.col) """
@@ -24,24 +27,27 @@ C = f"WITH {CELLS_SQL}"
 C_RECURSIVE = f"WITH RECURSIVE {CELLS_SQL}"
 
 
-def meshes(spark):
-    parts = [lattice.mesh(spark, lattice.Spec(s, w, q, rows, cols), n) for n, (rows, cols, s, w, q) in LATTICES.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def meshes(spark, d):
+    return lattice.meshes(fixtures.lattices(spark, d))
+
+
+def classified(spark, d):
+    found = meshes(spark, d).join(fixtures.zones(spark, d), list(lattice.KEY), "left")
+    return lattice.classify(found, F.coalesce("class_index", F.lit(0)), F.coalesce("confidence", F.lit(0.5)))
 
 
-def classified(spark):
-    r, c = F.col("row"), F.col("col")
-    zone = F.when((r * 7 + c * 13) % 11 == 0, 3).when((r * 3 + c * 5) % 7 == 0, 1).otherwise(0)
-    return lattice.classify(meshes(spark), zone, (r * 31 + c * 17) % 100 / 100.0)
+def costed(spark, d):
+    """Written once: what a query builds of it reads the cells many times."""
+    return written(lattice.with_cost(classified(spark, d)), "cells")
 
 
-def costed(spark):
-    return lattice.with_cost(classified(spark))
+def land(spark, d):
+    return mask.from_points(fixtures.land_points(spark, d), fixtures.PER_DEGREE)
 
 
 @query(C + "SELECT lattice_id, row, col, round(lat, 9) AS lat, round(lon, 9) AS lon FROM g")
 def grid_mesh(spark, d):
-    return meshes(spark).select("lattice_id", "row", "col", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return meshes(spark, d).select("lattice_id", "row", "col", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT id, CAST(least(49, greatest(0, round_even((latitude+60)/2.5, 0))) AS INT) AS row, CAST(least(144, greatest(0, round_even((longitude+180)/2.5, 0))) AS INT) AS col FROM p")
@@ -52,37 +58,33 @@ def grid_cell_mapping(spark, d):
 
 @query(C + "SELECT lattice_id, row, col, class_index, zone_cost AS cost FROM z")
 def grid_zone_cost(spark, d):
-    return lattice.with_cost(classified(spark), band=0).select("lattice_id", "row", "col", "class_index", "cost")
+    return lattice.with_cost(classified(spark, d), band=0).select("lattice_id", "row", "col", "class_index", "cost")
 
 
 @query(C + "SELECT lattice_id, row, col, round(cost, 9) AS cost FROM c")
 def grid_safety_band(spark, d):
-    return costed(spark).select("lattice_id", "row", "col", F.round("cost", 9).alias("cost"))
+    return costed(spark, d).select("lattice_id", "row", "col", F.round("cost", 9).alias("cost"))
 
 
 @query(C + "SELECT lattice_id, count(*) AS cells, round(avg(CAST(cost<1e6 AS INT)), 9) AS navigable_share, count(*) FILTER (class_index=0) AS open_sea, count(*) FILTER (class_index=1) AS coastal_sea, count(*) FILTER (class_index=2) AS near_coast, count(*) FILTER (class_index=3) AS coastline, round(avg(confidence), 9) AS mean_confidence FROM c GROUP BY 1")
 def grid_statistics(spark, d):
-    return lattice.statistics(costed(spark)).withColumn("navigable_share", F.round("navigable_share", 9)).withColumn("mean_confidence", F.round("mean_confidence", 9))
+    return lattice.statistics(costed(spark, d)).withColumn("navigable_share", F.round("navigable_share", 9)).withColumn("mean_confidence", F.round("mean_confidence", 9))
 
 
 @query(
     C + ", b AS (SELECT lattice_id, row//4 AS row, col//4 AS col, class_index, count(*) AS n, sum(confidence) AS s FROM c GROUP BY ALL) SELECT lattice_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(arg_max(class_index, n*10-class_index) AS INT) AS class_index, round(sum(s)/sum(n), 9) AS confidence FROM b GROUP BY 1, 2, 3"
 )
 def grid_overlay(spark, d):
-    return lattice.overlay(costed(spark), 4).withColumn("confidence", F.round("confidence", 9))
+    return lattice.overlay(costed(spark, d), 4).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(
-    C + ", s AS (SELECT lattice_id, row, col, lat+a.x*q.res AS y, lon+b.x*q.res AS x FROM c JOIN (VALUES " + ", ".join(f"('{n}', {v[4]})" for n, v in LATTICES.items()) + ") q(lid, res) ON lid=lattice_id, (VALUES (-1/3.0),(0.0),(1/3.0)) a(x), (VALUES (-1/3.0),(0.0),(1/3.0)) b(x))"
-    " SELECT lattice_id, row, col, round(avg(((CAST(floor(y*8+0.001) AS INT)*7+CAST(floor(x*8+0.001) AS INT)*13)%5=0)::INT), 9) AS land_share FROM s GROUP BY 1, 2, 3"
+    C + f", s AS (SELECT lattice_id, row, col, CAST(floor((lat+a.x*{RESOLUTION}+90)*{PER_DEGREE}) AS BIGINT) AS y, CAST(floor((lon+b.x*{RESOLUTION}+180)*{PER_DEGREE}) AS BIGINT)%(360*{PER_DEGREE}) AS x FROM c, (VALUES (-1/3.0),(0.0),(1/3.0)) a(x), (VALUES (-1/3.0),(0.0),(1/3.0)) b(x))"
+    " SELECT lattice_id, s.row, s.col, round(avg(CAST(lm.y IS NOT NULL AS INT)), 9) AS land_share FROM s LEFT JOIN lm ON s.y=lm.y AND s.x=lm.x GROUP BY 1, 2, 3"
 )
 def grid_mask_share(spark, d):
-    is_land = lambda y, x: (F.floor(y * 8 + 0.001) * 7 + F.floor(x * 8 + 0.001) * 13) % 5 == 0
-    out = None
-    for n, v in LATTICES.items():
-        one = lattice.mask_share(costed(spark).where(F.col("lattice_id") == n), is_land, v[4])
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("land_share", F.round("land_share", 9))
+    """The share of each cell that the mask of measured heights calls land."""
+    return lattice.mask_share(meshes(spark, d), land(spark, d), fixtures.RESOLUTION).withColumn("land_share", F.round("land_share", 9))
 
 
 @query(
@@ -90,19 +92,19 @@ def grid_mask_share(spark, d):
     " SELECT DISTINCT c.lattice_id, c.row, c.col FROM c JOIN m USING (lattice_id) JOIN r USING (lattice_id) WHERE sqrt(pow(lat-y, 2)+pow((lon-x)*k, 2)) <= 0.6 + 1e-9"
 )
 def grid_corridor(spark, d):
-    cells = costed(spark)
+    cells = costed(spark, d)
     route = cells.where("row = col").select("lattice_id", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
     return lattice.corridor(cells, route, 0.6)
 
 
 @query(
-    C + ", q AS (SELECT lattice_id, row, col FROM c WHERE class_index>1), m AS (SELECT q.lattice_id, q.row, q.col, c.row-q.row AS dr, c.col-q.col AS dc, c.row AS r, c.col AS cc FROM q JOIN c ON q.lattice_id=c.lattice_id AND c.cost<1e6 AND abs(c.row-q.row)<=5 AND abs(c.col-q.col)<=5),"
+    C + ", q AS (SELECT lattice_id, row, col FROM c WHERE class_index>1), m AS (SELECT q.lattice_id, q.row, q.col, c.row-q.row AS dr, c.col-q.col AS dc, c.row AS r, c.col AS cc FROM q JOIN c ON q.lattice_id=c.lattice_id AND c.cost<1e6 AND abs(c.row-q.row)<=40 AND abs(c.col-q.col)<=40),"
     " o AS (SELECT *, row_number() OVER (PARTITION BY lattice_id, row, col ORDER BY greatest(abs(dr), abs(dc)), dr*dr+dc*dc, dr, dc) AS n FROM m) SELECT lattice_id || ':' || row || ':' || col AS q_id, r AS row, cc AS col FROM o WHERE n=1"
 )
 def grid_nearest_navigable(spark, d):
-    cells = costed(spark)
+    cells = costed(spark, d)
     asked = cells.where("class_index > 1").select(F.concat_ws(":", "lattice_id", "row", "col").alias("q_id"), "lattice_id", "row", "col")
-    return lattice.nearest_navigable(cells, asked, 5)
+    return lattice.nearest_navigable(cells, asked)
 
 
 _E = ", e AS (SELECT a.lattice_id, a.row, a.col, b.row AS to_row, b.col AS to_col, " + km("a.lat", "a.lon", "b.lat", "b.lon") + " AS km, (a.cost+b.cost)/2 AS w FROM c a JOIN c b ON a.lattice_id=b.lattice_id AND abs(a.row-b.row)<=1 AND abs(a.col-b.col)<=1 AND (a.row<>b.row OR a.col<>b.col) WHERE a.cost<1e6 AND b.cost<1e6) "
@@ -110,7 +112,7 @@ _E = ", e AS (SELECT a.lattice_id, a.row, a.col, b.row AS to_row, b.col AS to_co
 
 @query(C + _E + "SELECT lattice_id, row, col, to_row, to_col, round(km, 6) AS km, round(km*w, 6) AS cost FROM e")
 def edges_step_cost(spark, d):
-    return lattice.step_edges(costed(spark)).withColumn("km", F.round("km", 6)).withColumn("cost", F.round("cost", 6))
+    return lattice.step_edges(costed(spark, d)).withColumn("km", F.round("km", 6)).withColumn("cost", F.round("cost", 6))
 
 
 def goals(cells):
@@ -126,7 +128,7 @@ _V = _GOAL + """, v(lattice_id, row, col, value) USING KEY (lattice_id, row, col
 
 @query(C_RECURSIVE + _E + _V + " SELECT lattice_id, row, col, round(value, 4) AS value FROM v")
 def path_value_iteration(spark, d):
-    cells = costed(spark)
+    cells = costed(spark, d)
     return paths.value_iteration(cells, goals(cells)).where("value is not null").withColumn("value", F.round("value", 4))
 
 
@@ -135,7 +137,7 @@ def path_value_iteration(spark, d):
 )
 def path_successors(spark, d):
     """The cost of each cell's best move (which of equal moves is taken is up to rounding)."""
-    cells = costed(spark)
+    cells = costed(spark, d)
     v = paths.value_iteration(cells, goals(cells))
     best = paths.successors(cells, v)
     edge = lattice.step_edges(cells).select("lattice_id", "row", "col", "to_row", "to_col", "cost")
@@ -150,23 +152,18 @@ def path_successors(spark, d):
     " JOIN recurring.v u ON u.lattice_id=e.lattice_id AND u.row=e.row AND u.col=e.col WHERE v.component<u.component GROUP BY 1, 2, 3) SELECT lattice_id, row, col, component FROM v"
 )
 def path_components(spark, d):
-    return paths.components(costed(spark))
+    return paths.components(costed(spark, d))
 
 
-def voyages(spark):
-    """Between corners and edges of the lattices, as the reference cases have them."""
-    rows = []
-    for n, (r, c, *_) in LATTICES.items():
-        rows += [(n, 0, 1, r - 1, c - 2), (n, r - 1, 1, 0, c - 2), (n, r // 2, 1, r // 2, c - 2), (n, 1, c // 2, r - 2, c // 2)]
-    base = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "voyage_id long, lattice_id string, start_row int, start_col int, goal_row int, goal_col int")
-    return planner.snapped(costed(spark), base, 10)
+def voyages(spark, d, cells):
+    """A voyage for each supplier, both ends on navigable cells."""
+    return written(planner.snapped(cells, fixtures.voyages(spark, d), lattice.SNAP_CELLS), "voyages")
 
 
-_VOYAGES = ", ".join(f"({4 * i + j}, '{n}', {x[0]}, {x[1]}, {x[2]}, {x[3]})" for i, (n, (r, c, *_)) in enumerate(LATTICES.items()) for j, x in enumerate(((0, 1, r - 1, c - 2), (r - 1, 1, 0, c - 2), (r // 2, 1, r // 2, c - 2), (1, c // 2, r - 2, c // 2))))
 #: Least costs of the voyages to their goals by relaxation, from each end's nearest navigable cell.
-_LEAST = f""", t AS (SELECT * FROM (VALUES {_VOYAGES}) t(voyage_id, lattice_id, r0, c0, r1, c1)),
+_LEAST = """,
 ends AS (SELECT voyage_id, lattice_id, 0 AS e, r0 AS r, c0 AS cc FROM t UNION ALL SELECT voyage_id, lattice_id, 1, r1, c1 FROM t),
-near AS (SELECT voyage_id, ends.lattice_id, e, c.row, c.col, row_number() OVER (PARTITION BY voyage_id, e ORDER BY greatest(abs(c.row-r), abs(c.col-cc)), (c.row-r)*(c.row-r)+(c.col-cc)*(c.col-cc), c.row-r, c.col-cc) AS n FROM ends JOIN c ON c.lattice_id=ends.lattice_id AND cost<1e6 AND abs(c.row-r)<=10 AND abs(c.col-cc)<=10),
+near AS (SELECT voyage_id, ends.lattice_id, e, c.row, c.col, row_number() OVER (PARTITION BY voyage_id, e ORDER BY greatest(abs(c.row-r), abs(c.col-cc)), (c.row-r)*(c.row-r)+(c.col-cc)*(c.col-cc), c.row-r, c.col-cc) AS n FROM ends JOIN c ON c.lattice_id=ends.lattice_id AND cost<1e6 AND abs(c.row-r)<=40 AND abs(c.col-cc)<=40),
 snap AS MATERIALIZED (SELECT * FROM near WHERE n=1), m AS MATERIALIZED (SELECT *, km*w AS step FROM e),
 v(voyage_id, row, col, value) USING KEY (voyage_id, row, col) AS (SELECT voyage_id, row, col, 0.0::DOUBLE FROM snap WHERE e=1
  UNION SELECT v.voyage_id, m.row, m.col, min(m.step+v.value) FROM v JOIN t USING (voyage_id) JOIN m ON m.lattice_id=t.lattice_id AND m.to_row=v.row AND m.to_col=v.col LEFT JOIN recurring.v u ON u.voyage_id=v.voyage_id AND u.row=m.row AND u.col=m.col
@@ -179,61 +176,117 @@ v(voyage_id, row, col, value) USING KEY (voyage_id, row, col) AS (SELECT voyage_
 )
 def path_least_costs(spark, d):
     """What the three exact methods find for each voyage: the same least cost."""
-    cells, asked = costed(spark), voyages(spark)
+    cells = costed(spark, d)
+    asked = voyages(spark, d, cells)
     found = [planner.search(cells, asked, planner.Parameters(method=m)) for m in ("astar", "dijkstra", "dynamic_programming")]
     return reduce(lambda a, b: a.unionByName(b), [f.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost")) for f in found])
 
 
-def _search(spark, method, **more):
-    found = kernels.search(costed(spark), voyages(spark), method, **more)
+def _search(spark, d, method):
+    cells = costed(spark, d)
+    found = kernels.search(cells, voyages(spark, d, cells), method)
     return found.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), "nodes", F.size("path").alias("cells"))
 
 
 @query()
 def path_astar(spark, d):
-    return _search(spark, "astar")
+    return _search(spark, d, "astar")
 
 
 @query()
 def path_dijkstra(spark, d):
-    return _search(spark, "dijkstra")
+    return _search(spark, d, "dijkstra")
 
 
 @query()
 def path_genetic(spark, d):
-    return _search(spark, "genetic", generations=60, population=40)
+    return _search(spark, d, "genetic")
 
 
 @query()
 def path_greedy_route(spark, d):
     """Routes along the best moves of a finished value table."""
-    found = planner.search(costed(spark), voyages(spark), planner.Parameters(method="dynamic_programming"))
+    cells = costed(spark, d)
+    found = planner.search(cells, voyages(spark, d, cells), planner.Parameters(method="dynamic_programming"))
     return found.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), F.size("path").alias("cells"))
 
 
-@query()
+_DIRECT = km("a.lat", "a.lon", "b.lat", "b.lon")
+
+
+@query(
+    C_RECURSIVE + _E + _LEAST + f", w AS (SELECT s.voyage_id, value, {_DIRECT} AS direct FROM snap s JOIN snap g ON g.voyage_id=s.voyage_id AND g.e=1 LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col"
+    " JOIN c a ON a.lattice_id=s.lattice_id AND a.row=s.row AND a.col=s.col JOIN c b ON b.lattice_id=g.lattice_id AND b.row=g.row AND b.col=g.col WHERE s.e=0)"
+    " SELECT CAST(voyage_id AS BIGINT) AS voyage_id, CASE WHEN value IS NULL THEN 'no_path' ELSE 'found' END AS status, round(coalesce(value, 'Infinity'::DOUBLE), 4) AS cost, round(direct, 4) AS direct_km FROM w"
+)
 def plan_voyages(spark, d):
-    return planner.plan(costed(spark), voyages(spark)).select("voyage_id", "status", *[F.round(c, 4).alias(c) for c in ("cost", "km", "direct_km", "detour", "hours")])
+    """Every supplier's voyage, planned; lengths of equally cheap routes may differ, so they aren't compared here."""
+    return planner.plan(costed(spark, d), fixtures.voyages(spark, d)).select("voyage_id", "status", F.round("cost", 4).alias("cost"), F.round("direct_km", 4).alias("direct_km"))
 
 
 @query()
 def plan_via_points(spark, d):
-    rows = [(0, "wide", 0, 0, 2), (0, "wide", 1, 30, 40), (0, "wide", 2, 58, 76), (1, "square", 0, 1, 1), (1, "square", 1, 18, 18)]
-    stops = spark.createDataFrame(rows, "voyage_id long, lattice_id string, seq int, row int, col int")
-    return planner.plan_via(costed(spark), stops).withColumn("km", F.round("km", 4)).withColumn("cost", F.round("cost", 4))
+    """The supplier's voyage over the middle of its lattice."""
+    v = fixtures.voyages(spark, d)
+    over = ((F.col("start_row"), F.col("start_col")), (F.col("voyage_id") % fixtures.ROWS, F.lit(fixtures.COLS // 2)), (F.col("goal_row"), F.col("goal_col")))
+    stops = F.array(*[F.struct(F.lit(i).alias("seq"), r.cast("int").alias("row"), c.cast("int").alias("col")) for i, (r, c) in enumerate(over)])
+    rows = v.select("voyage_id", "lattice_id", F.explode(stops).alias("s")).select("voyage_id", "lattice_id", "s.*")
+    return planner.plan_via(costed(spark, d), rows).withColumn("km", F.round("km", 4)).withColumn("cost", F.round("cost", 4))
 
 
 @query()
 def plan_coast_guard(spark, d):
     """Routes after land of an independent mask has been blocked."""
-    is_land = lambda y, x: (F.floor(y * 2 + 0.001) * 7 + F.floor(x * 2 + 0.001) * 13) % 9 == 0
-    best, verdict = planner.coast_guard(costed(spark), voyages(spark), is_land, planner.Parameters(coast_rounds=3), 2.0, 5.0, 6.0)
+    cells = costed(spark, d)
+    best, verdict = planner.coast_guard(cells, voyages(spark, d, cells), land(spark, d), planner.Parameters())
     return best.join(verdict, "voyage_id").select("voyage_id", "status", F.round("cost", 4).alias("cost"), "verdict", F.round("longest_km", 4).alias("longest_km"), "round")
 
 
 @query()
 def plan_compare_methods(spark, d):
-    p = planner.Parameters(generations=40, population=30)
-    return planner.compare(costed(spark), voyages(spark), p).select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("gap_pct", 4).alias("gap_pct"))
+    cells = costed(spark, d)
+    return planner.compare(cells, voyages(spark, d, cells)).select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("gap_pct", 4).alias("gap_pct"))
+
+
+@query()
+def plan_two_levels(spark, d):
+    """Suppliers' voyages with the coast guard, refined in corridors where they still cross land."""
+    raster = written(fixtures.zone_raster(spark, d), "zones")
+    at = lambda x: F.rint(F.col(x) / fixtures.RESOLUTION).cast("int")
+
+    def classify(cells):
+        found = cells.withColumn("y", at("lat")).withColumn("x", at("lon")).join(raster, ["y", "x"], "left").drop("y", "x")
+        return found.withColumn("class_index", F.coalesce("class_index", F.lit(0))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+
+    best, _ = planner.plan_refined(fixtures.lattices(spark, d), fixtures.ports(spark, d), classify, land(spark, d), planner.Parameters())
+    return best.select("voyage_id", "status", F.round("cost", 4).alias("cost"), "verdict", F.round("longest_km", 4).alias("longest_km"), "level", "resolution", "cells")
+
+
+_PASSED = f"""e AS (SELECT voyage_id, south, west, south+r0*{RESOLUTION} AS a, west+c0*{RESOLUTION} AS b, south+r1*{RESOLUTION} AS y, west+c1*{RESOLUTION} AS x FROM t JOIN l USING (lattice_id)),
+k AS (SELECT *, CAST(greatest(1, ceil(greatest(abs(y-a), abs(x-b))/(0.1/2))) AS INT) AS parts, 0.1*111.2 AS dy, greatest(0.1*111.2*cos(radians((a+y)/2)), 0.001) AS dx FROM e),
+passed AS (SELECT DISTINCT voyage_id, dy, dx, greatest(0, least({round((ROWS - 1) * 2.5) + 0}, round_even((a+(i/parts)*(y-a)-south)/0.1, 0))) AS row, greatest(0, least({round((COLS - 1) * 2.5) + 0}, round_even((b+(i/parts)*(x-b)-west)/0.1, 0))) AS col FROM k, range(0, 200) n(i) WHERE i<=parts),
+f AS (SELECT DISTINCT voyage_id, r AS row, c AS col FROM passed, range({round((ROWS - 1) * 2.5) + 1}) a(r), range({round((COLS - 1) * 2.5) + 1}) b(c) WHERE sqrt((r-row)*dy*((r-row)*dy)+(c-col)*dx*((c-col)*dx)) <= 30.0)"""
+
+
+@query(f"WITH {POINTS_SQL}, {LATTICES_SQL}, {_PASSED} SELECT voyage_id, CAST(row AS INT) AS row, count(*) AS cells, CAST(sum(col) AS BIGINT) AS cols FROM f GROUP BY 1, 2")
+def corridor_cells(spark, d):
+    """Fine cells within 30 km of each supplier's straight course, by row."""
+    v = fixtures.ports(spark, d)
+    specs = fixtures.lattices(spark, d).select(*corridor.SPEC).join(v.select("voyage_id", F.col("lattice_id")), "lattice_id")
+    specs = corridor.resized(specs.withColumn("lattice_id", F.col("voyage_id").cast("string")).drop("voyage_id"), F.lit(0.1))
+    ends = F.array(*[F.struct(F.lit(i).alias("seq"), F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for i, e in enumerate(("start", "goal"))])
+    track = v.select(F.col("voyage_id").cast("string").alias("lattice_id"), F.explode(ends).alias("e")).select("lattice_id", "e.*")
+    cells = corridor.cells(corridor.intervals(track, written(specs, "specs"), 30.0), specs)
+    return cells.groupBy(F.col("lattice_id").cast("long").alias("voyage_id"), "row").agg(F.count(F.lit(1)).alias("cells"), F.sum("col").alias("cols"))
+
+
+@query(f"WITH {POINTS_SQL}, {LATTICES_SQL}, o AS (SELECT id, CAST(floor((lat2+90)*{PER_DEGREE}) AS BIGINT) AS y, CAST(floor((lon2+180)*{PER_DEGREE}) AS BIGINT) AS x FROM p) SELECT id, lm.y IS NOT NULL AS on_land FROM o LEFT JOIN lm ON o.y=lm.y AND o.x=lm.x")
+def mask_points(spark, d):
+    """Which second positions are on land of the mask."""
+    return land(spark, d).marked(fixtures.points(spark, d).select("id", "lat2", "lon2"), "lat2", "lon2").select("id", "on_land")
 
 
+@query(f"WITH {POINTS_SQL}, {LATTICES_SQL} SELECT CAST(y//64 AS INT) AS ty, CAST(x//64 AS INT) AS tx, round(count(*)/4096, 9) AS share FROM lm GROUP BY 1, 2")
+def mask_tiles(spark, d):
+    """Land by tile of the mask."""
+    return land(spark, d).land_share().withColumn("share", F.round("share", 9))
