@@ -20,7 +20,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import batches, look_up, materialize, small_batches
+from fairlead.llm.common import batches, materialize, small_batches
+from fairlead.operators.shared import look_up
 
 MIN_WORDS, MIN_DISTINCT_PCT, MAX_CAPITAL_PCT = 100, 80, 10
 SYMBOLS = b"#$%&*|"

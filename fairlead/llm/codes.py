@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlead.llm.common import batches, look_up, materialize
+from fairlead.llm.common import batches, materialize
+from fairlead.operators.shared import look_up
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors whose distances to a codebook are held at once.

@@ -84,31 +84,6 @@ def row_key(*named: str | Column, text: str) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") if isinstance(c, str) else c.alias(f"k{i}") for i, c in enumerate(named)], F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
 
 
-#: Keys that may be broadcast: any number that holds at least this part of all rows each, so no more than this.
-HEAVY = 10_000
-
-
-def look_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, keep: bool = False) -> DataFrame:
-    """``rows`` with the columns of ``keyed``, which has a row for each ``key`` (null is a key) and the number ``n`` of
-    rows with it; ``keep`` keeps that column. Keys not in ``keyed`` get nulls.
-
-    Up to ``HEAVY`` keys are broadcast. Of more, those that hold a ``HEAVY``-th of all rows or more are, so a shuffle
-    never meets a hot key. ``keyed`` should be written; ``rows`` are read twice in that case.
-    """
-    size = keyed.agg(F.count(F.lit(1)).alias("keys"), F.sum(n).alias("rows")).first()  # two numbers
-    more = [c for c in keyed.columns if c != key and (keep or c != n)]
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-
-    if size.keys <= HEAVY:
-        return joined(rows, F.broadcast(keyed.select(key, *more)))
-    hot = F.col(n) * HEAVY >= size.rows
-    first = joined(rows, F.broadcast(keyed.where(hot).select(key, *more, F.lit(True).alias("__hot"))))
-    others = joined(first.where(F.col("__hot").isNull()).select(*rows.columns), keyed.where(~hot).select(key, *more))
-    return first.where("__hot").drop("__hot").unionByName(others)
-
-
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """``df`` with the sum of each of ``sums`` over the rows before, in ``order``. Rows are dealt by ranges of the order
     and added up range by range; only the ranges' own sums meet in one task."""

@@ -28,7 +28,7 @@ SHARD_LINES, BROADCAST_BYTES = 50_000, 64 << 20
 #: A document without an id comes before all others.
 NO_ID = -(1 << 63)
 #: When lines go to the shards, those with at least one in so many of all occurrences, that many at most, are broadcast;
-#: of the others no group of a shard gets many more than GROUP_LINES because of one line.
+#: the others, those that no other document has included, are dealt to groups of about GROUP_LINES.
 FREQUENT, GROUP_LINES = 100_000, 500_000
 
 
@@ -203,10 +203,17 @@ def _gone(shard: Shard, hashes, owners, min_docs: int):
     return found & (count >= min_docs) & (keeper != owners)
 
 
-def _dropped_by_shard(docs: DataFrame, lines: DataFrame, n: int, total: int, frequent, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """``doc, drop``: for each document that loses lines, the hashes of their keys, but for the ``frequent`` lines."""
+def _in_groups(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keys`` with a ``salt``, and ``shard, salts``: each shard has as many groups as its probing lines need."""
+    counts = materialize(keys.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / GROUP_LINES).alias("salts")), "shard-counts")
+    salt = F.pmod(F.xxhash64("doc", "h2"), F.col("salts"))
+    return keys.join(F.broadcast(counts), "shard").withColumn("salt", salt).drop("salts"), counts  # a row a shard
+
+
+def _dropped_by_shard(docs: DataFrame, lines: DataFrame, n: int, frequent, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """``doc, drop``: for each document that loses lines, the hashes of their keys, but for the ``frequent`` lines. The
+    hashes of the probing lines are written once, so that each shard's can be counted before they are dealt."""
     index, shards = build_index(lines, n)
-    salts = max(1, -(-total // (FREQUENT * GROUP_LINES)))
 
     def rare(frames):
         import numpy as np
@@ -218,8 +225,8 @@ def _dropped_by_shard(docs: DataFrame, lines: DataFrame, n: int, total: int, fre
             yield batch.filter(pa.array(~known.probe(h1, h2)[0]))
 
     keys = _keys(docs, id_col, text_col, min_chars).mapInArrow(rare, "h1 long, h2 long, doc long")
-    keys = keys.withColumn("shard", F.pmod("h1", F.lit(shards))).withColumn("salt", F.pmod(F.xxhash64("doc", "h2"), F.lit(salts)))
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    keys, counts = _in_groups(materialize(keys.withColumn("shard", F.pmod("h1", F.lit(shards))), "probing-lines"))
+    copies = index.join(F.broadcast(counts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
 
     def probe(_, frame, data):
         import numpy as np
@@ -297,7 +304,7 @@ def dedup_lines(
     else:
         often = lines.where(F.col("n") * FREQUENT >= size.total).toPandas()  # FREQUENT rows at most
         frequent = spark.sparkContext.broadcast(_shard_of(often).to_bytes())
-        drops = _dropped_by_shard(docs, lines, size.n, size.total, frequent, id_col, text_col, min_chars, min_docs)
+        drops = _dropped_by_shard(docs, lines, size.n, frequent, id_col, text_col, min_chars, min_docs)
         own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *carried)
         joined = own.join(drops, F.coalesce(own["__id"], F.lit(NO_ID)) == drops.doc, "left").select("__id", "__text", "drop", *[f"carried_{i}" for i in range(len(carry))])
 

@@ -25,7 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import look_up, materialize, running
+from fairlead.llm.common import materialize, running
+from fairlead.operators.shared import look_up
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.

@@ -283,28 +283,38 @@ def pack_min_slack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     return _map(docs, id_col, text_col, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", rows, 5000)
 
 
+def width_of(path: str, capacity: int) -> str:
+    """The type of ids and positions in a matrix: little-endian unsigned integers that hold all of both."""
+    from tokenizers import Tokenizer
+
+    ids = max(Tokenizer.from_file(path).get_vocab().values(), default=0) + 1
+    return "<u2" if max(ids, capacity) <= 1 << 16 else "<u4"
+
+
 def pack_best_fit(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a sequence, as a trainer reads it:
 
-    ``sequence_id, n_tokens``; ``input_ids`` (binary: a row of the packed matrix, little-endian unsigned 16-bit ids,
+    ``sequence_id, n_tokens``; ``input_ids`` (binary: a row of the packed matrix, little-endian unsigned ids,
     padded with zeros to the capacity); ``cu_seqlens`` (array: where each segment begins, and the end of the last);
     ``position_ids`` (binary, as the ids: positions that start from 0 in each segment, as a document's later pieces
     attend to nothing before them); ``segment_ids`` and ``segment_starts`` (arrays: each segment's document, and its
     ids before the segment).
 
     Documents, each with the separator at its end, are cut at multiples of the capacity, so nothing is lost. Null
-    text counts as empty. The vocabulary must have at most 65,536 ids.
+    text counts as empty. An id or position has 16 bits where the vocabulary and the capacity have at most 65,536, else
+    32 (see :func:`width_of`).
     """
     path = tokenizer or tokenizer_path()
+    width = width_of(path, capacity)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def rows(frames):
         import numpy as np
 
-        steps = np.arange(capacity, dtype="<u2")
+        steps = np.arange(capacity, dtype=width)
         for number, sequence in _numbered(_best_fit(_pieces(frames, path, capacity), capacity)):
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in sequence])])
-            ids, positions = np.zeros(capacity, "<u2"), np.zeros(capacity, "<u2")
+            ids, positions = np.zeros(capacity, width), np.zeros(capacity, width)
             for p, a, b in zip(sequence, cuts[:-1], cuts[1:], strict=True):
                 ids[a:b] = p.ids
                 positions[a:b] = steps[: b - a]

@@ -7,8 +7,9 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from fairlead.llm import audit, common
+from fairlead.llm import audit
 from fairlead.llm.audit import interaction_audit, scan_texts, text_failures
+from fairlead.operators import shared
 
 from helpers import AWKWARD, documents, prose, words
 
@@ -97,7 +98,7 @@ def test_audit_equals_plain_python(spark):
 def test_frequent_copies_are_looked_up_by_broadcast(spark, monkeypatch):
     docs = documents(spark, ["hot text"] * 60 + [f"text {i % 20}" for i in range(60)])
     want = sorted(map(tuple, audit.failures(docs).collect()))
-    monkeypatch.setattr(common, "HEAVY", 4)
+    monkeypatch.setattr(shared, "HEAVY", 4)
     assert sorted(map(tuple, audit.failures(docs.repartition(5)).collect())) == want
 
 

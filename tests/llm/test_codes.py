@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fairlead.llm import common
+from fairlead.operators import shared
 from fairlead.llm.codes import component_bound, compress
 
 
@@ -92,5 +92,5 @@ def test_empty(spark):
 def test_partitions_and_many_labels(spark, monkeypatch):
     rows = [(i, v, i % 50 if i % 3 else 7) for i, v in enumerate(vectors(200, 12, seed=3))]
     want = got(compress(frame(spark, rows), entries=30))
-    monkeypatch.setattr(common, "HEAVY", 5)
+    monkeypatch.setattr(shared, "HEAVY", 5)
     assert got(compress(frame(spark, rows).repartition(11), entries=30)) == want

@@ -76,3 +76,12 @@ def test_edges(spark):
     out = lines.deduplicated_documents(docs)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
     assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+def test_unique_lines_are_dealt_to_bounded_groups(spark, monkeypatch):
+    """All in one shard: few repeated lines, many unique ones."""
+    monkeypatch.setattr(lines, "GROUP_LINES", 100)
+    keys = spark.range(5000).selectExpr("id AS h1", "id * 7 AS h2", "id % 3 AS doc", "0L AS shard")
+    dealt, counts = lines._in_groups(keys)
+    sizes = [r["count"] for r in dealt.groupBy("shard", "salt").count().collect()]
+    assert counts.first().salts == 50 and sum(sizes) == 5000 and max(sizes) < 200

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from fairlead.llm import common
+from fairlead.operators import shared
 from fairlead.llm.mixing import mix, mixed_documents
 
 from helpers import AWKWARD, documents, prose, words
@@ -112,7 +112,7 @@ def test_more_sources_than_are_broadcast(spark, monkeypatch):
     """Beyond the bound only frequent sources are broadcast; the rows are the same."""
     docs = documents(spark, prose(4, 120)).withColumn("source", F.when(F.col("doc_id") < 60, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 13)))
     want = sorted(map(tuple, mix(docs).collect()))
-    monkeypatch.setattr(common, "HEAVY", 4)
+    monkeypatch.setattr(shared, "HEAVY", 4)
     assert sorted(map(tuple, mix(docs).collect())) == want
     assert sorted(map(tuple, mix(docs.repartition(7)).collect())) == want
 

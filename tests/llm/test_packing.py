@@ -142,3 +142,18 @@ def test_best_fit_is_decreasing_best_fit():
             fit = min((x for x in rooms if x >= n), default=None)
             rooms.append((50 if fit is None else rooms.pop(rooms.index(fit))) - n)
         assert sorted(50 - sum(map(len, b)) for b in got) == sorted(rooms)
+
+
+def test_ids_beyond_16_bits_are_kept(spark, tmp_path):
+    """A vocabulary with an id of 70,000 is written with 32 bits."""
+    import json
+
+    vocab = json.loads(open(packing.tokenizer_path()).read())
+    vocab["model"]["vocab"]["a</w>" if "a</w>" in vocab["model"]["vocab"] else next(iter(vocab["model"]["vocab"]))] = 70_000
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(vocab))
+    assert packing.width_of(packing.tokenizer_path(), 4096) == "<u2" and packing.width_of(packing.tokenizer_path(), 1 << 17) == "<u4"
+    assert packing.width_of(str(path), 4096) == "<u4"
+    r = packing.pack_best_fit(documents(spark, ["a a"]), capacity=64, tokenizer=str(path)).first()
+    ids = np.frombuffer(r.input_ids, "<u4")
+    assert len(ids) == 64 and len(np.frombuffer(r.position_ids, "<u4")) == 64 and ids[: r.n_tokens].tolist() == [70_000, 70_000, 2]
