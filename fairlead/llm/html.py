@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm import jaccard
 from fairlead.llm.common import batches, materialize, small_batches
+from fairlead.operators.shared import look_up
 
 #: Tokens of a repeated run at least. Tokens of a chunk at most, about.
 RUN, CHUNK_TOKENS = 8, 1_000_000
@@ -32,8 +33,8 @@ RUN, CHUNK_TOKENS = 8, 1_000_000
 #: would be left with nothing and, from ARTICLE_PAGES, for blocks of articles. Pages without an article are near copies
 #: from this percentage of shared runs.
 MIN_PAGES, SHARE, SURE_SHARE, ARTICLE_PAGES, COPY_PCT = 3, 0.2, 0.5, 10, 40
-#: Runs on no more than this share of a part of a host are not counted for that part.
-PART_SHARE = 0.05
+#: Runs on no more than this share of a part of a host are not named by that part. Pages of a group that counts again.
+PART_SHARE, COUNT_PAGES = 0.05, 2000
 #: Runs that are broadcast at most; beyond, hosts with a share of 1 / HOT of the pages are joined in SALTS parts.
 BROADCAST_RUNS, HOT, SALTS = 500_000, 1000, 64
 
@@ -320,7 +321,7 @@ def _text_hash(text: str) -> int:
 
 def _coded(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """``uid`` (of the row), ``host``, ``codes`` (the token stream), ``sketch`` (the least run hash of the main text, so
-    copies have the same and near copies mostly), ``first`` (whether it is the first of its sketch here), ``open`` (the
+    copies have the same and near copies mostly), ``first`` (whether it is the first of its tokens here), ``open`` (the
     text that stands outside an article, on a page without one) and ``doubtful`` (hashes of the unclear blocks)."""
 
     def run(frames: Iterator):
@@ -341,18 +342,19 @@ def _coded(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 cols["doubtful"].append([_text_hash(t) for z, t in own if z == UNCLEAR])
                 sketch = _sketch(article)
                 cols["sketch"].append(sketch)
-                cols["first"].append(sketch is None or (host, sketch) not in seen)
-                if sketch is not None:
-                    seen.add((host, sketch))
+                same = (host, _text_hash(cols["codes"][-1].hex()))  # pages of equal tokens count as one anyway
+                cols["first"].append(same not in seen)
+                seen.add(same)
             if len(seen) > 500_000:
                 seen.clear()
             kinds = {"codes": pa.binary(), "sketch": pa.int64(), "first": pa.bool_(), "open": pa.string(), "doubtful": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[c], k) for c, k in kinds.items())], names=["host", *kinds])
 
     found = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(run, "host string, codes binary, sketch long, first boolean, open string, doubtful array<long>")
-    uid = F.monotonically_increasing_id()
+    # named by their content, so that nothing depends on how rows are dealt; equal pages of a host have one name
+    named = found.withColumn("uid", F.xxhash64("host", "codes"))
     # a page without an article is like no other here; its near copies are found by their texts
-    return found.withColumn("uid", uid).withColumn("sketch", F.coalesce("sketch", F.xxhash64("uid")))
+    return named.withColumn("sketch", F.coalesce("sketch", "uid"))
 
 
 def _sketch(article: list) -> int | None:
@@ -380,12 +382,13 @@ def _once(coded: DataFrame) -> DataFrame:
 
 def repeated_runs(pages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """``host, run, pages``: the runs that may be boilerplate and on how many pages each is; a null run has the number of
-    all pages. From ``uid, host, sketch, codes``; pages of one sketch count once.
+    all pages. From ``uid, host, sketch, codes``; of pages of one sketch, that with the least tokens (as bytes) counts.
 
     Pages are dealt by ranges of host and sketch, so a large host is spread over many tasks and small ones share one.
     A task makes a suffix array of each chunk of pages. Of a host that lies wholly inside a chunk, runs on MIN_PAGES
-    pages and the share SHARE are left; of a part of a host, runs on more than PART_SHARE of the part's pages. What the
-    others lose is never more than that share of the pages.
+    pages and the share SHARE are left; of a part of a host, runs on more than PART_SHARE of the part's pages, so what a
+    part doesn't name is on few of its pages. Runs that some part doesn't name, and that may still reach the share, are
+    counted again, on all pages of their host, so that the counts don't depend on how a host is cut.
     """
 
     def run(frames: Iterator):
@@ -400,12 +403,13 @@ def repeated_runs(pages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFra
             total = np.bincount(own, minlength=len(names))
             host, run_, pages_ = shared_runs(own, [c for _, c in chunk])
             part = np.array([h in cut for h in names])
-            least = np.where(part, np.floor(total * PART_SHARE) + 1, np.maximum(np.ceil(total * SHARE), MIN_PAGES))
+            slack = np.where(part, np.floor(total * PART_SHARE), 0).astype(np.int64)
+            least = np.where(part, slack + 1, np.maximum(np.ceil(total * SHARE), MIN_PAGES))
             keep = pages_ >= least[host]
             of = np.array([*names], object)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*of[host[keep]], *names], pa.string()), pa.array([*run_[keep].tolist(), *[None] * len(names)], pa.int64()), pa.array([*pages_[keep].tolist(), *total.tolist()], pa.int64())], names=["host", "run", "pages"]
-            )
+            columns = [pa.array([*of[host[keep]], *names], pa.string()), pa.array([*run_[keep].tolist(), *[None] * len(names)], pa.int64())]
+            counts = [pa.array([*x[keep].tolist(), *y.tolist()], pa.int64()) for x, y in ((pages_, total), (slack[host], slack))]
+            return pa.RecordBatch.from_arrays([*columns, *counts], names=["host", "run", "pages", "slack"])
 
         chunk, size, last, cut = [], 0, None, set()
         for batch in batches(frames):
@@ -425,8 +429,44 @@ def repeated_runs(pages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFra
         if chunk:
             yield rows(chunk, cut | {last[0]})  # it may go on in another task
 
-    dealt = pages.repartitionByRange("host", "sketch").sortWithinPartitions("host", "sketch", "uid")
-    return dealt.select("host", "sketch", "codes").mapInArrow(run, "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+    dealt = pages.repartitionByRange("host", "sketch").sortWithinPartitions("host", "sketch", "codes")
+    parts = dealt.select("host", "sketch", "codes").mapInArrow(run, "host string, run long, pages long, slack long")
+    found = materialize(parts.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("slack").alias("slack")), "part-runs")
+    hosts = found.where(F.col("run").isNull()).select("host", F.col("pages").alias("total"), F.col("slack").alias("all_slack"))
+    # what a run may be on besides: the slack of the parts that don't name it
+    both = found.join(hosts, "host").withColumn("more", F.when(F.col("run").isNull(), 0).otherwise(F.col("all_slack") - F.col("slack")))
+    least = F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("total") * SHARE))
+    open_ = (F.col("more") > 0) & (F.col("pages") + F.col("more") >= least)
+    unsure = materialize(both.where(open_).groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.first("total").alias("total")), "unsure-runs")
+    sure = both.where(F.col("run").isNull() | ((F.col("more") == 0) & ~open_)).select("host", "run", "pages")
+    return sure if unsure.isEmpty() else sure.unionByName(_counted_again(pages, unsure))
+
+
+def _counted_again(pages: DataFrame, unsure: DataFrame) -> DataFrame:
+    """``host, run, pages`` of the runs of ``unsure`` (``host, runs, total``), a few for each token of a page. A host's
+    pages are dealt to groups of about COUNT_PAGES by their sketch, and each group gets the host's runs."""
+    dealt = unsure.select("host", F.ceil(F.col("total") / COUNT_PAGES).alias("groups"), F.col("total").alias("n"))
+    own = look_up(pages.select("host", "sketch", "codes"), dealt, "host", "n").where(F.col("groups").isNotNull())
+    own = own.withColumn("group", F.pmod(F.xxhash64("sketch"), F.col("groups"))).drop("groups")
+    copies = unsure.join(dealt.drop("n"), "host").select("host", "runs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+
+    def count(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        host = right["host"][0].as_py() if right.num_rows else None
+        runs = np.array(right["runs"][0].as_py() if right.num_rows else [], np.int64)
+        least: dict[int, bytes] = {}
+        for sketch, codes in zip(left["sketch"].to_pylist(), left["codes"].to_pylist(), strict=True):
+            least[sketch] = min(least.get(sketch, codes), codes)
+        n = np.zeros(len(runs), np.int64)
+        for codes in least.values():
+            own = np.unique(window_hashes(np.frombuffer(codes, "<u2")))
+            n += np.isin(runs, own)
+        return pa.table({"host": pa.array([host] * len(runs), pa.string()), "run": pa.array(runs), "pages": pa.array(n)})
+
+    counted = own.groupBy("host", "group").cogroup(copies.groupBy("host", "group")).applyInArrow(count, "host string, run long, pages long")
+    return counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"))
 
 
 def _boilerplate(coded: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 from helpers import prose
+from pyspark.sql import functions as F
 
 from fairlead.llm import html
 
@@ -62,7 +63,9 @@ def test_runs_equal_brute_force_in_chunks_of_any_size(spark):
     rows = [(i, host(i), 5 if i == 13 else i, bytes(c.astype("<u2").tobytes())) for i, c in enumerate(codes)]
     want = {}
     for h in "gh":
-        own = [c for i, c in enumerate(codes) if host(i) == h and i != 13]  # 5 and 13 are of one host and have one sketch
+        # 5 and 13 are of one host and have one sketch: the least tokens count
+        other = max((5, 13), key=lambda i: rows[i][3])
+        own = [c for i, c in enumerate(codes) if host(i) == h and i != other]
         least = max(html.MIN_PAGES, len(own) * html.SHARE)
         want |= {(h, k): n for k, n in plain_repeats(own).items() if n >= least} | {(h, None): len(own)}
     df = spark.createDataFrame(rows, "uid long, host string, sketch long, codes binary")
@@ -74,6 +77,28 @@ def test_runs_equal_brute_force_in_chunks_of_any_size(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_counts_do_not_depend_on_how_a_host_is_cut(spark):
+    """A run on exactly a fifth, one on exactly half and ones just below, all gathered in a few parts of the host."""
+    p = prose(71, 400, words=40, vocabulary=3000)
+    lines = {k: " ".join(f"{k}{i}" for i in range(html.RUN)) for k in ("fifth", "under", "half", "less", "rare")}
+    on = {"fifth": range(80), "under": range(300, 379), "half": range(100, 300), "less": range(201, 400), "rare": range(0, 400, 30)}
+    streams = [" ".join([p[i], *[lines[k] for k in lines if i in on[k]]]) for i in range(400)]
+    rows = [(i, "h", i, bytes(html.token_codes([s])[0].astype("<u2").tobytes())) for i, s in enumerate(streams)]
+    # near copies of one sketch: whichever comes first, the least tokens count
+    rows += [(1000 + i, "h", 5, bytes(html.token_codes([streams[5] + " " + p[i]])[0].astype("<u2").tobytes())) for i in range(8)]
+    df = spark.createDataFrame(rows, "uid long, host string, sketch long, codes binary")
+    got = []
+    try:
+        for chunk, tasks, shuffled in ((10**6, 1, df), (900, 1, df), (3000, 3, df.repartition(5)), (10**6, 7, df.orderBy(F.desc("uid"))), (1, 2, df)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+            found = {r.run: r.pages for r in html.repeated_runs(shuffled, chunk).collect()}
+            got.append({k: n for k, n in found.items() if k is None or n >= 80})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0][None] == 400 and {80, 199, 200} <= set(got[0].values()) and 79 not in got[0].values()
+    assert all(g == got[0] for g in got)
+
+
 def test_runs_decide_inside_articles(spark):
     """Boilerplate that no markup names goes from articles; what copies share, and a much quoted passage, stays."""
     p, offer = prose(51, 60, words=60, vocabulary=4000), "all the news of the sea once a week in your own letter box"
