@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import batches, small_batches
 
-#: Code points in an n-gram; hashes a filter uses; slots of the shared table (its bytes are this times 1 to 8).
-GRAM, HASHES, SLOTS = 4, 2, 1 << 20
+#: Code points in an n-gram; hashes a filter uses; slots of the shared table at least (its bytes are 1 to 8 times its
+#: slots), and slots for each n-gram of the fullest filter and hash, so that no filter is filled by more than a quarter.
+GRAM, HASHES, SLOTS, SPARE = 4, 2, 1 << 20, 4
 #: Documents a language's filter is fitted to at most: those of least hash of their id. Bounds the fit.
 TRAIN_DOCS = 1500
 #: A language's filter takes an n-gram in at least this share of its training documents, unless another language
@@ -73,9 +74,11 @@ class Filters:
 
         kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
         self.languages, self.common = languages, common
-        self.table = np.zeros((max(1, -(-len(languages) // PLANE)), SLOTS), kind)
+        most = max((len(h) for h in grams), default=0)
+        self.slots = max(SLOTS, 1 << (HASHES * SPARE * most).bit_length())
+        self.table = np.zeros((max(1, -(-len(languages) // PLANE)), self.slots), kind)
         for i, h in enumerate(grams):
-            for s in _slots(h, SLOTS):
+            for s in _slots(h, self.slots):
                 np.bitwise_or.at(self.table[i // PLANE], s.astype(np.int64), kind(1 << i % PLANE))
         fill = [float(np.mean(self.table[i // PLANE] >> kind(i % PLANE) & kind(1))) for i in range(len(languages))]
         self.false_rate = np.array([f**HASHES for f in fill])
@@ -84,7 +87,7 @@ class Filters:
         """How many of the n-grams each language's filter holds."""
         import numpy as np
 
-        slots, counts = [s.astype(np.int64) for s in _slots(hashes, SLOTS)], []
+        slots, counts = [s.astype(np.int64) for s in _slots(hashes, self.slots)], []
         for plane in self.table:
             masks = plane[slots[0]]
             for s in slots[1:]:

@@ -99,3 +99,15 @@ def test_edges(spark):
     assert langid.identify(none, langid.fit(none)).count() == 0
     unlabelled = langid.identify(docs, langid.fit(none))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+
+
+def test_the_table_grows_with_the_n_grams(monkeypatch):
+    """Long training texts don't fill the filters: the false rate stays small."""
+    import numpy as np
+
+    monkeypatch.setattr(langid, "SLOTS", 1 << 10)
+    g = np.random.default_rng(1)
+    sets = [np.unique(g.integers(0, 1 << 63, n).astype(np.uint64)) for n in (20_000, 100)]
+    f = langid.Filters(["a", "b"], sets, "a")
+    assert f.slots >= 8 * 20_000 and f.slots & (f.slots - 1) == 0 and max(f.false_rate) < 1 / 16
+    assert f.held(sets[0])[0] == len(sets[0]) and f.held(sets[1])[1] == len(sets[1])
