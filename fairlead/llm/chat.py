@@ -65,7 +65,7 @@ class _Windows:
         self.system: tuple | None = None
         self.count = self.number = 0
         self.turns: list[tuple] = []  # of the open window: role, text, tokens
-        self.sums = [0]  # prefix sums of the new turns' tokens
+        self.sums = [0]  # prefix sums of the window's tokens
         self.repeated = 0
 
     def _close(self):
@@ -162,10 +162,11 @@ def format_windows(
     return ordered.mapInArrow(run, f"`{conv_col}` {kind}, window long, formatted string, n_repeated int, loss array<struct<start:int,end:int>>, n_tokens long")
 
 
-def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def read_back(windows: DataFrame, conv_col: str = "conv_id", in_order: bool = False) -> DataFrame:
     """From :func:`format_windows`, one row a conversation: the id, ``n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars``, all read from the formatted windows: repeated turns are passed over, and what is learned is
-    what the loss spans cut out, unescaped."""
+    what the loss spans cut out, unescaped. ``in_order``: windows come straight from there, one after another in a
+    partition; otherwise they are put in order first. Windows may be missing: what is there is read."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, conv_type = windows.schema[conv_col].dataType.simpleString(), to_arrow_type(windows.schema[conv_col].dataType)
@@ -186,7 +187,7 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
         for batch in batches(frames):
             for conv, number, formatted, repeated, loss in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if number == 0:
+                if state is None or number == 0 or state[0] != conv:
                     if state is not None:
                         end()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -204,4 +205,7 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             end()
             yield out()
 
-    return windows.select(conv_col, "window", "formatted", "n_repeated", "loss").mapInArrow(run, f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = windows.select(conv_col, "window", "formatted", "n_repeated", "loss")
+    if not in_order:
+        read = read.repartition(F.col(conv_col)).sortWithinPartitions(conv_col, "window")
+    return read.mapInArrow(run, f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -40,7 +40,7 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
-    return chat.read_back(chat.format_windows(turns.unionByName(more)))
+    return chat.read_back(chat.format_windows(turns.unionByName(more)), in_order=True)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

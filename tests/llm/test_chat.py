@@ -73,3 +73,17 @@ def test_windows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_windows(df)).count() == 0
+
+
+def test_windows_in_any_order_or_missing(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(c, t, ["system", "user", "assistant"][min(t, 1) + (t > 0 and t % 2 == 0)], f"{c} {t} {text}") for c in (1, 2, None) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(df, budget=400)
+    want = sorted(map(tuple, chat.read_back(windows, in_order=True).collect()), key=str)
+    written = spark.createDataFrame(windows.collect(), windows.schema)
+    assert written.groupBy("conv_id").count().agg({"count": "min"}).first()[0] > 2
+    for dealt in (written.repartition(5), written.orderBy("window", ascending=False)):
+        assert sorted(map(tuple, chat.read_back(dealt).collect()), key=str) == want
+    late = {r.conv_id: r.n_turns for r in chat.read_back(written.where("window > 0")).collect()}
+    assert set(late) == {1, 2, None} and all(0 < n < 12 for n in late.values())
