@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.geo import haversine_km
 from fairlead.functions.zones import CLASSES, IMPASSABLE, zone_cost
+from fairlead.operators.shared import written
 from fairlead.sources.mask import Land, LandMask
 
 # Defaults of a lattice and its costs.
@@ -188,13 +189,32 @@ def block_cells(cells: DataFrame, blocked: DataFrame, protected: DataFrame | Non
     return marked.withColumn("cost", F.when(F.col("__b"), F.lit(IMPASSABLE)).otherwise(F.col("cost"))).drop("__b")
 
 
-def majority_tiles(points: DataFrame, zoom: int) -> DataFrame:
-    """Points by Web-Mercator tile and class: the query behind a rendered tile."""
-    n = float(1 << zoom)
-    x = F.floor((F.col("longitude") + 180) / 360 * n).cast("int")
-    rad = F.radians(F.greatest(F.lit(-85.05), F.least(F.lit(85.05), F.col("latitude"))))
-    y = F.floor((1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / F.pi()) / 2 * n).cast("int")
-    return points.select(x.alias("x"), y.alias("y"), "class_code").groupBy("x", "y", "class_code").agg(F.count(F.lit(1)).alias("n"))
+# Zooms of a pyramid, pixels along a tile's side, and how confidence becomes a blend of the class's colour.
+ZOOMS, PIXELS, BLEND_FROM, BLEND_SPAN, BLEND_LEAST = 10, 32, 0.45, 0.45, 0.25
+
+
+def pyramid(points: DataFrame, zooms: int = ZOOMS, pixels: int = PIXELS, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``z, x, y, px, py, n, class_index, confidence, blend``: for each pixel of each Web-Mercator tile with points
+    (``class_index, confidence``), zooms 0 to ``zooms``: the majority class (ties: the lowest index), its mean
+    confidence, and the share of its colour.
+
+    Points are counted once, in pixels of the deepest zoom; all other zooms are made from those counts, since a pixel
+    covers four of the next zoom, so later rows are pixels and not points. Latitudes are cut at 85.05 degrees.
+    """
+    side = float(pixels * (1 << zooms))
+    rad = F.radians(F.greatest(F.lit(-85.05), F.least(F.lit(85.05), F.col(lat))))
+    edge = lambda v: F.greatest(F.lit(0), F.least(F.lit(int(side) - 1), F.floor(v * side).cast("int")))
+    gx, gy = edge((F.col(lon) + 180) / 360), edge((1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / F.pi()) / 2)
+    deepest = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col("class_index").isNotNull())
+    counts = written(deepest.groupBy(gx.alias("gx"), gy.alias("gy"), "class_index").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("s")), "pixels")
+    up = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(zooms))).alias("up"))
+    shifted = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("up"))).cast("int")
+    merged = up.groupBy((zooms - F.col("up")).alias("z"), shifted("gx").alias("gx"), shifted("gy").alias("gy"), "class_index").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    best = merged.groupBy("z", "gx", "gy").agg(F.max_by(F.struct("class_index", "n", "s"), F.struct(F.col("n"), -F.col("class_index"))).alias("b"), F.sum("n").alias("all"))
+    confidence = F.col("b.s") / F.col("b.n")
+    blend = F.greatest(F.lit(BLEND_LEAST), F.least(F.lit(1.0), (confidence - BLEND_FROM) / BLEND_SPAN))
+    tile, pixel = (lambda c: F.floor(F.col(c) / pixels).cast("int")), (lambda c: (F.col(c) % pixels).cast("int"))
+    return best.select("z", tile("gx").alias("x"), tile("gy").alias("y"), pixel("gx").alias("px"), pixel("gy").alias("py"), F.col("all").alias("n"), "b.class_index", confidence.alias("confidence"), blend.alias("blend"))
 
 
 def ordered(cells: DataFrame) -> DataFrame:

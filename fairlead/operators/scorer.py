@@ -110,9 +110,9 @@ def save(network: Network, path: str) -> None:
     np.savez_compressed(path, **network.arrays())
 
 
-def score(table: DataFrame, network: Network, features: Sequence[str] = knn.FEATURES, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """The columns ``keep``, ``class_index`` (of equal ones the first), ``class_code, confidence`` and a ``p_`` column for
-    each class. A feature that is null, NaN or infinite counts as 0."""
+def score(table: DataFrame, network: Network, features: Sequence[str] = knn.FEATURES, keep: Sequence[str] = ("id",), code: str = "class_code") -> DataFrame:
+    """The columns ``keep``, ``class_index`` (of equal ones the first), its name as ``code``, ``confidence`` and a ``p_``
+    column for each class. A feature that is null, NaN or infinite counts as 0."""
     sent = table.sparkSession.sparkContext.broadcast(network)
     features, keep = list(features), list(keep)
     picked = table.select(*keep, *[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(features)])
@@ -131,7 +131,7 @@ def score(table: DataFrame, network: Network, features: Sequence[str] = knn.FEAT
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *made], [*keep, "class_index", "confidence", *PROBABILITIES])
 
     found = picked.mapInArrow(run, schema)
-    return found.withColumn("class_code", F.get(F.array(*map(F.lit, CLASSES)), "class_index"))
+    return found.withColumn(code, F.get(F.array(*map(F.lit, CLASSES)), "class_index"))
 
 
 def score_points(points: DataFrame, index: DataFrame, network: Network) -> DataFrame:

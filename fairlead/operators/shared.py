@@ -25,14 +25,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Folders written to the shared folder in this process and not released yet.
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    _written.append(f"{shared_dir(spark)}/fairlead/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame, name: str = "state") -> DataFrame:
-    """``df`` from a table in the shared folder. Runs at once: what calls this does its work when the query is built."""
+    """``df`` from a table in the shared folder. Runs at once: what calls this does its work when the query is built. What
+    is written stays until :func:`release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fairlead/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Remove the folders that operators have written (from the ``since``-th on), but those that ``keep`` reads; returns
+    how many are left. Results that were not written elsewhere can't be read any more."""
+    kept = keep.inputFiles() if keep is not None else []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _written[since:]:
+        if not any(path.split("://")[-1] in f for f in kept):
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            _written.remove(path)
+    return len(_written)
+
+
 #: Keys that may be broadcast: any number that holds at least this part of all rows each, so no more than this.
 HEAVY = 10_000
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.zones import CLASSES, WATER, class_index
 from fairlead.operators.cleaning import with_region
+from fairlead.operators.shared import written
 
 
 def _classes(spark) -> DataFrame:
@@ -21,19 +24,37 @@ def class_distribution(df: DataFrame) -> DataFrame:
     return full.crossJoin(F.broadcast(total)).select("class_code", "n", F.when(F.col("total") > 0, F.round(F.col("n") / F.col("total"), 6)).otherwise(F.lit(0.0)).alias("share"))
 
 
-def depth_by_class(df: DataFrame, measure: str = "noaa_depth") -> DataFrame:
-    """Count, mean, sample deviation and the 5th, 50th and 95th percentile (linear) of a measure by class.
+def percentiles(df: DataFrame, by: str, measure: str, shares: Sequence[float]) -> DataFrame:
+    """``by, p`` (array): exact percentiles of a measure, linear between neighbouring ranks; null and NaN don't count.
 
-    The percentiles are exact, so a task holds the different values of a class with their counts: measures in decimetres
-    have some hundred thousand.
+    Rows are first counted by value, and values are dealt by ranges, whose running counts give every value its ranks; so
+    a group of any number of rows and values is spread over the tasks.
     """
-    p = F.percentile(measure, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return (
-        df.where(F.col(measure).isNotNull())
-        .groupBy("class_code")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("std"), p.alias("p"))
-        .select("class_code", "n", *[F.round(c, 6).alias(a) for c, a in (("mean", "mean"), ("std", "std"))], *[F.round(F.col("p")[i], 6).alias(a) for i, a in enumerate(("p05", "p50", "p95"))])
-    )
+    known = df.where(F.col(measure).isNotNull() & ~F.isnan(F.col(measure).cast("double")))
+    values = known.groupBy(F.col(by).alias("g"), F.col(measure).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = written(values.repartitionByRange("g", "v").withColumn("r", F.spark_partition_id()), "values")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("r", "g").agg(F.sum("n").alias("n"))
+    starts = sums.select(F.col("r").alias("r_"), F.col("g").alias("g_"), F.coalesce(F.sum("n").over(upto(Window.partitionBy("g").orderBy("r"))), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("n").over(upto(Window.partitionBy("r", "g").orderBy("v"))), F.lit(0))
+    placed = dealt.withColumn("inner", inner).join(starts, (F.col("r") == F.col("r_")) & F.col("g").eqNullSafe(F.col("g_"))).select("g", "v", (F.col("before") + F.col("inner")).alias("first"), "n")
+    totals = sums.groupBy(F.col("g").alias("h")).agg(F.sum("n").alias("total"))
+    wanted = totals.select("h", F.posexplode(F.transform(F.array(*map(F.lit, shares)), lambda q: q * (F.col("total") - 1))).alias("k", "at"))
+    ranked = placed.join(wanted, F.col("g").eqNullSafe(F.col("h")))
+    holds = lambda rank: (F.col("first") <= rank) & (rank < F.col("first") + F.col("n"))
+    low, high = F.floor("at"), F.ceil("at")
+    found = ranked.where(holds(low) | holds(high)).groupBy("h", "k").agg(F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"), F.first("at").alias("at"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    return found.groupBy(F.col("h").alias(by)).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", value.alias("p")))), lambda x: x.p).alias("p"))
+
+
+def depth_by_class(df: DataFrame, measure: str = "noaa_depth") -> DataFrame:
+    """Count, mean, sample deviation and the 5th, 50th and 95th percentile (exact, linear) of a measure by class."""
+    known = df.where(F.col(measure).isNotNull())
+    sums = known.groupBy("class_code").agg(F.count(F.lit(1)).alias("n"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("std"))
+    p = percentiles(known, "class_code", measure, (0.05, 0.5, 0.95)).withColumnRenamed("class_code", "c")
+    both = sums.join(p, F.col("class_code").eqNullSafe(F.col("c")), "left")
+    return both.select("class_code", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std")], *[F.round(F.get("p", i), 6).alias(a) for i, a in enumerate(("p05", "p50", "p95"))])
 
 
 def overview(df: DataFrame, session: str = "user_id") -> DataFrame:
@@ -81,17 +102,15 @@ def summary(df: DataFrame, truth: str = "class_code", predicted: str = "predicte
 def roc_auc(df: DataFrame, positive, score: str) -> DataFrame:
     """One row ``n_pos, n_neg, auc``: the rank-sum statistic over distinct scores, ties counted half.
 
-    Rows are first counted by score, so a frequent score is one row and the window runs over scores only, in ranges.
+    Rows are first counted by score, so a frequent score is one row. Scores are dealt by ranges of their own, whatever
+    their scale, and running sums of the ranges come before those within each.
     """
-    by_score = df.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    # negatives below each score: a running sum within ranges of scores, and the ranges' own sums before it
-    # scores outside 0..1 go to the ranges at the ends, so there are 66 at most
-    ranges = by_score.withColumn("r", F.floor(F.greatest(F.lit(-1.0), F.least(F.col("s") * 64, F.lit(64.0)))))
-    before = ranges.groupBy("r").agg(F.sum("neg").alias("neg_r"))
+    by_score = written(df.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).where(F.col("s").isNotNull()).repartitionByRange("s").withColumn("r", F.spark_partition_id()), "scores")
+    before = by_score.groupBy("r").agg(F.sum("neg").alias("neg_r"))
     w = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = before.select("r", F.coalesce(F.sum("neg_r").over(w), F.lit(0)).alias("offset"))
     inner = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = ranges.withColumn("below", F.coalesce(F.sum("neg").over(inner), F.lit(0))).join(F.broadcast(offsets), "r")
+    below = by_score.withColumn("below", F.coalesce(F.sum("neg").over(inner), F.lit(0))).join(F.broadcast(offsets), "r")
     u = F.sum(F.col("pos") * (F.col("below") + F.col("offset") + F.col("neg") / 2.0))
     return below.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), u.alias("u")).select("n_pos", "n_neg", (F.col("u") / F.col("n_pos") / F.col("n_neg")).alias("auc"))
 

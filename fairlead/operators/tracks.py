@@ -121,6 +121,13 @@ def thinned(rows: DataFrame, most: int = TABLE_ROWS, keep_last: bool = True) ->
     return rows.withColumn("__n", n).withColumn("__i", i).where((F.col("__i") % step == 0) | (F.lit(keep_last) & (F.col("__i") == F.col("__n") - 1))).drop("__n", "__i")
 
 
+def reported_points(samples: DataFrame, most: int = REPORTED_POINTS) -> DataFrame:
+    """The land samples that a report shows: every ``ceil(n / most)``-th of a route's (``route_id, i``)."""
+    n, at = F.count(F.lit(1)).over(Window.partitionBy("route_id")), F.row_number().over(Window.partitionBy("route_id").orderBy("i")) - 1
+    step = F.greatest(F.lit(1), F.ceil(F.col("__n") / most))
+    return samples.withColumn("__n", n).withColumn("__at", at).where(F.col("__at") % step == 0).drop("__n", "__at")
+
+
 def great_circle_baseline(voyages: DataFrame, zone: Callable[[Column, Column], Column], points: int = 160) -> DataFrame:
     """``voyage_id, km, cost, land_points, interior_land`` and a count for each class along the great circle of
     ``lat1, lon1, lat2, lon2``. ``zone`` gives a class index from a latitude and a longitude; a segment weighs as its end

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from fairlead.operators import corridor, kernels, lattice, paths
+from fairlead.operators import audits, corridor, kernels, lattice, paths
 from fairlead.operators.shared import written
 from fairlead.plans import planner
 from fairlead.plans.point_queries import POINTS_SQL, km
@@ -161,6 +161,10 @@ def voyages(spark, d, cells):
 
 
 #: Least costs of the voyages to their goals by relaxation, from each end's nearest navigable cell.
+def least_sql(voyages="t"):
+    return _LEAST.replace(" t)", f" {voyages})").replace(" FROM t ", f" FROM {voyages} ").replace("JOIN t USING", f"JOIN {voyages} t USING")
+
+
 _LEAST = """,
 ends AS (SELECT voyage_id, lattice_id, 0 AS e, r0 AS r, c0 AS cc FROM t UNION ALL SELECT voyage_id, lattice_id, 1, r1, c1 FROM t),
 near AS (SELECT voyage_id, ends.lattice_id, e, c.row, c.col, row_number() OVER (PARTITION BY voyage_id, e ORDER BY greatest(abs(c.row-r), abs(c.col-cc)), (c.row-r)*(c.row-r)+(c.col-cc)*(c.col-cc), c.row-r, c.col-cc) AS n FROM ends JOIN c ON c.lattice_id=ends.lattice_id AND cost<1e6 AND abs(c.row-r)<=40 AND abs(c.col-cc)<=40),
@@ -171,7 +175,7 @@ v(voyage_id, row, col, value) USING KEY (voyage_id, row, col) AS (SELECT voyage_
 
 
 @query(
-    C_RECURSIVE + _E + _LEAST + " SELECT CAST(s.voyage_id AS BIGINT) AS voyage_id, method, CASE WHEN value IS NULL THEN 'no_path' ELSE 'found' END AS status, round(coalesce(value, 'Infinity'::DOUBLE), 4) AS cost FROM snap s JOIN snap g ON g.voyage_id=s.voyage_id AND g.e=1"
+    C_RECURSIVE + _E + least_sql() + " SELECT CAST(s.voyage_id AS BIGINT) AS voyage_id, method, CASE WHEN value IS NULL THEN 'no_path' ELSE 'found' END AS status, round(coalesce(value, 'Infinity'::DOUBLE), 4) AS cost FROM snap s JOIN snap g ON g.voyage_id=s.voyage_id AND g.e=1"
     " LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col, (VALUES ('astar'), ('dijkstra'), ('dynamic_programming')) x(method) WHERE s.e=0"
 )
 def path_least_costs(spark, d):
@@ -215,7 +219,7 @@ _DIRECT = km("a.lat", "a.lon", "b.lat", "b.lon")
 
 
 @query(
-    C_RECURSIVE + _E + _LEAST + f", w AS (SELECT s.voyage_id, value, {_DIRECT} AS direct FROM snap s JOIN snap g ON g.voyage_id=s.voyage_id AND g.e=1 LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col"
+    C_RECURSIVE + _E + least_sql() + f", w AS (SELECT s.voyage_id, value, {_DIRECT} AS direct FROM snap s JOIN snap g ON g.voyage_id=s.voyage_id AND g.e=1 LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col"
     " JOIN c a ON a.lattice_id=s.lattice_id AND a.row=s.row AND a.col=s.col JOIN c b ON b.lattice_id=g.lattice_id AND b.row=g.row AND b.col=g.col WHERE s.e=0)"
     " SELECT CAST(voyage_id AS BIGINT) AS voyage_id, CASE WHEN value IS NULL THEN 'no_path' ELSE 'found' END AS status, round(coalesce(value, 'Infinity'::DOUBLE), 4) AS cost, round(direct, 4) AS direct_km FROM w"
 )
@@ -224,14 +228,22 @@ def plan_voyages(spark, d):
     return planner.plan(costed(spark, d), fixtures.voyages(spark, d)).select("voyage_id", "status", F.round("cost", 4).alias("cost"), F.round("direct_km", 4).alias("direct_km"))
 
 
-@query()
+_VIA = f""", tv AS MATERIALIZED (SELECT voyage_id*10 AS voyage_id, lattice_id, r0, c0, voyage_id%{ROWS} AS r1, {COLS // 2} AS c1 FROM t UNION ALL SELECT voyage_id*10+1, lattice_id, voyage_id%{ROWS}, {COLS // 2}, r1, c1 FROM t)"""
+
+
+@query(
+    C_RECURSIVE + _E + _VIA + least_sql("tv") + ", w AS (SELECT s.voyage_id//10 AS route_id, s.voyage_id%10 AS leg, value FROM snap s LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col WHERE s.e=0),"
+    " x AS (SELECT a.route_id, a.value AS one, b.value AS two FROM w a JOIN w b ON a.route_id=b.route_id AND a.leg=0 AND b.leg=1)"
+    " SELECT CAST(route_id AS BIGINT) AS route_id, 2::BIGINT AS legs, CASE WHEN one IS NULL THEN 0 WHEN two IS NULL THEN 1 ELSE 2 END::BIGINT AS legs_done, one IS NOT NULL AND two IS NOT NULL AS feasible, round(one+CASE WHEN one IS NULL THEN NULL ELSE coalesce(two, 0) END, 3) AS cost FROM x"
+)
 def plan_via_points(spark, d):
     """The supplier's voyage over the middle of its lattice."""
     v = fixtures.voyages(spark, d)
     over = ((F.col("start_row"), F.col("start_col")), (F.col("voyage_id") % fixtures.ROWS, F.lit(fixtures.COLS // 2)), (F.col("goal_row"), F.col("goal_col")))
     stops = F.array(*[F.struct(F.lit(i).alias("seq"), r.cast("int").alias("row"), c.cast("int").alias("col")) for i, (r, c) in enumerate(over)])
     rows = v.select("voyage_id", "lattice_id", F.explode(stops).alias("s")).select("voyage_id", "lattice_id", "s.*")
-    return planner.plan_via(costed(spark, d), rows).withColumn("km", F.round("km", 4)).withColumn("cost", F.round("cost", 4))
+    summary, _ = planner.plan_via(costed(spark, d), rows)
+    return summary.select("route_id", "legs", "legs_done", "feasible", F.round("cost", 3).alias("cost"))
 
 
 @query()
@@ -250,7 +262,7 @@ def plan_compare_methods(spark, d):
 
 @query()
 def plan_two_levels(spark, d):
-    """Suppliers' voyages with the coast guard, refined in corridors where they still cross land."""
+    """Suppliers' voyages, refined in corridors where they cross land; no cells are blocked before that."""
     raster = written(fixtures.zone_raster(spark, d), "zones")
     at = lambda x: F.rint(F.col(x) / fixtures.RESOLUTION).cast("int")
 
@@ -258,7 +270,8 @@ def plan_two_levels(spark, d):
         found = cells.withColumn("y", at("lat")).withColumn("x", at("lon")).join(raster, ["y", "x"], "left").drop("y", "x")
         return found.withColumn("class_index", F.coalesce("class_index", F.lit(0))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
 
-    best, _ = planner.plan_refined(fixtures.lattices(spark, d), fixtures.ports(spark, d), classify, land(spark, d), planner.Parameters())
+    p = planner.Parameters(coast_rounds=0, mask_share=0.5)
+    best, _ = planner.plan_refined(fixtures.lattices(spark, d), fixtures.ports(spark, d), classify, land(spark, d), p)
     return best.select("voyage_id", "status", F.round("cost", 4).alias("cost"), "verdict", F.round("longest_km", 4).alias("longest_km"), "level", "resolution", "cells")
 
 
@@ -290,3 +303,51 @@ def mask_points(spark, d):
 def mask_tiles(spark, d):
     """Land by tile of the mask."""
     return land(spark, d).land_share().withColumn("share", F.round("share", 9))
+
+
+@query(
+    f"WITH {POINTS_SQL}, {LATTICES_SQL}, s AS (SELECT id, floor((latitude+dy+90)*{PER_DEGREE}) AS y, CAST(floor((longitude+dx+180)*{PER_DEGREE}) AS BIGINT)%(360*{PER_DEGREE}) AS x FROM p, (VALUES (0.0,0.0),(0.03,0.0),(-0.03,0.0),(0.0,0.03),(0.0,-0.03)) o(dy,dx)),"
+    " dry AS (SELECT DISTINCT id FROM s JOIN lm ON s.y=lm.y AND (s.x+2880)%2880=lm.x) SELECT id FROM p ANTI JOIN dry USING (id)"
+)
+def audit_clear_water(spark, d):
+    """Points without land at their place and around it."""
+    return audits.clear_water(fixtures.points(spark, d), land(spark, d)).select("id")
+
+
+@query()
+def audit_draw(spark, d):
+    """A hundred voyages between water points of the regions."""
+    v = audits.draw_voyages(fixtures.points(spark, d), land(spark, d))
+    return v.select("voyage_id", "region", "start_id", "goal_id", F.round("km", 4).alias("km"))
+
+
+_RASTER = f"""q AS (SELECT voyage_id, south+r0*{RESOLUTION} AS a, west+c0*{RESOLUTION} AS b, south+r1*{RESOLUTION} AS y, west+c1*{RESOLUTION} AS x FROM t JOIN l USING (lattice_id)),
+bx AS (SELECT *, least(a, y)-1.0 AS so_, least(b, x)-1.0 AS we_, CAST(ceil((greatest(a, y)-least(a, y)+2.0)/0.125) AS INT)+1 AS nr, CAST(ceil((greatest(b, x)-least(b, x)+2.0)/0.125) AS INT)+1 AS nc FROM q),
+ra AS (SELECT voyage_id, r, c, so_+r*0.125 AS lat, we_+c*0.125 AS lon FROM bx, range(0, 100) m(r), range(0, 130) n(c) WHERE r<nr AND c<nc),
+wet AS MATERIALIZED (SELECT voyage_id, r, c, r*1000+c AS node FROM ra ANTI JOIN lm ON least(floor((greatest(-90, least(90, lat))+90)*{PER_DEGREE}), 180*{PER_DEGREE}-1)=lm.y AND CAST(floor((((lon+180)%360+360)%360)*{PER_DEGREE}) AS BIGINT)=lm.x),
+ed AS MATERIALIZED (SELECT a.voyage_id, a.node, b.node AS other FROM wet a JOIN wet b ON a.voyage_id=b.voyage_id AND ((a.r=b.r AND abs(a.c-b.c)=1) OR (a.c=b.c AND abs(a.r-b.r)=1))),
+se AS (SELECT voyage_id, CAST(round_even((a-so_)/0.125, 0) AS BIGINT)*1000+CAST(round_even((b-we_)/0.125, 0) AS BIGINT) AS s, CAST(round_even((y-so_)/0.125, 0) AS BIGINT)*1000+CAST(round_even((x-we_)/0.125, 0) AS BIGINT) AS g FROM bx),
+reach(voyage_id, node) AS (SELECT voyage_id, node FROM wet JOIN se USING (voyage_id) WHERE node=s UNION SELECT ed.voyage_id, ed.other FROM reach JOIN ed ON ed.voyage_id=reach.voyage_id AND ed.node=reach.node)"""
+
+
+@query(f"WITH RECURSIVE {POINTS_SQL}, {LATTICES_SQL}, {_RASTER} SELECT voyage_id, EXISTS (SELECT 1 FROM reach WHERE reach.voyage_id=se.voyage_id AND reach.node=se.g) AS connected FROM se")
+def audit_sea_connected(spark, d):
+    """Whether water joins the ports of each supplier's voyage, on a raster of the mask's cells."""
+    return audits.sea_connected(fixtures.ports(spark, d), land(spark, d), 0.125, 1.0)
+
+
+_PYRAMID = " UNION ALL ".join(
+    f"SELECT {z} AS z, gx//{32 * 2 ** (10 - z)} AS x, gy//{32 * 2 ** (10 - z)} AS y, (gx//{2 ** (10 - z)})%32 AS px, (gy//{2 ** (10 - z)})%32 AS py, class_index, count(*) AS n, sum(score) AS s FROM m GROUP BY ALL" for z in range(11)
+)
+
+
+@query(
+    f"WITH {POINTS_SQL}, m AS (SELECT id%4 AS class_index, score, greatest(0, least(32767, CAST(floor((longitude+180)/360*32768.0) AS INT))) AS gx, greatest(0, least(32767, CAST(floor((1-ln(tan(radians(greatest(-85.05, least(85.05, latitude))))+1/cos(radians(greatest(-85.05, least(85.05, latitude)))))/pi())/2*32768.0) AS INT))) AS gy FROM p),"
+    f" a AS ({_PYRAMID}), r AS (SELECT *, sum(n) OVER w AS total, row_number() OVER (w ORDER BY n DESC, class_index) AS k FROM a WINDOW w AS (PARTITION BY z, x, y, px, py))"
+    " SELECT z, x, y, px, py, CAST(total AS BIGINT) AS n, CAST(class_index AS INT) AS class_index, round(s/n, 6) AS confidence, round(greatest(0.25, least(1.0, (s/n-0.45)/0.45)), 6) AS blend FROM r WHERE k=1"
+)
+def grid_pyramid(spark, d):
+    """Pixels of the tiles of zooms 0 to 10 that events fall into."""
+    p = fixtures.points(spark, d).withColumn("class_index", (F.col("id") % 4).cast("int")).withColumn("confidence", F.col("score"))
+    found = lattice.pyramid(p, lat="latitude", lon="longitude")
+    return found.withColumn("confidence", F.round("confidence", 6)).withColumn("blend", F.round("blend", 6))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import geo
 from fairlead.functions.zones import CLASSES, OBJECTS, REGIONS, any_conflict, class_index, conflict, region, zone_title, zone_weight
-from fairlead.operators import cleaning, knn, stats, tracks
+from fairlead.operators import cleaning, knn, scorer, stats, tracks
+from fairlead.operators.shared import new_folder
 from fairlead.plans.registry import query
 from fairlead.sources import fixtures, points
 from fairlead.sources.fixtures import POINTS_SQL
@@ -336,6 +337,53 @@ def features_all(spark, d):
     return knn.features(p, knn.reference_index(p))
 
 
+@query(_NEAR.format(k=8) + "SELECT q_id, r_id, round(km, 6) AS km, CAST(rank AS INT) AS rank FROM c")
+def knn_stored_index(spark, d):
+    """As ``knn_context``, from an index that was written by tile and loaded again."""
+    p = fixtures.points(spark, d)
+    path = new_folder(spark, "knn-index")
+    knn.save_index(knn.reference_index(p), path)
+    return knn.context(p, knn.load_index(spark, path)).select("q_id", "r_id", F.round("km", 6).alias("km"), "rank")
+
+
+_OWN = {
+    "lat_sin": "sin(radians(latitude))", "lat_cos": "cos(radians(latitude))", "lon_sin": "sin(radians(longitude))", "abs_lat_norm": "abs(latitude)/90.0", "depth_is_missing": "CAST(noaa_depth IS NULL AS INT)",
+    "is_height_sample": "CAST(noaa_type='height' AS INT)", "elevation_is_missing": "CAST(elevation IS NULL AS INT)", "osm_marine_infra": f"ln(1+{_LOGS['marine']})", "osm_inland_water": f"ln(1+{_LOGS['inland']})",
+}
+_OWN_SQL = f"""o AS (SELECT id, class_code, {', '.join(f'({v})::DOUBLE AS f{i}' for i, v in enumerate(_OWN.values()))} FROM p),
+ms AS (SELECT {', '.join(f'avg(f{i}) AS m{i}, CASE WHEN stddev_pop(f{i})>0 THEN stddev_pop(f{i}) ELSE 1.0 END AS s{i}' for i in range(len(_OWN)))} FROM o),
+zs AS (SELECT id, class_code, {', '.join(f'(f{i}-m{i})/s{i} AS z{i}' for i in range(len(_OWN)))} FROM o, ms),
+ce AS (SELECT class_code AS code, {', '.join(f'avg(z{i}) AS c{i}' for i in range(len(_OWN)))} FROM zs GROUP BY 1),
+lo AS (SELECT id, class_code, code, {'+'.join(f'z{i}*c{i}' for i in range(len(_OWN)))}-({'+'.join(f'c{i}*c{i}' for i in range(len(_OWN)))})/2 AS z FROM zs, ce),
+pr AS (SELECT id, class_code, code, exp(z)/sum(exp(z)) OVER (PARTITION BY id) AS p FROM lo),
+wide AS (SELECT id, any_value(class_code) AS truth, max(p) FILTER (code='OPEN_SEA') AS p_open_sea, max(p) FILTER (code='COASTAL_SEA') AS p_coastal_sea, max(p) FILTER (code='NEAR_COAST') AS p_near_coast, max(p) FILTER (code='COASTLINE') AS p_coastline FROM pr GROUP BY 1)"""
+
+
+def scored(spark, d):
+    """Probabilities of every event by the nearest mean of its own features, a network in closed form."""
+    made = knn.own_features()
+    table = fixtures.points(spark, d).select("id", "class_code", *[made[n].alias(n) for n in _OWN])
+    return scorer.score(table, scorer.centroid_network(table, "class_code", list(_OWN)), list(_OWN), ("id", "class_code"), "predicted").withColumnRenamed("class_code", "truth")
+
+
+@query(P + ", " + _OWN_SQL + " SELECT id, " + ", ".join(f"round(p_{c.lower()}, 6) AS p_{c.lower()}" for c in CLASSES) + ", round(greatest(" + ", ".join(f"p_{c.lower()}" for c in CLASSES) + "), 6) AS confidence FROM wide")
+def score_probabilities(spark, d):
+    """Class probabilities and confidence of every event."""
+    return scored(spark, d).select("id", *[F.round(c, 6).alias(c) for c in (*scorer.PROBABILITIES, "confidence")])
+
+
+_AUC = " UNION ALL ".join(
+    f"SELECT '{c}' AS class_code, round((sum(rk) FILTER (truth='{c}')-count(*) FILTER (truth='{c}')*(count(*) FILTER (truth='{c}')+1)/2.0)/(count(*) FILTER (truth='{c}')*count(*) FILTER (truth<>'{c}')), 4) AS auc"
+    f" FROM (SELECT truth, rank() OVER (ORDER BY p_{c.lower()})+(count(*) OVER (PARTITION BY p_{c.lower()})-1)/2.0 AS rk FROM wide)" for c in CLASSES
+)
+
+
+@query(P + ", " + _OWN_SQL + " " + _AUC)
+def score_macro_auc(spark, d):
+    """Each class against the rest, by its probability."""
+    return scorer.macro_auc(scored(spark, d), "truth").withColumn("auc", F.round("auc", 4))
+
+
 @query()
 def features_coordinates(spark, d):
     """The 28 features of bare second positions."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.geo import finite
 from fairlead.functions.zones import CLASSES
+from fairlead.operators.tracks import waypoint_table
 
 # The byte-order mark, the columns of a route's file, and the cost from which a cell is land.
 BOM = "\ufeff"
@@ -31,8 +32,10 @@ def route_geojson(track: DataFrame) -> DataFrame:
 
 
 def points_geojson(points: DataFrame) -> DataFrame:
-    """A feature a row: ``id, feature``, with ``p_<class>`` where there are probabilities (``probabilities`` array)."""
-    props = [F.col("class_code")] + ([F.get("probabilities", i).alias(f"p_{c.lower()}") for i, c in enumerate(CLASSES)] if "probabilities" in points.columns else [])
+    """A feature a row: ``id, feature``, with ``p_<class>`` where there are probabilities (columns
+    of that name, or the array ``probabilities``)."""
+    named = [f"p_{c.lower()}" for c in CLASSES]
+    props = [F.col("class_code")] + (named if set(named) <= set(points.columns) else [F.get("probabilities", i).alias(f"p_{c.lower()}") for i, c in enumerate(CLASSES)] if "probabilities" in points.columns else [])
     geometry = F.struct(F.lit("Point").alias("type"), _position("latitude", "longitude").alias("coordinates"))
     return points.select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*props).alias("properties"))).alias("feature"))
 
@@ -91,6 +94,47 @@ def result_document(plan: DataFrame) -> DataFrame:
     return plan.select(result_name("method", "status").alias("name"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def comparison_document(compared: DataFrame, voyages: DataFrame, seconds: float) -> DataFrame:
+    """``name, document`` of a comparison of methods: a file for each voyage (``voyage_id, lat1, lon1, lat2, lon2``) with
+    the results of all methods (``voyage_id, method, ...``) in one list."""
+    fields = [c for c in compared.columns if c != "voyage_id"]
+    kinds = dict(compared.dtypes)
+    clean = F.struct(*[(finite(c) if kinds[c] in ("double", "float") else F.col(c)).alias(c) for c in fields])
+    listed = compared.groupBy("voyage_id").agg(F.sort_array(F.collect_list(F.struct("method", clean.alias("r")))).alias("l"), F.count(F.lit(1)).alias("n"))  # a row a method
+    both = voyages.join(listed, "voyage_id")
+    name = F.concat(F.lit("compare_"), coordinate_tag("lat1", "lon1"), F.lit("_"), coordinate_tag("lat2", "lon2"), F.lit("_"), F.col("n").cast("string"), F.lit(f"-methods_{seconds:.2f}s"))
+    document = F.to_json(F.struct(F.array("lat1", "lon1").alias("start"), F.array("lat2", "lon2").alias("end"), F.transform("l", lambda x: x.r).alias("results"), F.lit(round(seconds, 3)).alias("total_seconds")), {"ignoreNullFields": "false"})
+    return both.select("voyage_id", name.alias("name"), document.alias("document"))
+
+
+def unique_names(named: DataFrame, key: str, taken: DataFrame | None = None) -> DataFrame:
+    """``named`` whose equal ``name``s get ``-2``, ``-3`` and so on, in order of ``key``; names of ``taken`` count first."""
+    w = Window.partitionBy("name").orderBy(key)
+    at = F.row_number().over(w)
+    if taken is not None:
+        base = F.regexp_replace("name", r"-\d+$", "")
+        have = taken.select(base.alias("__name")).groupBy("__name").agg(F.count(F.lit(1)).alias("__have"))
+        named = named.join(have, F.col("name") == F.col("__name"), "left").drop("__name")
+        at = at + F.coalesce("__have", F.lit(0))
+    numbered = named.withColumn("__at", at)
+    return numbered.withColumn("name", F.when(F.col("__at") > 1, F.concat_ws("-", "name", "__at")).otherwise(F.col("name"))).drop("__at", "__have")
+
+
+def export_all(track: DataFrame, path: str, points: DataFrame | None = None, algorithm: str = "") -> dict[str, str]:
+    """Writes routes as GeoJSON and CSV, and classified points as both, each in a folder of ``path``; returns the folders.
+
+    ``track``: ``route_id, seq, lat, lon, class_code, cost``. A line of a GeoJSON file is a route's document.
+    """
+    folders = {"geojson": f"{path}/geojson", "csv": f"{path}/csv"}
+    write_lines(route_geojson(track), "geojson", folders["geojson"])
+    write_route_csv(route_csv(waypoint_table(track), algorithm), folders["csv"])
+    if points is not None:
+        folders |= {"points_geojson": f"{path}/points_geojson", "points_csv": f"{path}/points_csv"}
+        write_lines(points_geojson(points), "feature", folders["points_geojson"])
+        write_lines(points_csv(points), "line", folders["points_csv"])
+    return folders
+
+
 def read_results(spark, path: str) -> DataFrame:
     """Results newest first; names other than of letters, digits and ``_ . -`` are refused."""
     found = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("document"))
