@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,19 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
     return len(_written)
 
 
+def released(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, which then removes what it wrote to the shared folder on the way, but for what its result reads."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = release(spark, since=sys.maxsize)
+        found = query(spark, sf_dir)
+        release(spark, since=before, keep=found)
+        return found
+
+    return run
+
+
 #: Keys that may be broadcast: any number that holds at least this part of all rows each, so no more than this.
 HEAVY = 10_000
 

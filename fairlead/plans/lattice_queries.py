@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fairlead.functions.geo import haversine_km
 from fairlead.operators import audits, corridor, kernels, lattice, paths
 from fairlead.operators.shared import written
 from fairlead.plans import planner
@@ -192,14 +194,22 @@ def _search(spark, d, method):
     return found.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), "nodes", F.size("path").alias("cells"))
 
 
-@query()
+def _least_by(method):
+    """The least cost of each voyage, which any exact method finds; which of equally cheap routes it takes differs."""
+    return (
+        C_RECURSIVE + _E + least_sql() + f" SELECT CAST(s.voyage_id AS BIGINT) AS voyage_id, '{method}' AS method, CASE WHEN value IS NULL THEN 'no_path' ELSE 'found' END AS status, round(coalesce(value, 'Infinity'::DOUBLE), 4) AS cost"
+        " FROM snap s LEFT JOIN v ON v.voyage_id=s.voyage_id AND v.row=s.row AND v.col=s.col WHERE s.e=0"
+    )
+
+
+@query(_least_by("astar"))
 def path_astar(spark, d):
-    return _search(spark, d, "astar")
+    return _search(spark, d, "astar").select("voyage_id", "method", "status", "cost")
 
 
-@query()
+@query(_least_by("dijkstra"))
 def path_dijkstra(spark, d):
-    return _search(spark, d, "dijkstra")
+    return _search(spark, d, "dijkstra").select("voyage_id", "method", "status", "cost")
 
 
 @query()
@@ -207,12 +217,18 @@ def path_genetic(spark, d):
     return _search(spark, d, "genetic")
 
 
-@query()
+@query(_least_by("dynamic_programming"))
 def path_greedy_route(spark, d):
-    """Routes along the best moves of a finished value table."""
+    """Routes along the best moves of a finished value table: the sum of the moves that each takes."""
     cells = costed(spark, d)
-    found = planner.search(cells, voyages(spark, d, cells), planner.Parameters(method="dynamic_programming"))
-    return found.select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("km", 4).alias("km"), F.size("path").alias("cells"))
+    asked = voyages(spark, d, cells)
+    found = planner.search(cells, asked, planner.Parameters(method="dynamic_programming"))
+    points = planner.route_points(found, asked, cells)
+    by = Window.partitionBy("route_id").orderBy("seq")
+    step = haversine_km(F.lag("lat").over(by), F.lag("lon").over(by), "lat", "lon") * (F.lag("cost").over(by) + F.col("cost")) / 2
+    taken = points.withColumn("step", step).groupBy(F.col("route_id").alias("voyage_id")).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("sum"))
+    both = found.select("voyage_id", "method", "status").join(taken, "voyage_id", "left")
+    return both.select("voyage_id", "method", "status", F.round(F.coalesce("sum", F.lit(float("inf"))), 4).alias("cost"))
 
 
 _DIRECT = km("a.lat", "a.lon", "b.lat", "b.lon")

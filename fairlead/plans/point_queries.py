@@ -102,11 +102,16 @@ def geo_eta_detour(spark, d):
     return fixtures.points(spark, d).select("id", F.round(geo.eta_hours(k, F.col("id") % 25), 6).alias("hours"), F.round(geo.detour_ratio(k * 1.25, k), 9).alias("detour"))
 
 
-@query("WITH t AS (SELECT x, y FROM range(16) a(x), range(16) b(y)) SELECT x, y, round(degrees(atan(sinh(3.141592653589793*(1-2*(y+1)/16.0)))), 9) + 0.0 AS south, x/16.0*360-180 AS west, round(degrees(atan(sinh(3.141592653589793*(1-2*y/16.0)))), 9) + 0.0 AS north, (x+1)/16.0*360-180 AS east FROM t")
+@query(
+    P + ", t AS (SELECT id, floor((longitude+180)/360*256.0) AS x, floor((1-ln(tan(radians(latitude))+1/cos(radians(latitude)))/pi())/2*256.0) AS y FROM p) SELECT id, round(degrees(atan(sinh(3.141592653589793*(1-2*(y+1)/256.0)))), 9) + 0.0 AS south, x/256.0*360-180 AS west,"
+    " round(degrees(atan(sinh(3.141592653589793*(1-2*y/256.0)))), 9) + 0.0 AS north, (x+1)/256.0*360-180 AS east FROM t"
+)
 def geo_tile_bounds(spark, d):
-    t = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
-    b = t.select("x", "y", geo.tile_bounds(F.lit(4), "x", "y").alias("b"))
-    return b.select("x", "y", (F.round("b.south", 9) + 0.0).alias("south"), "b.west", (F.round("b.north", 9) + 0.0).alias("north"), "b.east")
+    """The bounds of the tile of zoom 8 that each event lies in."""
+    rad = F.radians("latitude")
+    x, y = F.floor((F.col("longitude") + 180) / 360 * 256.0), F.floor((1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / F.pi()) / 2 * 256.0)
+    b = fixtures.points(spark, d).select("id", geo.tile_bounds(F.lit(8), x.cast("double"), y.cast("double")).alias("b"))
+    return b.select("id", (F.round("b.south", 9) + 0.0).alias("south"), "b.west", (F.round("b.north", 9) + 0.0).alias("north"), "b.east")
 
 
 @query(
@@ -384,7 +389,18 @@ def score_macro_auc(spark, d):
     return scorer.macro_auc(scored(spark, d), "truth").withColumn("auc", F.round("auc", 4))
 
 
-@query()
+_BARE = P + f""", q AS (SELECT id, latitude, longitude, coalesce(noaa_depth, elevation) AS depth, coalesce(elevation, noaa_depth) AS height, {', '.join(OBJECTS)} FROM p),
+u AS (SELECT id, lat2 AS latitude, lon2 AS longitude FROM p),
+n AS (SELECT a.id AS q_id, unnest(list_transform(min(row(round({km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 9), b.id), 9), lambda x, i: {{'km': x[1], 'r_id': x[2], 'rank': i}})) AS s FROM u a, q b GROUP BY a.id),
+w AS (SELECT q_id, s.km AS km, s.r_id AS r_id, s.rank AS rk FROM n),
+o AS (SELECT *, max(CASE WHEN rk=1 THEN km<=0.002 END) OVER (PARTITION BY q_id) AS own FROM w),
+c AS (SELECT q_id, r_id, km, rk - CAST(own AS INT) AS rank FROM o WHERE rk - CAST(own AS INT) BETWEEN 1 AND 8),
+m4 AS (SELECT q_id, sum(depth*(1/pow(greatest(km, 1e-3), 2)))/sum(1/pow(greatest(km, 1e-3), 2)) AS noaa_depth, sum(height*(1/pow(greatest(km, 1e-3), 2)))/sum(1/pow(greatest(km, 1e-3), 2)) AS elevation, {', '.join(f'arg_min({c}, rank) AS {c}' for c in OBJECTS)} FROM c JOIN q ON r_id=id WHERE rank<=4 GROUP BY q_id),
+f AS (SELECT id, latitude, longitude, noaa_depth, elevation, CASE WHEN noaa_depth>0 THEN 'height' ELSE 'depth' END AS noaa_type, {', '.join(OBJECTS)} FROM u JOIN m4 ON id=q_id),
+x AS (SELECT q_id, avg(depth) AS m, stddev_pop(depth) AS s, min(depth) AS lo, max(depth) AS hi, avg(CAST(depth>0 AS INT)) AS land, min(km) AS near, avg(km) AS span, avg({_ALL}) AS obj, avg({_LOGS['marine']}) AS marine, avg({_LOGS['natural']}) AS natural_, avg({_LOGS['inland']}) AS inland FROM c JOIN q ON r_id=id GROUP BY q_id)"""
+
+
+@query(_BARE + " SELECT id, " + ", ".join(f"CAST(({v})::DOUBLE AS FLOAT) AS {n}" for n, v in _FEATURES.items()) + " FROM f p JOIN x ON id=q_id")
 def features_coordinates(spark, d):
     """The 28 features of bare second positions."""
     p = fixtures.points(spark, d)

@@ -64,7 +64,15 @@ def audit_summary(spark, d):
     return tracks.audit_summary(judged, "fleet").withColumn("mean_land_km", F.round("mean_land_km", 4))
 
 
-@query()
+_ENDS = f"""SELECT * FROM runs),
+kp AS (SELECT route_id, min(i) FILTER (dist>=500 AND dist<=total-500) AS i0, max(i) FILTER (dist>=500 AND dist<=total-500) AS i1, min(dist) FILTER (dist>=500 AND dist<=total-500) AS d0, max(dist) FILTER (dist>=500 AND dist<=total-500) AS d1, any_value(total) AS total FROM m GROUP BY 1),
+qy AS (SELECT m.route_id, bool_or(i=i0-1 AND land) AS q0, bool_or(i=i1+1 AND land) AS q1 FROM m JOIN kp USING (route_id) GROUP BY 1),
+lg AS (SELECT route_id, arg_min(km, seq) AS first_km, arg_max(km, seq) AS last_km FROM (SELECT route_id, seq, {km('lat', 'lon', 'nla', 'nlo')} AS km FROM t WHERE nla IS NOT NULL) GROUP BY 1)
+SELECT route_id, CAST(run AS BIGINT) AS run, round(length_km, 2) AS length_km, (q0 AND start_km<=d0+1e-6 AND start_km+length_km<=greatest(least(first_km, 6500.0), 500.0)+100) OR (q1 AND start_km+length_km>=d1-100-1e-6 AND start_km>=total-greatest(least(last_km, 6500.0), 500.0)-100) AS approach
+FROM u_ JOIN kp USING (route_id) JOIN qy USING (route_id) JOIN lg USING (route_id)"""
+
+
+@query(_SAMPLES + ", u_ AS (" + _ENDS)
 def audit_approaches(spark, d):
     """Land runs with the flag of port approaches."""
     from pyspark.sql import Window
