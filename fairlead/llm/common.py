@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, Arrow batches, tokens and hashes.
+"""What the operators of this subpackage share: Arrow batches, running sums, tokens and hashes.
 
 Conventions that hold for every operator here:
 
@@ -11,59 +11,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests; a cluster needs one of its own.
-LOCAL_SHARED = "/tmp/checkpoints/fairlead"
+from fairlead.operators.shared import new_folder, release  # noqa: F401  the operators here take them from this module
+from fairlead.operators.shared import written as materialize
+
 #: Rows in an Arrow batch. Documents can be long, so a batch is kept well below Spark's default.
 BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (found or LOCAL_SHARED).rstrip("/")
-
-
-#: Folders written to the shared folder in this process and not released yet.
-_written: list[str] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    _written.append(f"{shared_dir(spark)}/fairlead/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps don't compute it again, and it
-    outlives any executor. Column names in ``df`` must be distinct. Runs at once: an operator that calls this does its
-    work when its query is built. What is written stays until :func:`release`."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Remove the folders that operators have written (from the ``since``-th on), but those that ``keep`` reads; returns
-    how many are left. Results that were not written elsewhere can't be read any more."""
-    kept = keep.inputFiles() if keep is not None else []
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _written[since:]:
-        if not any(path.split("://")[-1] in f for f in kept):
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
-            _written.remove(path)
-    return len(_written)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows and bytes of an Arrow batch, and so the memory of a Python worker; a row beyond comes alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

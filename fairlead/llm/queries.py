@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.llm import audit, chat, codes, decontaminate, html, jaccard, langid, lines, mixing, packing, quality, warc
 from fairlead.llm.common import table
+from fairlead.operators.shared import released
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_main_text, op2_quality_rules, op3_packed_matrix, op4_language, op5_line_dedup, op6_min_slack, op7_chat_windows, op8_decontaminate, op9_warc, op10_near_duplicates, op11_source_mix, op12_vector_codes, op13_filter_audit, pipeline)
-    return {f.__name__: f for f in found}
+    # a data source of its own reads op9's archives, so they stay; the pipeline releases by stage
+    return {f.__name__: f if f in (op9_warc, pipeline) else released(f) for f in found}
 
 
 OP2_SQL = r"""
