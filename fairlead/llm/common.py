@@ -102,37 +102,41 @@ class WordTokens:
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _add(self, piece: str, ids) -> None:
+    def _add(self, pieces: list[str], ids, cuts) -> None:
+        """Pieces with their ids, one after another; piece ``i`` has those from ``cuts[i]`` to ``cuts[i + 1]``."""
         import numpy as np
 
-        k, n = len(self.at), len(ids)
-        if k == len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-        if self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + n))
-        self.flat[self.used : self.used + n] = ids
-        self.start[k], self.length[k] = self.used, n
-        self.used += n
-        self.at[piece] = k
+        k, n, m = len(self.at), len(pieces), len(ids)
+        while k + n > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + m] = ids
+        self.start[k : k + n], self.length[k : k + n] = self.used + cuts[:-1], np.diff(cuts)
+        self.used += m
+        self.at.update(zip(pieces, range(k, k + n), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
         import numpy as np
 
+        def one_by_one(some: list[str]) -> None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            cuts = np.cumsum([0, *map(len, found)])
+            self._add(some, np.fromiter((i for e in found for i in e), np.uint32, cuts[-1]), cuts)
+
         # Letters only: one word each, so the ids of many at once fall apart at the word ends.
         words = [p for p in pieces if p.isalpha()]
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                    self._add(p, ids[a:b])
+            cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            if len(cuts) == len(some) + 1:
+                self._add(some, ids, cuts)
             else:
-                for p in some:
-                    self._add(p, self.tokenizer.encode(p, add_special_tokens=False).ids)
+                one_by_one(some)
         others = [p for p in pieces if not p.isalpha()]
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self._add(p, e.ids)
+        for i in range(0, len(others), 5000):
+            one_by_one(others[i : i + 5000])
 
     @staticmethod
     def spaced(text: str) -> str | None:
@@ -142,14 +146,20 @@ class WordTokens:
         white space or another one, each comma or stop is a pre-token of its own and case is dropped. That is asked of
         the lower-cased text, as the tokenizer splits that.
         """
-        if _ODD_SPACE.search(text):
-            return None
         # lower-cased first: a letter may become a letter and a mark, and a mark joins the comma or stop behind it
         lower = text.lower()
-        letters = lower.replace(",", "").replace(".", "").replace(" ", "").replace("\n", "")
-        plain = letters.isalnum() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)  # the final sigma depends on what follows
-        if plain and text[0] not in ",." and not any(x in text for x in _APART):
-            return lower.replace(",", " , ").replace(".", " . ").replace("\n", " ")
+        raw = lower.encode("utf-8", "surrogatepass")
+        letters = raw.translate(None, b" \n,.")
+        if text.isascii():
+            plain = letters.isalnum()
+        else:  # the final sigma depends on what follows
+            plain = letters.decode("utf-8", "surrogatepass").isalnum() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
+        if plain and text[0] not in ",.":
+            kinds = raw.translate(_KINDS)
+            if b" ," not in kinds and b",," not in kinds:
+                return lower.replace(",", " , ").replace(".", " . ").replace("\n", " ")
+        if _ODD_SPACE.search(text):
+            return None
         return " ".join(text.split())
 
     def encode(self, texts: list[str | None]):
@@ -169,8 +179,11 @@ class WordTokens:
         split = pc.split_pattern(pa.array([t or "" for t in spaced], pa.large_string()), " ")
         coded = split.values.dictionary_encode()
         pieces, at = coded.dictionary.to_pylist(), self.at
-        self._learn([p for p in pieces if p not in at])
-        which = np.array([at[p] for p in pieces], np.int64)[coded.indices.to_numpy()]
+        place = list(map(at.get, pieces))
+        if None in place:
+            self._learn([p for p, k in zip(pieces, place, strict=True) if k is None])
+            place = list(map(at.get, pieces))
+        which = np.array(place, np.int64)[coded.indices.to_numpy()]
         lengths, starts = self.length[which], self.start[which]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
@@ -182,8 +195,8 @@ class WordTokens:
         return ids, offsets
 
 
-#: A comma or stop that doesn't follow a letter or digit.
-_APART = [a + b for a in " \n,." for b in ",."]
+#: White space as a blank, commas and stops as a comma, all else as a letter.
+_KINDS = bytes(32 if c in b" \n" else 44 if c in b",." else 97 for c in range(256))
 #: What ``str.split`` takes for white space and the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 
 from fairlead.llm.common import batches, small_batches, tokenizer_path, word_tokens
 
+#: Documents that are tokenized at once, as long as they are short: their words are looked up together.
+BATCH_DOCS = 2000
 CAPACITY = 4096
 #: Ends each document.
 SEPARATOR = 2
@@ -246,7 +248,7 @@ def _in_groups(rows: Iterator, n: int = 5000) -> Iterator[list]:
 
 def _map(docs: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[Iterator], Iterator], group: int) -> DataFrame:
     """``docs`` through ``rows``: an iterator of Arrow batches of (id, text) to one of column lists."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_DOCS)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
