@@ -62,5 +62,5 @@ def test_stages_one_by_one_and_as_a_whole(spark, tmp_path):
 
 def test_every_query_is_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(oracle_sql()) <= set(names)
