@@ -105,3 +105,10 @@ def test_frequent_copies_are_looked_up_by_broadcast(spark, monkeypatch):
 def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert interaction_audit(documents(spark, [""]).limit(0), labels).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """Twenty megabytes beside short texts."""
+    long = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.repeat(F.lit("Word one "), 2_300_000).alias("text"), F.lit("en").alias("lang"))
+    docs = long.unionByName(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)), "en"), (2, None, "en")], "doc_id long, text string, lang string"))
+    assert {r.doc: r.mask for r in audit.failures(docs).collect()} == {0: 2 + 4, 1: 0, 2: 1}

@@ -126,3 +126,12 @@ def test_empty(spark):
 def test_native(spark):
     plan = mix(documents(spark, prose(5, 5)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_very_long_text(spark):
+    """Twenty megabytes beside short texts: counted as a whole, and cut where the source's target is reached."""
+    long = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.repeat(F.lit("word "), 4_000_000).alias("text"), F.lit("a").alias("source"))
+    docs = long.unionByName(spark.createDataFrame([(1, "x " * 1000, "b"), (2, "y z", "a")], "doc_id long, text string, source string"))
+    rows = {r.doc_id: r for r in mix(docs).collect()}
+    assert rows[0].size == 4_000_000 and rows[1].taken == 3 * 1000
+    assert abs(rows[0].taken + rows[2].taken - rows[0].target) <= 0.005 * rows[0].target
