@@ -42,6 +42,21 @@ class Spec:
         return cls(south, west, resolution, *size(resolution))
 
 
+def specs_around(ports: DataFrame, resolution: float = RESOLUTION, margin: float = MARGIN, max_cells: int = MAX_CELLS) -> DataFrame:
+    """:meth:`Spec.around` for many voyages at once: ``lattice_id, south, west, resolution, n_rows, n_cols`` of the box of
+    each (``voyage_id, start_lat, start_lon, goal_lat, goal_lon``), a lattice each, named by the voyage."""
+    steps = [resolution]
+    while steps[-1] < 4.0:
+        steps.append(round(steps[-1] * 1.5, 4))
+    low = lambda x, least: F.greatest(F.lit(least), F.least(f"start_{x}", f"goal_{x}") - margin)
+    high = lambda x, most: F.least(F.lit(most), F.greatest(f"start_{x}", f"goal_{x}") + margin)
+    box = ports.select(F.col("voyage_id").cast("string").alias("lattice_id"), low("lat", -85.0).alias("south"), high("lat", 85.0).alias("north"), low("lon", -180.0).alias("west"), high("lon", 180.0).alias("east"))
+    lines = lambda a, b, r: F.greatest(F.lit(2), F.rint((F.col(b) - F.col(a)) / r).cast("int") + 1)
+    fits = F.filter(F.array(*map(F.lit, steps)), lambda r: lines("south", "north", r).cast("long") * lines("west", "east", r) <= max_cells)
+    sized = box.withColumn("resolution", F.coalesce(F.get(fits, 0), F.lit(steps[-1])))
+    return sized.select("lattice_id", "south", "west", "resolution", lines("south", "north", F.col("resolution")).alias("n_rows"), lines("west", "east", F.col("resolution")).alias("n_cols"))
+
+
 def spec_for(points: DataFrame, **options) -> Spec:
     """For the bounds of ``latitude, longitude``."""
     r = points.agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")).first()

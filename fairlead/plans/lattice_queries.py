@@ -276,9 +276,8 @@ def plan_compare_methods(spark, d):
     return planner.compare(cells, voyages(spark, d, cells)).select("voyage_id", "method", "status", F.round("cost", 4).alias("cost"), F.round("gap_pct", 4).alias("gap_pct"))
 
 
-@query()
-def plan_two_levels(spark, d):
-    """Suppliers' voyages, refined in corridors where they cross land; no cells are blocked before that."""
+def classifier(spark, d):
+    """Classes of cells of any lattice: that of the quarter degree around a cell's centre, open sea where no event fell."""
     raster = written(fixtures.zone_raster(spark, d), "zones")
     at = lambda x: F.rint(F.col(x) / fixtures.RESOLUTION).cast("int")
 
@@ -286,11 +285,45 @@ def plan_two_levels(spark, d):
         found = cells.withColumn("y", at("lat")).withColumn("x", at("lon")).join(raster, ["y", "x"], "left").drop("y", "x")
         return found.withColumn("class_index", F.coalesce("class_index", F.lit(0))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
 
+    return classify
+
+
+@query()
+def plan_two_levels(spark, d):
+    """Suppliers' voyages, refined in corridors where they cross land; no cells are blocked before that."""
+    classify = classifier(spark, d)
     p = planner.Parameters(coast_rounds=0, mask_share=0.5)
     best, _ = planner.plan_refined(fixtures.lattices(spark, d), fixtures.ports(spark, d), classify, land(spark, d), p)
     return best.select("voyage_id", "status", F.round("cost", 4).alias("cost"), "verdict", F.round("longest_km", 4).alias("longest_km"), "level", "resolution", "cells")
 
 
+_STEPS = [0.25]
+while _STEPS[-1] < 4.0:
+    _STEPS.append(round(_STEPS[-1] * 1.5, 4))
+
+
+@query(
+    f"WITH {POINTS_SQL}, {LATTICES_SQL}, e AS (SELECT voyage_id, south+r0*{RESOLUTION} AS a, west+c0*{RESOLUTION} AS b, south+r1*{RESOLUTION} AS y, west+c1*{RESOLUTION} AS x FROM t JOIN l USING (lattice_id)),"
+    " bx AS (SELECT voyage_id, greatest(-85.0, least(a, y)-2.0) AS s, least(85.0, greatest(a, y)+2.0) AS n, greatest(-180.0, least(b, x)-2.0) AS w, least(180.0, greatest(b, x)+2.0) AS ea FROM e),"
+    f" z AS (SELECT *, greatest(2, round_even((n-s)/r, 0)+1) AS rr, greatest(2, round_even((ea-w)/r, 0)+1) AS cc FROM bx, (VALUES {', '.join(f'({x}::DOUBLE)' for x in _STEPS)}) q(r)),"
+    f" k AS (SELECT *, row_number() OVER (PARTITION BY voyage_id ORDER BY CASE WHEN rr*cc<=400 OR r={_STEPS[-1]} THEN 0 ELSE 1 END, r) AS i FROM z)"
+    " SELECT CAST(voyage_id AS VARCHAR) AS lattice_id, s AS south, w AS west, r AS resolution, CAST(rr AS INT) AS n_rows, CAST(cc AS INT) AS n_cols FROM k WHERE i=1"
+)
+def grid_specs(spark, d):
+    """The lattice around the ports of each supplier's voyage, of 400 cells at most."""
+    return lattice.specs_around(fixtures.ports(spark, d), max_cells=400)
+
+
+@query()
+def plan_retries(spark, d):
+    """Suppliers' voyages on boxes of their own, without a margin at first; again on wider and finer ones where there is
+    no route."""
+    ports = fixtures.ports(spark, d)
+    p = planner.Parameters(margin_deg=0.0)
+    found = planner.plan_again(planner.problem_of(ports, classifier(spark, d)), ports, p)
+    return found.select("voyage_id", "attempt", "status", F.round("cost", 4).alias("cost"), F.round("direct_km", 4).alias("direct_km"))
+
+
 _PASSED = f"""e AS (SELECT voyage_id, south, west, south+r0*{RESOLUTION} AS a, west+c0*{RESOLUTION} AS b, south+r1*{RESOLUTION} AS y, west+c1*{RESOLUTION} AS x FROM t JOIN l USING (lattice_id)),
 k AS (SELECT *, CAST(greatest(1, ceil(greatest(abs(y-a), abs(x-b))/(0.1/2))) AS INT) AS parts, 0.1*111.2 AS dy, greatest(0.1*111.2*cos(radians((a+y)/2)), 0.001) AS dx FROM e),
 passed AS (SELECT DISTINCT voyage_id, dy, dx, greatest(0, least({round((ROWS - 1) * 2.5) + 0}, round_even((a+(i/parts)*(y-a)-south)/0.1, 0))) AS row, greatest(0, least({round((COLS - 1) * 2.5) + 0}, round_even((b+(i/parts)*(x-b)-west)/0.1, 0))) AS col FROM k, range(0, 200) n(i) WHERE i<=parts),
