@@ -183,10 +183,12 @@ class WordTokens:
         if None in place:
             self._learn([p for p, k in zip(pieces, place, strict=True) if k is None])
             place = list(map(at.get, pieces))
-        which = np.array(place, np.int64)[coded.indices.to_numpy()]
+        which = np.array(place, np.int32)[coded.indices.to_numpy()]
         lengths, starts = self.length[which], self.start[which]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        at_ids = np.repeat((starts - ends[:-1]).astype(np.int32), lengths)  # fewer than 2**31 ids are remembered
+        at_ids += np.arange(ends[-1], dtype=np.int32)
+        ids = self.flat[at_ids]
         offsets = ends[split.offsets.to_numpy()]
         if apart:
             parts = [apart.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(texts))]

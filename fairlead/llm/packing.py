@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from fairlead.llm.common import batches, small_batches, tokenizer_path, word_tokens
 
 #: Documents that are tokenized at once, as long as they are short: their words are looked up together.
-BATCH_DOCS = 2000
+BATCH_DOCS = 800
 CAPACITY = 4096
 #: Ends each document.
 SEPARATOR = 2
