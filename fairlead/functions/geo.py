@@ -57,18 +57,26 @@ def great_circle_points(lat1, lon1, lat2, lon2, n: int = 64) -> Column:
 
 def densified(lat1, lon1, lat2, lon2, step_km: float = 25.0) -> Column:
     """A segment's great circle in ``max(2, int(length / step) + 1)`` points; array of ``lat, lon``."""
-    count = F.greatest(F.lit(2), F.floor(haversine_km(lat1, lon1, lat2, lon2) / step_km).cast("int") + 1)
-    a, b = unit_vector(lat1, lon1), unit_vector(lat2, lon2)
-    omega = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a[0] * b[0] + a[1] * b[1] + a[2] * b[2])))
-
-    def point(i: Column) -> Column:
-        t = i / (count - 1)
-        wa = F.when(omega < 1e-12, 1 - t).otherwise(F.sin((1 - t) * omega) / F.sin(omega))
-        wb = F.when(omega < 1e-12, t).otherwise(F.sin(t * omega) / F.sin(omega))
-        x, y, z = (wa * p + wb * q for p, q in zip(a, b, strict=True))
-        return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+    last = F.greatest(F.lit(2), F.floor(haversine_km(lat1, lon1, lat2, lon2) / step_km).cast("int") + 1) - 1
+    # arrays of one: what a segment or a point has once is computed once, not wherever it is used
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    ends = F.struct(last.alias("last"), *[v.alias(f"{e}{j}") for e, p in (("a", unit_vector(lat1, lon1)), ("b", unit_vector(lat2, lon2))) for j, v in enumerate(p)])
+
+    def angle(v: Column) -> Column:
+        dot = v["a0"] * v["b0"] + v["a1"] * v["b1"] + v["a2"] * v["b2"]
+        return F.struct(v.alias("v"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))).alias("w"))
+
+    def point(arc: Column, i: Column) -> Column:
+        t = i / arc["v"]["last"]
+        weights = F.struct(F.when(arc["w"] < 1e-12, 1 - t).otherwise(F.sin((1 - t) * arc["w"]) / arc["s"]).alias("a"), F.when(arc["w"] < 1e-12, t).otherwise(F.sin(t * arc["w"]) / arc["s"]).alias("b"))
+        x, y, z = ((lambda w, j=j: w["a"] * arc["v"][f"a{j}"] + w["b"] * arc["v"][f"b{j}"]) for j in range(3))
+        place = lambda p: F.struct(F.degrees(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))).alias("lat"), F.degrees(F.atan2(p["y"], p["x"])).alias("lon"))
+        return once(once(weights, lambda w: F.struct(x(w).alias("x"), y(w).alias("y"), z(w).alias("z"))), place)
+
+    def along(arc: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), arc["v"]["last"]), lambda i: point(arc, i))
 
-    return F.transform(F.sequence(F.lit(0), count - 1), point)
+    return once(once(once(ends, angle), lambda u: F.struct(u["v"].alias("v"), u["w"].alias("w"), F.sin(u["w"]).alias("s"))), along)
 
 
 def signed_log(x) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.functions.zones import CLASSES, OBJECTS, REGIONS, any_conflict, class_index, conflict, region, zone_title, zone_weight
 from fairlead.operators import cleaning, knn, scorer, stats, tracks
-from fairlead.operators.shared import new_folder
+from fairlead.operators.shared import new_folder, spread
 from fairlead.plans.registry import query
 from fairlead.sources import fixtures, points
 from fairlead.sources.fixtures import POINTS_SQL
@@ -68,7 +68,8 @@ def geo_great_circle_points(spark, d):
 
 @query(P + f"SELECT id, CAST(greatest(2, floor({km('latitude', 'longitude', 'lat2', 'lon2')}/500.0)+1) AS BIGINT) AS n FROM p")
 def geo_densify(spark, d):
-    return fixtures.points(spark, d).select("id", F.size(geo.densified("latitude", "longitude", "lat2", "lon2", 500.0)).cast("long").alias("n"))
+    p = spread(fixtures.points(spark, d).select("id", "latitude", "longitude", "lat2", "lon2"))
+    return p.select("id", F.size(geo.densified("latitude", "longitude", "lat2", "lon2", 500.0)).cast("long").alias("n"))
 
 
 _TRACK = ", t AS (SELECT user_id AS route_id, row_number() OVER w AS seq, latitude AS lat, longitude AS lon, class_code, lag(latitude) OVER w AS la, lag(longitude) OVER w AS lo, lead(latitude) OVER w AS nla, lead(longitude) OVER w AS nlo FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) "

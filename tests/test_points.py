@@ -133,3 +133,16 @@ def test_waypoint_table(spark):
     rows = {(r.route_id, r.seq): r for r in tracks.waypoint_table(t).collect()}
     assert rows[1, 0].bearing == pytest.approx(90) and rows[1, 1].bearing == pytest.approx(0) and rows[1, 2].bearing == rows[1, 1].bearing and rows[2, 0].bearing == 0
     assert rows[1, 2].total_km == pytest.approx(222.39, abs=0.01) and rows[1, 0].total_km == 0
+
+
+def test_a_segment_takes_its_angle_once(spark):
+    """The angle was written out, and so computed, for each use in each point."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(geo.densified(F.lit(1.0) * F.col("id"), "id", F.col("id") + 3.0, F.col("id") + 4.0, 50.0).alias("p"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("ACOS") == 1
+    p = df.first().p
+    assert (round(p[0].lat, 9), round(p[-1].lat, 9), round(p[-1].lon, 9)) == (0.0, 3.0, 4.0)
+    same = value(spark, geo.densified(7.0, 8.0, 7.0, 8.0, 50.0))
+    assert [(round(q.lat, 9), round(q.lon, 9)) for q in same] == [(7.0, 8.0)] * 2
