@@ -30,26 +30,22 @@ def on_land():
     return F.pmod(F.floor(F.col("lat") / 4) * 7 + F.floor(F.col("lon") / 4) * 13, F.lit(5)) == 0
 
 
-def samples(spark, d):
-    return tracks.sample_route(track(spark, d), STEP)
+def audited(spark, d):
+    return tracks.audited(track(spark, d), on_land(), PORT, STEP)
 
 
 def verdicts(spark, d):
-    return tracks.verdicts(track(spark, d), tracks.land_runs(samples(spark, d), on_land(), PORT, STEP), CROSSING)
+    return tracks.verdicts(track(spark, d), audited(spark, d)[0], CROSSING)
 
 
 @query(_SAMPLES + "SELECT route_id, count(*) AS n, round(max(dist), 3) AS km, count(*) FILTER (land) AS on_land, count(*) FILTER (bad) AS counted FROM k2 GROUP BY 1")
 def audit_sample_route(spark, d):
-    from pyspark.sql import Window
-
-    s = samples(spark, d).withColumn("land", on_land()).withColumn("total", F.max("dist").over(Window.partitionBy("route_id")))
-    bad = F.col("land") & (F.col("dist") >= PORT) & (F.col("dist") <= F.col("total") - PORT)
-    return s.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("dist"), 3).alias("km"), F.count_if("land").alias("on_land"), F.count_if(bad).alias("counted"))
+    return audited(spark, d)[1].select("route_id", "n", F.round("km", 3).alias("km"), "on_land", "counted")
 
 
 @query(_SAMPLES + "SELECT route_id, CAST(run AS BIGINT) AS run, round(start_km, 2) AS start_km, round(length_km, 2) AS length_km, n FROM runs")
 def audit_land_runs(spark, d):
-    r = tracks.land_runs(samples(spark, d), on_land(), PORT, STEP)
+    r, _ = audited(spark, d)
     return r.select("route_id", "run", F.round("start_km", 2).alias("start_km"), F.round("length_km", 2).alias("length_km"), "n")
 
 
@@ -79,11 +75,12 @@ def audit_approaches(spark, d):
 
     from fairlead.functions.geo import haversine_km
 
-    t, s = track(spark, d), samples(spark, d)
+    t = track(spark, d)
     w = Window.partitionBy("route_id").orderBy("seq")
     legs = t.withColumn("km", haversine_km("lat", "lon", F.lead("lat").over(w), F.lead("lon").over(w))).where("km is not null")
     ends = legs.groupBy("route_id").agg(F.min_by("km", "seq").alias("first_leg_km"), F.max_by("km", "seq").alias("last_leg_km"))
-    found = tracks.approaches(tracks.land_runs(s, on_land(), PORT, STEP), s, on_land(), ends, PORT, STEP, 6500.0)
+    runs, routes = audited(spark, d)
+    found = tracks.flagged(runs, routes, ends, PORT, STEP, 6500.0)
     return found.select("route_id", "run", F.round("length_km", 2).alias("length_km"), "approach")
 
 
