@@ -13,8 +13,9 @@ sequence's id is the task's number and a count within the task; a task that runs
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -46,10 +47,10 @@ class Piece:
         return Piece(self.doc, self.start, self.total, self.ids[:n]), Piece(self.doc, self.start + n, self.total, self.ids[n:])
 
 
-def closest_subset(lengths: list[tuple[int, int]], capacity: int) -> dict[int, int]:
+def closest_subset(lengths: Iterable[tuple[int, int]], capacity: int) -> dict[int, int]:
     """How many of each length to take for the largest sum up to ``capacity``.
 
-    ``lengths``: (length, count), each length once. Bit s of ``reach`` says that sum s can be made; the state before
+    ``lengths``: (length, count), each length once, read no further than needed. Bit s of ``reach`` says that sum s can be made; the state before
     each length is kept, so the counts are found backwards. Stops as soon as the capacity itself is reached.
     """
     mask = (1 << (capacity + 1)) - 1
@@ -83,33 +84,39 @@ class MinSlack:
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.waiting: dict[int, list[Piece]] = defaultdict(list)
+        self.lengths: list[int] = []  # of waiting pieces, ascending, each once
         self.tokens = self.pieces = 0
 
     def add(self, piece: Piece) -> None:
-        self.waiting[len(piece)].append(piece)
-        self.tokens += len(piece)
+        n = len(piece)
+        if n not in self.waiting:
+            insort(self.lengths, n)
+        self.waiting[n].append(piece)
+        self.tokens += n
         self.pieces += 1
 
     def _take(self, length: int) -> Piece:
         piece = self.waiting[length].pop()
         if not self.waiting[length]:
             del self.waiting[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.tokens -= length
         self.pieces -= 1
         return piece
 
     def fill(self) -> list[Piece]:
         """One full sequence; there must be tokens for it. If no multiset fills it, a waiting piece is cut."""
-        first = self._take(max(self.waiting))
+        first = self._take(self.lengths[-1])
         room = self.capacity - len(first)
         out = [first]
-        counts = sorted(((n, len(p)) for n, p in self.waiting.items() if n <= room), reverse=True)
-        for n, k in sorted(closest_subset(counts, room).items()) if room and counts else ():
+        fitting = range(bisect_right(self.lengths, room) - 1, -1, -1)
+        counts = ((self.lengths[i], len(self.waiting[self.lengths[i]])) for i in fitting)
+        for n, k in sorted(closest_subset(counts, room).items()):
             for _ in range(k):
                 out.append(self._take(n))
                 room -= n
         while room:
-            piece = self._take(max(self.waiting))
+            piece = self._take(self.lengths[-1])
             if len(piece) > room:
                 piece, rest = piece.cut(room)
                 self.add(rest)
@@ -119,7 +126,7 @@ class MinSlack:
 
     def rest(self) -> Iterator[list[Piece]]:
         """What doesn't fill a sequence, in sequences whose lengths are powers of two, the largest first."""
-        left = [p for n in sorted(self.waiting, reverse=True) for p in self.waiting[n]]
+        left = [p for n in reversed(self.lengths) for p in self.waiting[n]]
         total = self.tokens
         while total:
             room = 1 << (total.bit_length() - 1)

@@ -105,6 +105,27 @@ def test_closest_subset_is_optimal():
         assert all(k <= counts[n] for n, k in chosen.items())
 
 
+def test_min_slack_looks_at_few_lengths():
+    """Of thousands of lengths that wait, a sequence asks for those that fill it and not for all."""
+    asked = []
+
+    class Counted(list):
+        def __len__(self):
+            asked.append(1)
+            return super().__len__()
+
+    packer = packing.MinSlack(4096)
+    packer.waiting.default_factory = Counted
+    for n in (*range(1, 1201), *range(2981, 3001)):
+        packer.add(packing.Piece(n, 0, n, range(n)))
+    asked.clear()
+    filled = [packer.fill() for _ in range(20)]
+    assert all(sum(map(len, s)) == 4096 for s in filled)
+    assert len({p.doc for s in filled for p in s}) == sum(map(len, filled))
+    assert packer.tokens == sum(packer.waiting) == sum(range(1, 1201)) + sum(range(2981, 3001)) - 20 * 4096
+    assert len(asked) < 200
+
+
 def test_free_capacity_tree():
     r, tree, rooms = random.Random(2), packing.FreeCapacity(100), []
     for _ in range(500):
