@@ -3,7 +3,8 @@
 Space around the unit sphere is cut into cubic tiles. A tile's queries meet the index points in it and in a margin
 around it, a matrix product for each tile. A query whose k-th neighbour may lie beyond the margin is asked again with
 one three times as large. Only unresolved queries go on, and in the last round the margin is the whole sphere, so the
-result is exact.
+result is exact. Of index points at one place only the first ``k`` by id can be among the ``k`` nearest, so no more go on,
+and statistics and features of a neighbourhood are made once for each place that queries have.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.geo import EARTH_RADIUS_KM, haversine_km, signed_log, unit_vector
 from fairlead.functions.zones import COASTAL, INLAND, MARINE, OBJECTS, object_sum
-from fairlead.operators.shared import written
+from fairlead.operators.shared import large, written
 
 # Neighbours of the context; a neighbour this close (km) is the point itself; least span (km) of a density.
 NEIGHBOURS, SELF_KM, LEAST_SPAN_KM = 8, 0.002, 1.2
@@ -31,6 +32,11 @@ def reference_index(df: DataFrame) -> DataFrame:
     return kept.select("id", "latitude", "longitude", depth.alias("depth"), height.alias("height"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in OBJECTS])
 
 
+def _places(queries: DataFrame) -> DataFrame:
+    """``id, latitude, longitude``: each place of the queries once, by its least id."""
+    return written(queries.groupBy("latitude", "longitude").agg(F.min("id").alias("id")).select("id", "latitude", "longitude"), "places")
+
+
 def _axes(lat: str, lon: str) -> list[Column]:
     """A point of the unit sphere, moved to the cube from 0 to 2: no poles and no date line."""
     return [v + 1 for v in unit_vector(lat, lon)]
@@ -123,8 +129,11 @@ def neighbours(queries: DataFrame, index: DataFrame | StoredIndex, k: int, cell_
     axes = dict(zip("xyz", _axes("latitude", "longitude"), strict=True))
     stored = isinstance(index, StoredIndex)
     named = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.col("latitude").alias(f"{s}_lat"), F.col("longitude").alias(f"{s}_lon"), *[v.alias(c) for c, v in axes.items()])
-    q, r = named(queries, "q"), named(index.points if stored else index, "r")
-    margin = 2 * math.sin(cell_km / EARTH_RADIUS_KM / 2) if cell_km else index.margin if stored else _spacing(index)
+    here = F.row_number().over(Window.partitionBy("latitude", "longitude").orderBy("id"))
+    first = lambda df: df.select("id", "latitude", "longitude").withColumn("__here", here).where(F.col("__here") <= k).drop("__here")
+    held = index.points if stored else written(first(index), "index")
+    q, r = named(queries, "q"), named(held, "r")
+    margin = 2 * math.sin(cell_km / EARTH_RADIUS_KM / 2) if cell_km else index.margin if stored else _spacing(held)
     kinds = {f.name: f.dataType.simpleString() for f in (*q.schema, *r.schema)}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("q_id", "q_lat", "q_lon", "r_id", "r_lat", "r_lon"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("km", "r_id"))
@@ -132,7 +141,7 @@ def neighbours(queries: DataFrame, index: DataFrame | StoredIndex, k: int, cell_
     while True:
         margin = min(margin, 2.0)
         if stored:
-            r = named(index.near(q.select(F.col("q_lat").alias("latitude"), F.col("q_lon").alias("longitude")), margin), "r")
+            r = named(first(index.near(q.select(F.col("q_lat").alias("latitude"), F.col("q_lon").alias("longitude")), margin)), "r")
         edge = TILE * margin
         tile = F.struct(*[F.floor(F.col(c) / edge).cast("int").alias(c) for c in "xyz"])
         spans = [F.sequence(F.floor((F.col(c) - margin) / edge), F.floor((F.col(c) + margin) / edge)) for c in "xyz"]  # noqa: B023
@@ -150,9 +159,9 @@ def neighbours(queries: DataFrame, index: DataFrame | StoredIndex, k: int, cell_
         top = written(top, "near")
         safe = 2 * math.asin(margin / 2) * EARTH_RADIUS_KM * (1 - 1e-9)  # whatever is nearer is in the tile's margin
         done = top.where((F.col("rank") == k) & (F.col("km") <= safe)).select("q_id")
-        found = top.join(done, "q_id", "left_semi")
+        found = top.join(large(done), "q_id", "left_semi")
         out = found if out is None else out.unionByName(found)
-        q = written(q.join(done, "q_id", "left_anti"), "open")
+        q = written(q.join(large(done), "q_id", "left_anti"), "open")
         if q.isEmpty():
             return out
         margin *= 3
@@ -161,11 +170,11 @@ def neighbours(queries: DataFrame, index: DataFrame | StoredIndex, k: int, cell_
 def _measured(near: DataFrame, queries: DataFrame, index: DataFrame | StoredIndex) -> DataFrame:
     """Neighbours with the index's columns; of a stored index the tiles as far as the farthest neighbour are read."""
     if not isinstance(index, StoredIndex):
-        return near.join(index, F.col("r_id") == F.col("id"))
+        return large(near).join(index, F.col("r_id") == F.col("id"))
     near = written(near, "near")
     far = near.agg(F.max("km")).first()[0] or 0.0
     reach = min(2.0, 2 * math.sin(min(far / EARTH_RADIUS_KM, math.pi) / 2) * (1 + 1e-9) + 1e-9)
-    return near.join(index.near(queries, reach), F.col("r_id") == F.col("id"))
+    return large(near).join(index.near(queries, reach), F.col("r_id") == F.col("id"))
 
 
 def context(queries: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
@@ -184,14 +193,26 @@ def idw(queries: DataFrame, index: DataFrame | StoredIndex, k: int = 4, cell_km:
     return near.groupBy("q_id").agg((F.sum(F.col("depth") * w) / F.sum(w)).alias("depth"), (F.sum(F.col("height") * w) / F.sum(w)).alias("height"), F.min("km").alias("nearest_km"))
 
 
-def context_statistics(queries: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
-    """What the features need of each query's neighbourhood, one row a query."""
-    near = _measured(context(queries, index, k, cell_km), queries, index)
-    return near.groupBy("q_id").agg(
+def _statistics() -> list[Column]:
+    """What the features need of a neighbourhood, over the rows of :func:`_measured`."""
+    return [
         F.avg("depth").alias("ctx_mean"), F.stddev_pop("depth").alias("ctx_std"), F.min("depth").alias("ctx_min"), F.max("depth").alias("ctx_max"), F.avg((F.col("depth") > 0).cast("double")).alias("ctx_land"),
         F.min("km").alias("nearest_km"), F.avg("km").alias("span_km"), F.avg(object_sum(MARINE)).alias("ctx_marine"), F.avg(object_sum(COASTAL)).alias("ctx_coastal"), F.avg(object_sum(INLAND)).alias("ctx_inland"),
         F.avg(object_sum(OBJECTS)).alias("ctx_objects"),
-    )
+    ]
+
+
+def _around(queries: DataFrame, index: DataFrame | StoredIndex, k: int, cell_km: float | None, *made: Column) -> DataFrame:
+    """``made`` of the neighbourhood of each place of the queries, with its ``latitude, longitude``."""
+    places = _places(queries)
+    near = _measured(context(places, index, k, cell_km), places, index)
+    return large(places).join(near.groupBy("q_id").agg(*made), F.col("id") == F.col("q_id")).drop("id", "q_id")
+
+
+def context_statistics(queries: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
+    """What the features need of each query's neighbourhood, one row a query."""
+    found = _around(queries, index, k, cell_km, *_statistics())
+    return queries.select(F.col("id").alias("q_id"), "latitude", "longitude").join(large(found), ["latitude", "longitude"]).drop("latitude", "longitude")
 
 
 def own_features() -> dict[str, Column]:
@@ -214,8 +235,11 @@ FEATURES = (
 
 def features(points: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBOURS, cell_km: float | None = None) -> DataFrame:
     """``id`` and the 28 features as floats, computed in double and without NaN or infinities."""
-    ctx = context_statistics(points, index, k, cell_km)
-    joined = points.join(ctx, points["id"] == ctx["q_id"])
+    return _features(points.join(large(_around(points, index, k, cell_km, *_statistics())), ["latitude", "longitude"]), "id")
+
+
+def _features(joined: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and the features of points joined with the statistics of their neighbourhood."""
     depth = F.coalesce("noaa_depth", "ctx_mean")
     height = F.coalesce(F.col("elevation"), depth)
     gradient = (F.col("ctx_max") - F.col("ctx_min")) / F.greatest("span_km", F.lit(1e-3))
@@ -227,14 +251,14 @@ def features(points: DataFrame, index: DataFrame | StoredIndex, k: int = NEIGHBO
         "ctx_osm_density": F.log1p(F.col("ctx_objects") / F.greatest("span_km", F.lit(LEAST_SPAN_KM))),
     }
     clean = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c).cast("float")
-    return joined.select("id", *[clean(made[n]).alias(n) for n in FEATURES])
+    return joined.select(*keys, *[clean(made[n]).alias(n) for n in FEATURES])
 
 
 def coordinate_features(points: DataFrame, index: DataFrame | StoredIndex, cell_km: float | None = None) -> DataFrame:
     """The features of bare coordinates ``id, latitude, longitude``: measures by inverse distance from four neighbours,
     object counts of the nearest."""
-    near = _measured(context(points, index, 4, cell_km), points, index)
-    w = 1.0 / F.pow(F.greatest("km", F.lit(1e-3)), 2.0)
-    made = near.groupBy("q_id").agg((F.sum(F.col("depth") * w) / F.sum(w)).alias("noaa_depth"), (F.sum(F.col("height") * w) / F.sum(w)).alias("elevation"), *[F.min_by(c, "rank").alias(c) for c in OBJECTS])
-    full = points.select("id", "latitude", "longitude").join(made, F.col("id") == F.col("q_id")).drop("q_id").withColumn("noaa_type", F.when(F.col("noaa_depth") > 0, "height").otherwise("depth"))
-    return features(full, index, cell_km=cell_km)
+    w = F.when(F.col("rank") <= 4, 1.0 / F.pow(F.greatest("km", F.lit(1e-3)), 2.0))
+    measures = [(F.sum(F.col(c) * w) / F.sum(w)).alias(n) for c, n in (("depth", "noaa_depth"), ("height", "elevation"))]
+    found = _around(points, index, NEIGHBOURS, cell_km, *_statistics(), *measures, *[F.min_by(c, "rank").alias(c) for c in OBJECTS])
+    made = _features(found.withColumn("noaa_type", F.when(F.col("noaa_depth") > 0, "height").otherwise("depth")), "latitude", "longitude")
+    return points.select("id", "latitude", "longitude").join(large(made), ["latitude", "longitude"]).drop("latitude", "longitude")

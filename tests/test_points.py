@@ -128,6 +128,22 @@ def test_features_are_finite_and_leave_the_point_out(spark, sf):
     assert few.count() == 60
 
 
+def test_copies_of_a_place_are_few_in_the_index_and_asked_once(spark):
+    from fairlead.operators import shared
+
+    rows = [(i, 10.0, 20.0) for i in range(40)] + [(100 + i, 10.0 + i / 100, 20.1) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    made = lambda name, since: [spark.read.parquet(f).count() for f in shared._written[since:] if f"/{name}-" in f]
+    since = len(shared._written)
+    got = {(r.q_id, r["rank"]): r.r_id for r in knn.neighbours(df, df, 3, 100.0).collect()}
+    assert made("index", since) == [3 + 4]
+    assert all(got[i, k] == k - 1 for i in range(40) for k in (1, 2, 3)) and got[100, 1] == 100 and len(got) == 3 * 44
+    full = df.selectExpr("*", "double(id) AS depth", "double(id) AS height", *[f"0.0D AS {c}" for c in knn.OBJECTS])
+    since = len(shared._written)
+    found = {r.q_id: r.ctx_mean for r in knn.context_statistics(df, full, 2, 100.0).collect()}
+    assert made("places", since) == [1 + 4] and len(found) == 44 and {found[i] for i in range(40)} == {1.5}
+
+
 def test_waypoint_table(spark):
     t = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 0.0, 1.0), (1, 2, 1.0, 1.0), (2, 0, 5.0, 5.0)], "route_id long, seq int, lat double, lon double")
     rows = {(r.route_id, r.seq): r for r in tracks.waypoint_table(t).collect()}
