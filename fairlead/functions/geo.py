@@ -20,8 +20,9 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     a, b, c, d = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
     sin2 = lambda x: F.sin(x / 2) * F.sin(x / 2)
     h = sin2(c - a) + F.cos(a) * F.cos(c) * sin2(d - b)
-    # least and greatest pass over nulls
-    return F.when(h.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))))
+    # least and greatest pass over nulls; h itself would be computed twice
+    known = a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull()
+    return F.when(known, F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))))
 
 
 def initial_bearing_deg(lat1, lon1, lat2, lon2) -> Column:
